@@ -1,20 +1,19 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token that is no token itself starts as a linked list of bytes. Every adjacent pair that the
-vocabulary ranks is queued: a bucket for each rank holds list positions, and three levels of 64-bit
-words mark the ranks with a non-empty bucket, so finding the next rank takes three find-first-set
-steps however long the pre-token is. Entries whose pair has changed since are skipped when met. The
-leftmost of equal ranks goes first, so the ids are those of a scan for the least rank.
+vocabulary ranks is queued: a bucket for each rank holds list positions, and two levels of words mark
+the ranks with a bucket, so the next rank takes two find-first-set steps however long the pre-token is.
+Entries whose pair has changed since are skipped when met. The leftmost of equal ranks goes first, so
+the ids are those of a scan for the least rank.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Repeated rows are encoded
 alike. Whole texts are encoded, whatever their length; only pre-tokens of up to CACHED characters are
-remembered, CACHE_SIZE of them at most. Columns of the input other than those kept are not looked at.
+remembered, in two generations of CACHE_SIZE each at most. Columns of the input other than those kept are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -25,108 +24,108 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED, CACHE_SIZE = 48, 400_000
+CACHED, CACHE_SIZE = 48, 350_000
 #: Texts above this many characters are split as a stream instead of as a list.
 STREAM_CHARS = 1 << 21
 #: Rows of a batch that goes back to Spark.
 BATCH_ROWS = 512
 
 
-class RankQueue:
-    """Positions by rank. pop() gives the least rank and its least position."""
+class Encoder:
+    """Encodes by a vocabulary of ranks.
 
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        size = max(ranks, 1)
-        while True:
-            size = -(-size // 64)
-            self.levels.append([0] * size)
-            if size == 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            word, at = at >> 6, at
-            was = words[word]
-            words[word] = was | 1 << (at & 63)
-            if was:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
-            return None
-        at = 0
-        for words in reversed(self.levels):
-            w = words[at]
-            at = at << 6 | (w & -w).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            self._clear(at)
-        return at, position
-
-    def _clear(self, rank: int) -> None:
-        del self.buckets[rank]
-        at = rank
-        for words in self.levels:
-            word = at >> 6
-            words[word] &= ~(1 << (at & 63))
-            if words[word]:
-                return
-            at = word
+    The queue lies in buckets (positions by rank), words (one bit for each rank with a bucket,
+    2^SHIFT of them in a word) and top (one bit for each word that is not 0). It is empty between calls.
+    """
 
+    SHIFT = 8
 
-class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.words = [0] * ((max(ranks.values(), default=0) >> self.SHIFT) + 1)
+        self.buckets: dict[int, list[int]] = {}
         self.longest = max(map(len, ranks), default=0)
+        self.bits = [1 << i for i in range(max(1 << self.SHIFT, len(self.words)))]
+        self.pairs = [ranks.get(bytes((i, j)), -1) for i in range(256) for j in range(256)]
         self.cache = _Cache(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        rank_of, whole = self.ranks.get, self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, longest, queue = len(piece), self.longest, self.queue
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        for i, rank in enumerate(pair):
-            if rank >= 0:
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
-            if pair[i] != rank:
-                continue
-            j = following[i]
-            k = following[j]
-            following[i], pair[j] = k, -1
-            pair[i] = -1
-            if k < n:
-                before[k] = i
-                end = following[k]
-                if end - i <= longest and (r := ranks.get(piece[i:end], -1)) >= 0:
-                    pair[i] = r
-                    queue.push(r, i)
-            p = before[i]
-            if p >= 0:
-                pair[p] = -1
-                if k - p <= longest and (r := ranks.get(piece[p:k], -1)) >= 0:
-                    pair[p] = r
-                    queue.push(r, p)
+        n, longest = len(piece), self.longest
+        buckets, words, bits, pairs, shift = self.buckets, self.words, self.bits, self.pairs, self.SHIFT
+        low, top = (1 << shift) - 1, 0
+        following, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        last = piece[0]
+        for i in range(n - 1):
+            code = last << 8
+            last = piece[i + 1]
+            r = pair[i] = pairs[code | last]
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    words[r >> shift] |= bits[r & low]
+                    top |= bits[r >> shift]
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = words[at]
+            rank = at << shift | (word & -word).bit_length() - 1
+            queue = buckets.pop(rank)
+            words[at] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
+            if len(queue) > 1:
+                queue.sort()
+            least = rank
+            for step, i in enumerate(queue):
+                if pair[i] != rank:
+                    continue
+                j = following[i]
+                following[i] = k = following[j]
+                pair[j] = pair[i] = -1
+                p = before[i]
+                if k < n:
+                    before[k] = i
+                    end = following[k]
+                    if end - i <= longest and (r := rank_of(piece[i:end], -1)) >= 0:
+                        pair[i] = r
+                        if r < least:
+                            least = r
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            words[r >> shift] |= bits[r & low]
+                            top |= bits[r >> shift]
+                if p >= 0:
+                    if k - p <= longest and (r := rank_of(piece[p:k], -1)) >= 0:
+                        pair[p] = r
+                        if r < least:
+                            least = r
+                        if r in buckets:
+                            buckets[r].append(p)
+                        else:
+                            buckets[r] = [p]
+                            words[r >> shift] |= bits[r & low]
+                            top |= bits[r >> shift]
+                    else:
+                        pair[p] = -1
+                if least < rank:
+                    # A lesser rank has appeared: it goes first, the rest of this bucket waits.
+                    if step + 1 < len(queue):
+                        buckets[rank] = queue[step + 1 :] + buckets.get(rank, [])
+                        words[rank >> shift] |= bits[rank & low]
+                        top |= bits[rank >> shift]
+                    break
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : following[i]]])
-            i = following[i]
+            j = following[i]
+            out.append(rank_of(piece[i:j]))
+            i = j
         return out
 
     def encode(self, text: str) -> bytes:
@@ -134,16 +133,20 @@ class Encoder:
         pieces = self.split.findall(text) if len(text) <= STREAM_CHARS else (m[0] for m in self.split.finditer(text))
         out = b"".join(map(self.cache.__getitem__, pieces))
         if len(self.cache) > CACHE_SIZE:
-            self.cache.clear()
+            self.cache = _Cache(self, dict(self.cache))
         return out
 
 
 class _Cache(dict):
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, older: dict[str, bytes] | None = None):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, older or {}
 
     def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is not None:
+            self[piece] = known
+            return known
         ids = self.encoder.merge(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED:
