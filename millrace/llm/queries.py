@@ -9,13 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, workers_can_import
-from . import bpe, quality, records
+from . import bpe, mixing, quality, records, topk, urlrules
+
+
+#: The host rules of the contract.
+HOST_RULES = (
+    urlrules.host_rule("com", "/en/", block=True),
+    urlrules.host_rule("example.com", "/en/7", block=False),
+    urlrules.host_rule("net", "/de/", block=True),
+    urlrules.host_rule("example.net", "/de/8", block=False),
+    urlrules.host_rule("org", "/es/", block=True),
+)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), (*HOST_RULES, *urlrules.DEFAULT_PATTERNS))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0, schedules=mixing.tilted())
+    placed = planned.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    return mixing.sorted_by_position(placed)
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -35,6 +59,56 @@ def _ready(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op3_byte_bpe, op8_quality_rules, op10_token_records)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: _ready(f) for f in (op2_url_filters, op3_byte_bpe, op5_mixing, op7_topk_search, op8_quality_rules, op10_token_records)}
+
+_PATTERNS = ", ".join(f"('{r.name}', '{r.pattern}', {str(r.block).lower()})" for r in urlrules.DEFAULT_PATTERNS)
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": f"""
+        with parts as (
+            select page_id,
+                translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
+            from pages),
+        host_rules(h, p, block) as (values ('com', '/en/', true), ('example.com', '/en/7', false), ('net', '/de/', true), ('example.net', '/de/8', false), ('org', '/es/', true)),
+        patterns(name, pattern, block) as (values {_PATTERNS}),
+        hosted as (
+            select page_id, host, path,
+                (select max_by(h || p, length(h || p)) from host_rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as rule,
+                (select max(name) from patterns where regexp_matches(host || path, pattern)) as pattern
+            from parts)
+        select page_id, host, path, rule, case when rule is null then pattern end as pattern,
+            case when rule is not null then (select case when block then 'block' else 'allow' end from host_rules where h || p = rule)
+                 when pattern is not null then 'block' else 'allow' end as verdict
+        from hosted""",
+    "op5_mixing": r"""
+        with sizes as (
+            select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, 'null')) as k from documents),
+        per as (select source, sum(size)::bigint as source_size from sizes group by source),
+        ranked as (select *, row_number() over (order by source nulls last) - 1 as rank from per),
+        weighted as (select *, [3, 1, 2][(rank % 3)::int + 1]::double as weight, 2.0::double * source_size as cap from ranked),
+        levels as (
+            select *, coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0) as before,
+                sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as after,
+                1.5::double * (sum(source_size) over ())::double as total from weighted),
+        goals as (select source, rank, source_size, least(cap, weight * max((total - before) / after) over ()) as target from levels),
+        placed as (select *, coalesce(sum(size) over (partition by source order by k, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as place from sizes),
+        mixed as (
+            select doc_id, size, g.source_size, target, place, rank,
+                (greatest(least(floor(target)::bigint - place, size), 0) + greatest(least(floor(target)::bigint - place - g.source_size, size), 0))::bigint as taken,
+                case when target > 0 then place / target else 1.0 end as demand
+            from placed p join goals g on p.source is not distinct from g.source)
+        select doc_id, size, source_size, target, taken,
+            round(case when rank % 2 = 0 then least(2.0 * demand / (1.5 + sqrt(greatest(2.25 - 2.0 * demand, 0))), 1.0)
+                       else least(2.0 * demand / (0.5 + sqrt(greatest(0.25 + 2.0 * demand, 0))), 1.0) end, 6) as position
+        from mixed""",
+    "op7_topk_search": """
+        with rows as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+            from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 5""",
+}
