@@ -181,11 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     """Grow the forest from labelled rows and place its threshold.
 
     At most labelled_rows labels are used, the smallest by a hash of doc_id, so reruns agree; the
-    bound is what the driver holds (five counts a row). Scoring covers every row.
+    bound is what the driver holds (five counts a row) and what is broadcast (an id and a label a row).
+    Scoring covers every row.
     """
     tagged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     ids = tagged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    rows = rule_counts(docs.select("doc_id", "text").join(ids, "doc_id").select("quality", "text"), keep=("quality",)).where(~base_failed()).toPandas()
+    rows = rule_counts(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("quality", "text"), keep=("quality",)).where(~base_failed()).toPandas()
     rows = rows.sort_values(list(rows.columns))
     x, quality = _features(rows[list(COUNTS)].to_numpy(np.int64)), rows["quality"].to_numpy()
     forest = grow(x[quality == 1])

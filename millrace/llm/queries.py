@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, workers_can_import
-from . import bpe, mixing, quality, records, topk, urlrules
+from . import bpe, mixing, neardup, quality, records, topk, urlrules
 
 
 #: The host rules of the contract.
@@ -46,6 +46,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return records.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -59,7 +63,7 @@ def _ready(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op2_url_filters, op3_byte_bpe, op5_mixing, op7_topk_search, op8_quality_rules, op10_token_records)}
+QUERIES = {f.__name__: _ready(f) for f in (op2_url_filters, op3_byte_bpe, op5_mixing, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records)}
 
 _PATTERNS = ", ".join(f"('{r.name}', '{r.pattern}', {str(r.block).lower()})" for r in urlrules.DEFAULT_PATTERNS)
 
@@ -111,4 +115,17 @@ ORACLE_SQL: dict[str, str] = {
             from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
         ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
         select query_id, rank, vec_id, score from ranked where rank <= 5""",
+    "op9_minhash_near_dedup": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        shingles as (
+            select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+        links as (select c.a, c.b from common c join sizes x on x.doc_id = c.a join sizes y on y.doc_id = c.b where 100 * c.n >= 75 * (x.n + y.n - c.n)),
+        reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+        least as (select a as doc_id, min(b) as component_id from reach group by a)
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+        from documents d join least using (doc_id) left join sizes using (doc_id)""",
 }
