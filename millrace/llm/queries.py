@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, workers_can_import
-from . import bpe, mixing, neardup, quality, records, topk, urlrules
+from . import bpe, mixing, neardup, quality, records, runindex, topk, urlrules
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = runindex.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
 #: The host rules of the contract.
@@ -63,7 +68,7 @@ def _ready(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op2_url_filters, op3_byte_bpe, op5_mixing, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records)}
+QUERIES = {f.__name__: _ready(f) for f in (op1_suffix_dedup, op2_url_filters, op3_byte_bpe, op5_mixing, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records)}
 
 _PATTERNS = ", ".join(f"('{r.name}', '{r.pattern}', {str(r.block).lower()})" for r in urlrules.DEFAULT_PATTERNS)
 
