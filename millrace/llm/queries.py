@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, workers_can_import
-from . import bpe, mixing, neardup, quality, records, runindex, topk, urlrules
+from . import bpe, htmlmain, langid, mixing, neardup, quality, records, runindex, topk, urlrules
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +35,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0, schedules=mixing.tilted())
     placed = planned.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
     return mixing.sorted_by_position(placed)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.prototypes(docs.where(~langid.held_out()))
+    predicted = langid.predict(docs, learned)
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
 
@@ -68,7 +79,7 @@ def _ready(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op1_suffix_dedup, op2_url_filters, op3_byte_bpe, op5_mixing, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records)}
+QUERIES = {f.__name__: _ready(f) for f in (op1_suffix_dedup, op2_url_filters, op3_byte_bpe, op4_html_extraction, op5_mixing, op6_language_id, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records)}
 
 _PATTERNS = ", ".join(f"('{r.name}', '{r.pattern}', {str(r.block).lower()})" for r in urlrules.DEFAULT_PATTERNS)
 
