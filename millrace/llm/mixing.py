@@ -83,13 +83,14 @@ def segments_end(knots: Knots, start: float) -> float:
     return pieces[i + 1][4] if i + 1 < len(pieces) else 1.0
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, schedules: Sequence[Knots] = (((0.0, 1.0), (1.0, 1.0)),), range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken, place (words before it in a pass), position of its first copy.
+def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, schedules: Sequence[Knots] = (((0.0, 1.0), (1.0, 1.0)),), range_rows: int = RANGE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, keep, source, size, source_size, target, place (words before it in
+    a pass), copies (words and position of each), taken (words of all copies), position (of the first).
 
     schedules repeat over the sources as weights do; each gives the shape of a source's weight over time.
     """
     order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = stored(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     rows = sizes.count()
     ranges = max(64, -(-rows // range_rows))
     keyed = sizes.withColumn("__key", order_key).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(float(1 << 32))))
@@ -100,15 +101,19 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     inside = W.partitionBy("source", "__range").orderBy("__key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("p").join(bounds.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.__range") == F.col("b.__range")))
-    joined = joined.select("p.doc_id", "p.source", "p.size", "b.rank", "b.source_size", "b.target", (F.col("b.__start") + F.col("p.__inside")).alias("place"))
+    joined = joined.select("p.doc_id", *(f"p.{c}" for c in keep), "p.source", "p.size", "b.rank", "b.source_size", "b.target", (F.col("b.__start") + F.col("p.__inside")).alias("place"))
     demand, whole = F.floor("target"), F.col("source_size")
-    copies = [F.greatest(F.least(demand - F.col("place") - F.lit(i) * whole, F.col("size")), F.lit(0)) for i in range(int(-(-cap // 1)))]
-    taken = sum(copies[1:], copies[0])
-    at = F.when(F.col("target") > 0, F.col("place") / F.col("target")).otherwise(F.lit(1.0))
-    where: Column = F.lit(None).cast("double")
-    for i, knots in enumerate(schedules):
-        where = F.when(F.col("rank") % len(schedules) == i, position(at, knots)).otherwise(where)
-    return joined.withColumns({"taken": taken.cast("bigint"), "position": where}).drop("rank")
+    words = [F.greatest(F.least(demand - F.col("place") - F.lit(i) * whole, F.col("size")), F.lit(0)).cast("bigint") for i in range(int(-(-cap // 1)))]
+
+    def where(i: int) -> Column:
+        at = F.when(F.col("target") > 0, (F.col("place") + F.lit(i) * whole) / F.col("target")).otherwise(F.lit(1.0))
+        out = F.lit(None).cast("double")
+        for k, knots in enumerate(schedules):
+            out = F.when(F.col("rank") % len(schedules) == k, position(at, knots)).otherwise(out)
+        return out
+
+    copies = F.array(*(F.struct(n.alias("words"), where(i).alias("position")) for i, n in enumerate(words)))
+    return joined.withColumns({"copies": copies, "taken": sum(words[1:], words[0]), "position": where(0)}).drop("rank")
 
 
 def sorted_by_position(planned: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ that with probability 1e-9), and is a link only if its full sets are similar eno
 
 Defined results: null and blank texts have an empty set and are linked with nothing. Repeated rows
 (and other rows of equal sets) share a component. Texts of fewer than 5 words have one shingle. An empty
-table gives no rows. Columns of the input other than doc_id and text are not looked at.
+table gives no rows. Rows with a null id are linked with nothing and kept. Columns of the input other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFram
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id)."""
     signed = stored(signatures(docs), "signatures")
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keys = _keys(classes)
     least = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
@@ -206,4 +206,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     homes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("home"))
     placed = signed.drop("sig").join(homes, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("home")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

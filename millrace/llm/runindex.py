@@ -332,7 +332,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _removed(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], names: list[str], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, gone, cuts, kept = [], [], [], []
         for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
@@ -343,15 +343,18 @@ def _removed(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
                 at = hi
             parts.append(raw[at:])
             sizes.append(len(raw)), gone.append(sum(hi - lo for lo, hi in runs)), cuts.append(len(runs)), kept.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept_text" if as_text else "kept_bytes"])
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, anchor: int = ANCHOR, most: int = GROUP_CONTEXTS) -> DataFrame:
-    """keep, n_bytes, n_removed, n_spans and kept_bytes (the text without every repeated span) of each row."""
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, anchor: int = ANCHOR, most: int = GROUP_CONTEXTS, as_text: bool = False) -> DataFrame:
+    """keep, n_bytes, n_removed, n_spans and kept_bytes (the text without every repeated span) of each row.
+
+    as_text gives kept_text instead, without characters that a cut goes through.
+    """
     names = list(keep)
     spans = repeats(docs, length, anchor, most).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
     text = F.col("text").cast("string")
     rows = docs.select(*names, F.col("doc_id").alias("__doc"), text.alias("__text"), F.xxhash64(text).alias("__text_key"))
     both = rows.join(spans, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left").select(*names, "__text", "__spans")
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary"])
-    return both.mapInArrow(lambda it: _removed(it, names), schema)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_text string" if as_text else "kept_bytes binary")])
+    return both.mapInArrow(lambda it: _removed(it, names, as_text), schema)
