@@ -167,7 +167,7 @@ def _linky(node: _Node) -> bool:
 
 def _owner(node: _Node) -> _Node:
     """The nearest container that may hold an article: lists, cells and single blocks count for what is around them."""
-    while node.parent is not None and node.tag not in ("body", "main", "article", "section", "div", "td"):
+    while node.parent is not None and node.tag not in ("body", "main", "article", "section", "div"):
         node = node.parent
     return node
 

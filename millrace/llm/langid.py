@@ -152,7 +152,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], names: list[str], langs: list[
 def predict(docs: DataFrame, learned: dict[str, list[int]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred and score of each row, from its text alone; nothing is shuffled."""
     names, langs = list(keep), list(learned)
-    table = np.array([learned[x] for x in langs], np.float64).reshape(len(langs), -1)
+    table = np.array([learned[x] for x in langs], np.float64).reshape(len(langs), -1 if langs else DIMENSIONS)
     unit = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12) if langs else table
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "lang_pred string, score double"])
     return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(lambda it: _predicted(it, names, langs, unit), schema)

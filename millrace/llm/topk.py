@@ -100,13 +100,13 @@ def _bounds(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(low[has]), pa.array(high[has]), pa.array(seen[has])], ["q", "low", "high", "n"])
 
 
-def _histogram(batches: Iterator[pa.RecordBatch], block: Block, low: np.ndarray, width: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of each query's bins from the top down, as far as need of this task's own scores."""
+def _histogram(batches: Iterator[pa.RecordBatch], block: Block, low: np.ndarray, span: np.ndarray, width: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of each query's bins over [low, low + span) from the top down, as far as need of this task's own scores."""
     n = len(block.ids)
     counts = np.zeros((n, BINS + 1), np.int64)
     for _, scores in _scored(batches, block):
         bins = np.clip((scores - low[:, None]) // width[:, None], -1, BINS - 1)
-        inside = (scores >= low[:, None]) & (scores < low[:, None] + width[:, None] * BINS) & (need[:, None] > 0) & (scores != _LEAST)
+        inside = (scores >= low[:, None]) & (scores < (low + span)[:, None]) & (need[:, None] > 0) & (scores != _LEAST)
         q, _ = np.nonzero(inside)
         counts += np.bincount(q * (BINS + 1) + bins[inside], minlength=counts.size).reshape(counts.shape)
     above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
@@ -143,19 +143,22 @@ def _block_top(rows: DataFrame, block: Block, k: int) -> DataFrame:
     low, high, seen = _collected(stats.groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")), n, ("low", "high", "n"))
     # need: how many of the k lie in the range that is still cut; low becomes the kth score.
     need = np.minimum(seen, k)
-    width = np.maximum(-(-(high - low + 1) // BINS), 1)
+    span = np.maximum(high - low + 1, 1)
+    width = np.maximum(-(-span // BINS), 1)
     while (need > 0).any():
-        args = block, low.copy(), width.copy(), need.copy()
+        args = block, low.copy(), span.copy(), width.copy(), need.copy()
         counts = rows.mapInArrow(lambda it, args=args: _histogram(it, *args), "q bigint, bin bigint, n bigint")
         over = W.partitionBy("q").orderBy(F.desc("bin"))
         ranked = counts.groupBy("q", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(over))
         goal = F.element_at(F.lit(need.tolist()), (F.col("q") + 1).cast("int"))
         hit = ranked.where((F.col("upto") >= goal) & (F.col("upto") - F.col("n") < goal)).withColumn("above", F.col("upto") - F.col("n"))
         bins, above = _collected(hit, n, ("bin", "above"))
+        low_before, low_span = low, span
         low, need = low + np.where(need > 0, bins, 0) * width, need - above
         if (width == 1).all():
             break
-        width = np.maximum(-(-width // BINS), 1)
+        span = np.minimum(width, low_span - (low - low_before))
+        width = np.maximum(-(-span // BINS), 1)
     kth, ties = np.where(seen > 0, low, np.iinfo(np.int64).max), need
     return rows.mapInArrow(lambda it: _winners(it, block, kth, ties), "query_id bigint, vec_id bigint, score bigint")
 
