@@ -57,12 +57,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     differ from its target by half a document at most for each pass.
     """
     safe, other = _shielded(docs)
-    safe = safe.withColumn("__text_key", F.xxhash64("text"))
+    # Two keys that are never null: the window and the join below then share one shuffle of the texts.
+    keys = {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__text_key": F.xxhash64("text")}
+    safe = safe.withColumns(keys)
     source = F.col(other["source"]) if "source" in other else F.lit(None).cast("string")
-    planned = mixing.plan(safe.select("doc_id", "text", source.alias("source"), "__text_key"), schedules=mixing.tilted(), keep=("__text_key",))
-    copies = planned.select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__of"), "size", F.explode("copies").alias("copy")).where("copy.words > 0 and 2 * copy.words >= size").select("__id", "__of", F.col("copy.position").alias("__position"))
-    once = safe.withColumn("__row", F.row_number().over(W.partitionBy("doc_id", "__text_key").orderBy(F.lit(1)))).where("__row = 1").drop("__row")
-    placed = copies.join(once, F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__of").eqNullSafe(F.col("__text_key")))
+    planned = mixing.plan(safe.select("doc_id", "text", source.alias("source"), *keys), schedules=mixing.tilted(), keep=tuple(keys))
+    copies = planned.select(*keys, "size", F.explode("copies").alias("copy")).where("copy.words > 0 and 2 * copy.words >= size").select(*keys, F.col("copy.position").alias("__position"))
+    once = safe.withColumn("__row", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1)))).where("__row = 1").drop("__row")
+    placed = copies.join(once, list(keys))
     ordered = placed.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id")
     return _restored(ordered, docs, other)
 
