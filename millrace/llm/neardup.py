@@ -1,20 +1,26 @@
 """MinHash near-duplicates through a multi-index Hamming join of b-bit signatures.
 
 A document's set is its distinct 5-word shingles over lower-cased words. Its signature has SYMBOLS
-min-hashes of 16 bits in chunks of CHUNK symbols. Two signatures that differ in at most
-2 * chunks - 1 symbols agree, by the pigeonhole principle, in some chunk up to one symbol, so each
-chunk is filed once for each symbol that may be wrong, without it: every pair within that distance
-meets under some key. (At a similarity of 0.75 a pair misses all keys with probability 1e-7.)
-
-Documents with equal sets are one class; the least id stands for it. Under each key the least class is
-compared with all others, and classes that are linked so become one component. Keys whose classes then
-still lie in different components have the rest of their pairs compared, in square blocks. A pair is
-dropped when its signatures differ in more than TOLERANCE symbols (a similarity of 0.75 goes beyond
-that with probability 1e-9), and is a link only if its full sets are similar enough.
-
-Defined results: null and blank texts have an empty set and are linked with nothing. Repeated rows
-(and other rows of equal sets) share a component. Texts of fewer than 5 words have one shingle. An empty
-table gives no rows. Rows with a null id are linked with nothing and kept. Columns of the input other than doc_id and text are not looked at.
+min-hashes of 16 bits. The first FILED of them are cut into chunks of CHUNK symbols. Two signatures that
+differ there in at most 2 * chunks - 1 symbols agree, by the pigeonhole principle, in some chunk up to
+one symbol, so each chunk is filed once for each symbol that may be wrong, without it: every pair within
+that distance meets under some key. (At a similarity of 0.75 a pair misses all keys with probability
+1e-7.) A pair is dropped when its whole signatures differ in more than TOLERANCE symbols (a similarity of
+0.75 goes beyond that with probability 1e-6) or when the sizes of the sets rule it out, and it is a link
+only if its full sets are similar enough.
+
+Documents with equal sets are one class; the least id stands for it. Classes are linked in three rounds,
+and each round only looks at keys whose classes lie in different components so far:
+
+1. under each key, the least class with all others;
+2. a least spanning forest of the signature distances under each key: those links join nearly
+   all that belongs together without listing the pairs of a large group;
+3. all pairs that are left between different components, so that no link is lost.
+
+Keys of many classes are dealt out in square blocks. Defined results: null and blank texts have an empty
+set and are linked with nothing. Repeated rows (and other rows of equal sets) share a component. Texts
+of fewer than 5 words have one shingle. Rows with a null id are linked with nothing and kept. An empty
+table gives no rows. Columns of the input other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +36,11 @@ from .common import lower_ascii, mixed, prefix_sums, row_blocks, sequence_hash,
 from .graph import components
 
 WIDTH = 5
-SYMBOLS, CHUNK = 48, 4
-KEYS = SYMBOLS
-TOLERANCE = 31
+SYMBOLS, FILED, CHUNK = 128, 48, 4
+KEYS = FILED
+TOLERANCE = 58
 #: Classes of one key that a task compares with as many others.
-SQUARE = 512
+SQUARE = 4096
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
@@ -74,14 +80,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(s))
                 firsts.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 seconds.append(int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else 0)
-                signs.append(signature(s).astype(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                signs.append(signature(s).view(np.int16) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signs, pa.list_(pa.int16()))], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set, and its signature (null for an empty set)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<int>")
+    return rows.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<smallint>")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -98,6 +104,11 @@ def _apart(a, b):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))
 
 
+def _possible(a, b, percent: int):
+    """Sizes of sets that can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = text_bytes(batch.column(1))
@@ -116,17 +127,21 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and shingles of the listed documents. Always joined by sorting, so the plan is alike at every size."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id bigint, shingles binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(texts.mapInArrow(_sets, "id bigint, shingles binary"), "sets")
     # b first: a is the least class of its keys and may stand in very many pairs; its set is added last.
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    one = lambda name, held: sets.select(F.col("id").alias(name), F.col("shingles").alias(held)).hint("merge")
+    both = pairs.join(one("b", "sb"), "b").join(one("a", "sa"), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, percent), "a bigint, b bigint")
 
 
-def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _squares(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of each (key, row, column) square; the input is sorted by these."""
     held, parts = None, []
     for batch in batches:
@@ -137,73 +152,117 @@ def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             name = tuple(names[:, i].tolist())
             if name != held and parts:
-                yield _square(parts)
+                yield _square(parts, percent, forest)
                 parts = []
             held = name
             parts.append(batch.slice(i, j - i))
     if parts:
-        yield _square(parts)
+        yield _square(parts, percent, forest)
 
 
-def _square(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _square(parts: list[pa.RecordBatch], percent: int, forest: bool) -> pa.RecordBatch:
     t = pa.Table.from_batches(parts).combine_chunks()
-    rep, label, side = (t.column(c).to_numpy() for c in ("rep", "label", "side"))
+    rep, label, side, size = (t.column(c).to_numpy() for c in ("rep", "label", "side", "n_shingles"))
     number, row, col = (t.column(c)[0].as_py() for c in ("number", "row", "col"))
-    sig = np.stack([np.array(x.as_py(), np.uint16) for x in t.column("sig")])
-    left = np.flatnonzero(side == row)
-    right = left if row == col else np.flatnonzero(side == col)
+    sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), SYMBOLS)
+    if forest:
+        a, b = _forest(rep, label, size, sig, percent)
+    else:
+        a, b = _all_pairs(rep, label, size, sig, percent, number, np.flatnonzero(side == row), np.flatnonzero(side == col), row == col)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def _fits(size: np.ndarray, own: int, percent: int) -> np.ndarray:
+    return 100 * np.minimum(size, own) >= percent * np.maximum(size, own)
+
+
+def _forest(rep: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a least spanning forest over the components, by signature distance up to TOLERANCE."""
+    n, far = len(rep), SYMBOLS + 1
+    _, group = np.unique(label, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(group.max() + 2))
+    inside, best, source = np.zeros(n, bool), np.full(n, far), np.zeros(n, np.int64)
+    edges: list[tuple[int, int]] = []
+
+    def take(g: int) -> None:
+        for u in order[starts[g] : starts[g + 1]].tolist():
+            inside[u] = True
+            distance = np.where(_fits(size, size[u], percent), (sig != sig[u]).sum(1), far)
+            nearer = distance < best
+            best[nearer], source[nearer] = distance[nearer], u
+
+    for first in range(n):
+        if inside[first]:
+            continue
+        best[:] = far
+        take(group[first])
+        while not inside.all():
+            v = int(np.where(inside, far, best).argmin())
+            if inside[v] or best[v] > TOLERANCE:
+                break
+            edges.append((int(source[v]), v))
+            take(group[v])
+    at = np.array(edges, np.int64).reshape(-1, 2)
+    return rep[at[:, 0]], rep[at[:, 1]]
+
+
+def _all_pairs(rep, label, size, sig, percent: int, number: int, left: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between components; a pair belongs to the first of the keys it shares and is passed over elsewhere."""
     a_out, b_out = [], []
     for i in left.tolist():
-        others = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if row == col else True)]
+        others = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if diagonal else True) & _fits(size[right], size[i], percent)]
         if not len(others):
             continue
         same = sig[others] == sig[i]
-        others, same = others[near := same.sum(1) >= SYMBOLS - TOLERANCE], same[near]
+        near = same.sum(1) >= SYMBOLS - TOLERANCE
+        others, same = others[near], same[near, :FILED]
         if not len(others):
             continue
-        # The pair belongs to the first of the keys it shares; elsewhere it is passed over.
         chunks = same.reshape(len(others), -1, CHUNK)
         agree = chunks.sum(2, keepdims=True) - chunks == CHUNK - 1
-        first = agree.reshape(len(others), -1).argmax(1)
-        own = others[first == number]
-        a_out += np.minimum(rep[own], rep[i]).tolist()
-        b_out += np.maximum(rep[own], rep[i]).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+        own = others[agree.reshape(len(others), -1).argmax(1) == number]
+        a_out.append(np.full(len(own), rep[i]))
+        b_out.append(rep[own])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (empty, empty)
 
 
-def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of classes that share a key but no component yet, other than those with a key's least class."""
     named = members.where("rep <> pivot").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "number", "rep", F.coalesce("component", "rep").alias("label"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h").select("key", F.ceil(F.col("n") / F.lit(SQUARE)).alias("sides"))
     rows = named.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
-    rows = rows.select("key", "number", "rep", "label", "side", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
-    signed = rows.join(classes.select("rep", "sig"), "rep")
+    signed = rows.join(classes.select("rep", "sig", "n_shingles"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
+    signed = signed.select("key", "number", "rep", "label", "side", "n_shingles", "sig", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.repartition(n, "key", "row", "col").sortWithinPartitions("key", "row", "col")
-    return dealt.mapInArrow(_squares, "a bigint, b bigint")
+    return dealt.mapInArrow(lambda it: _squares(it, percent, forest), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id)."""
     signed = stored(signatures(docs), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = stored(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     keys = _keys(classes)
-    least = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
+    # Written first: a join of two plain exchanges can be split where one key is very common.
+    least = stored(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "least")
     members = stored(keys.join(least, "key"), "members")
-    pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    signs = classes.select("rep", "sig")
-    near = pairs.join(signs.toDF("b", "sig_b"), "b").join(signs.toDF("a", "sig_a"), "a").where(_apart(F.col("sig_a"), F.col("sig_b")) <= TOLERANCE).select("a", "b")
-    links = stored(confirmed(stored(near, "pairs"), docs, percent), "confirmed")
+    sets = stored(_wanted_sets(docs, members.select(F.col("rep").alias("id")).distinct()), "sets")
+    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    one = lambda name: classes.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"))
+    near = star.join(one("b"), "b").join(one("a"), "a").where(_possible(F.col("n_a"), F.col("n_b"), percent) & (_apart(F.col("sig_a"), F.col("sig_b")) <= TOLERANCE)).select("a", "b")
+    links = stored(confirmed(near, sets, percent), "confirmed")
     labels = stored(components(links), "components")
-    more = stored(_rest(members, classes, labels), "pairs")
-    if not more.isEmpty():
-        # What is joined already counts as one node: only links between components are new.
-        named = confirmed(more, docs, percent)
-        links = stored(links.unionByName(named), "confirmed")
-        labels = stored(components(links), "components")
+    for forest in (True, False):
+        pairs = stored(_between(members, classes, labels, percent, forest), "pairs")
+        more = stored(confirmed(pairs, sets, percent), "confirmed")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = stored(components(links), "components")
     homes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("home"))
     placed = signed.drop("sig").join(homes, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("home")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
