@@ -15,7 +15,8 @@ and each round only looks at keys whose classes lie in different components so f
 1. under each key, the least class with all others;
 2. a least spanning forest of the signature distances under each key: those links join nearly
    all that belongs together without listing the pairs of a large group;
-3. all pairs that are left between different components, so that no link is lost.
+3. all pairs that are left between different components, so that no link is lost. Their least SKETCH
+   shingle hashes, the whole set of most texts, rule out nearly all of them before any is passed on.
 
 Keys of many classes are dealt out in square blocks. Defined results: null and blank texts have an empty
 set and are linked with nothing. Repeated rows (and other rows of equal sets) share a component. Texts
@@ -41,6 +42,8 @@ KEYS = FILED
 TOLERANCE = 58
 #: Classes of one key that a task compares with as many others.
 SQUARE = 4096
+#: Shingle hashes of each class that the last round compares inside a task, and the standard errors it allows for where these are not the whole set.
+SKETCH, ERRORS = 256, 5.0
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
@@ -168,7 +171,8 @@ def _square(parts: list[pa.RecordBatch], percent: int, forest: bool) -> pa.Recor
     if forest:
         a, b = _forest(rep, label, size, sig, percent)
     else:
-        a, b = _all_pairs(rep, label, size, sig, percent, number, np.flatnonzero(side == row), np.flatnonzero(side == col), row == col)
+        sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
+        a, b = _all_pairs(rep, label, size, sig, sketches, percent, number, np.flatnonzero(side == row), np.flatnonzero(side == col), row == col)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
 
@@ -207,7 +211,22 @@ def _forest(rep: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarra
     return rep[at[:, 0]], rep[at[:, 1]]
 
 
-def _all_pairs(rep, label, size, sig, percent: int, number: int, left: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
+def _may_link(p: np.ndarray, q: np.ndarray, sizes: tuple[int, int], percent: int) -> bool:
+    """Whether two sets can be similar enough, by their least hashes: exact where these are the whole sets."""
+    exact = len(p) == sizes[0] and len(q) == sizes[1]
+    if not exact:
+        top = min(x[-1] for x, n in ((p, sizes[0]), (q, sizes[1])) if len(x) < n)
+        p, q = p[: np.searchsorted(p, top, "right")], q[: np.searchsorted(q, top, "right")]
+    at = np.searchsorted(p, q)
+    common = int((p[np.minimum(at, len(p) - 1)] == q).sum())
+    union = len(p) + len(q) - common
+    if exact:
+        return 100 * common >= percent * union
+    share = percent / 100
+    return common / union >= share - ERRORS * (share * (1 - share) / union) ** 0.5
+
+
+def _all_pairs(rep, label, size, sig, sketches: list[np.ndarray], percent: int, number: int, left: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs between components; a pair belongs to the first of the keys it shares and is passed over elsewhere."""
     a_out, b_out = [], []
     for i in left.tolist():
@@ -222,19 +241,23 @@ def _all_pairs(rep, label, size, sig, percent: int, number: int, left: np.ndarra
         chunks = same.reshape(len(others), -1, CHUNK)
         agree = chunks.sum(2, keepdims=True) - chunks == CHUNK - 1
         own = others[agree.reshape(len(others), -1).argmax(1) == number]
+        own = own[[_may_link(sketches[i], sketches[j], (size[i], size[j]), percent) for j in own.tolist()]] if len(own) else own
         a_out.append(np.full(len(own), rep[i]))
         b_out.append(rep[own])
     empty = np.zeros(0, np.int64)
     return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (empty, empty)
 
 
-def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of classes that share a key but no component yet, other than those with a key's least class."""
     named = members.where("rep <> pivot").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "number", "rep", F.coalesce("component", "rep").alias("label"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h").select("key", F.ceil(F.col("n") / F.lit(SQUARE)).alias("sides"))
     rows = named.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")))
-    signed = rows.join(classes.select("rep", "sig", "n_shingles"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
-    signed = signed.select("key", "number", "rep", "label", "side", "n_shingles", "sig", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
+    known = classes.select("rep", "sig", "n_shingles")
+    if not forest:
+        known = known.join(sets.select(F.col("id").alias("rep"), F.substring("shingles", 1, 8 * SKETCH).alias("sketch")), "rep")
+    signed = rows.join(known, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
+    signed = signed.select("key", "number", "rep", "label", "side", "n_shingles", "sig", *([] if forest else ["sketch"]), F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.repartition(n, "key", "row", "col").sortWithinPartitions("key", "row", "col")
     return dealt.mapInArrow(lambda it: _squares(it, percent, forest), "a bigint, b bigint").distinct()
@@ -256,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = stored(confirmed(near, sets, percent), "confirmed")
     labels = stored(components(links), "components")
     for forest in (True, False):
-        pairs = stored(_between(members, classes, labels, percent, forest), "pairs")
+        pairs = stored(_between(members, classes, labels, sets, percent, forest), "pairs")
         more = stored(confirmed(pairs, sets, percent), "confirmed")
         if not more.isEmpty():
             links = links.unionByName(more)
