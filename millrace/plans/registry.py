@@ -265,10 +265,10 @@ def term_ids(spark, sf_dir):
 @query(f"""with {_TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all), v as (select term, count(*) as df from b group by term), n as (select count(distinct doc_id) as n from t),
     x as (select doc_id, term, tf * ln(n / df::double) as value from b join v using (term), n),
     r as (select *, row_number() over (partition by doc_id order by round(value, 9) desc, term) as rank from x)
-    select doc_id, rank::int as rank, term, round(value, 6) as value from r where rank <= 5""")
+    select doc_id, rank::int as rank, term, round(value, 3) as value from r where rank <= 5""")
 def tfidf_top_terms(spark, sf_dir):
     scored = text.tf_idf(_bag(spark, sf_dir), "doc_id").withColumn("value", F.round("value", 9))
-    return text.top_terms(scored, "doc_id", "value", 5).select("doc_id", "rank", "term", _rounded("value"))
+    return text.top_terms(scored, "doc_id", "value", 5).select("doc_id", "rank", "term", _rounded("value", 3))
 
 
 @query(f"""with {_TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all), v as (select term, count(*) as df from b group by term), n as (select count(distinct doc_id) as n from t),
@@ -522,10 +522,11 @@ def best_split(spark, sf_dir):
 
 
 @query(f"""with {_FEATURE_COUNTS}, b as (select *, (least(p0, n0) + least(p1, n1)) / (p0 + n0 + p1 + n1) as e from f order by round(e, 12), i limit 1)
-    select name as feature, round(e, 9) as error, round(0.5 * ln((1 - e) / e), 9) as coefficient, (case when p0 >= n0 then 1 else -1 end)::int as left_label, (case when p1 >= n1 then 1 else -1 end)::int as right_label from b""")
+    select name as feature, round(e, 9) as error, round(0.5 * ln((1 - e) / e), 9) as coefficient, (case when p0 >= n0 then 1 else -1 end)::int as left_label, (case when p1 >= n1 then 1 else -1 end)::int as right_label from b
+    where (select count(distinct round((least(p0, n0) + least(p1, n1)) / (p0 + n0 + p1 + n1), 12)) from f) > 1""")
 def adaboost_round(spark, sf_dir):
-    s = trees.adaboost(_tree_rows(spark, sf_dir), "x", "y", _TREE_NAMES, 1)[0]
-    return spark.createDataFrame([(_TREE_NAMES[s.feature], s.error, s.coefficient, s.left, s.right)], "feature string, error double, coefficient double, left_label int, right_label int").select("feature", _rounded("error", 9), _rounded("coefficient", 9), "left_label", "right_label")
+    stumps = trees.adaboost(_tree_rows(spark, sf_dir), "x", "y", _TREE_NAMES, 1)
+    return spark.createDataFrame([(_TREE_NAMES[s.feature], s.error, s.coefficient, s.left, s.right) for s in stumps], "feature string, error double, coefficient double, left_label int, right_label int").select("feature", _rounded("error", 9), _rounded("coefficient", 9), "left_label", "right_label")
 
 
 @query(f"""with {_FEATURE_COUNTS}, b as (select *, row_number() over (order by round((least(p0, n0) + least(p1, n1)), 9), abs(p0 + n0 - p1 - n1), i) as k from f),
@@ -552,7 +553,10 @@ def pruned_tree_nodes(spark, sf_dir):
 @query()
 def staged_error(spark, sf_dir):
     rows = _tree_rows(spark, sf_dir)
-    return trees.staged_error(rows, trees.adaboost(rows, "x", "y", _TREE_NAMES, 6), "x", "y")
+    stumps = trees.adaboost(rows, "x", "y", _TREE_NAMES, 6)
+    if not stumps:
+        return spark.createDataFrame([], "stage int, error double")
+    return trees.staged_error(rows, stumps, "x", "y")
 
 
 # ---------------------------------------------------------------- clustering
