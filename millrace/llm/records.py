@@ -2,7 +2,8 @@
 
 A shard is a row of frames: the payload's length (8 bytes, little-endian), the masked checksum of
 those 8 bytes (4 bytes), the payload, the masked checksum of the payload (4 bytes). The payload is the
-document id (8 bytes, signed) and the ids (unsigned 32-bit integers). The checksum is CRC-32, masked
+document id (8 bytes, signed), the width of an id (1 byte) and the ids, unsigned and little-endian, of 2
+bytes each where all of the record's fit into that and of 4 bytes else. The checksum is CRC-32, masked
 by a rotation and a constant so that a checksum of data which holds checksums stays sound. Beside each
 shard, an index of unsigned 64-bit offsets gives each frame's place, so single records can be read in
 any order. Shards are written under a temporary name and renamed, so a lost executor leaves none half
@@ -30,10 +31,10 @@ from pyspark.sql import Window as W
 
 from .common import scratch
 
-_HEAD, _CRC, _ID = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q")
+_HEAD, _CRC, _ID = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qB")
 #: Written in place of a null id.
 _NO_ID = -(1 << 63)
-CACHE_SIZE = 400_000
+CACHE_SIZE = 350_000
 #: Text bytes that a shard has on average.
 SHARD_BYTES = 32 << 20
 #: Records read before a batch goes back to Spark.
@@ -50,6 +51,19 @@ def frame(payload: bytes) -> bytes:
     return b"".join((size, _CRC.pack(masked(size)), payload, _CRC.pack(masked(payload))))
 
 
+def payload_of(doc_id: int | None, ids: bytes) -> bytes:
+    """A record's payload from 32-bit ids."""
+    numbers = np.frombuffer(ids, "<u4")
+    width = 2 if not len(numbers) or int(numbers.max()) < 1 << 16 else 4
+    return _ID.pack(_NO_ID if doc_id is None else doc_id, width) + (numbers.astype("<u2").tobytes() if width == 2 else ids)
+
+
+def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """Document id and 32-bit ids of a payload."""
+    doc_id, width = _ID.unpack_from(payload)
+    return (None if doc_id == _NO_ID else doc_id), np.frombuffer(payload, f"<u{width}", offset=_ID.size).astype("<u4")
+
+
 def read_frame(stream, offset: int | None = None) -> bytes:
     """The payload at offset (or where the stream stands); ValueError if a checksum does not fit."""
     if offset is not None:
@@ -68,18 +82,38 @@ def read_frame(stream, offset: int | None = None) -> bytes:
     return payload
 
 
+#: ASCII marks that end a word as a pre-token of their own; the apostrophe starts contractions and is not among them.
+_MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
+
+
 class _Words(dict):
-    """Ids of words without white space, packed; the tokenizer drops white space and never merges over it."""
+    """Packed ids of words without white space: the tokenizer drops white space and never merges over it.
+
+    A word of Latin letters with marks after it goes by its letters in lower case and its marks, which are
+    pre-tokens of their own.
+    Words are remembered in two generations of CACHE_SIZE each at most.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(word)
+        if packed is None:
+            text = word.decode()
+            core = text.rstrip(_MARKS)
+            latin = core.isalpha() and max(core) < "\u0250" and "\u0130" not in core
+            low = core.lower() if latin else text
+            if low != text:
+                packed = self[low.encode()]
+                if len(core) < len(text):
+                    packed += self[text[len(core) :].encode()]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             self[word] = packed
         return packed
@@ -87,6 +121,7 @@ class _Words(dict):
     def ids(self, text: str) -> bytes:
         out = b"".join(map(self.__getitem__, text.encode().split()))
         if len(self) > CACHE_SIZE:
+            self.older = dict(self)
             self.clear()
         return out
 
@@ -112,7 +147,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             out = out or store.open_output_stream(f"{root}/_{attempt}.rec")
             packed = token_ids(text, path, end_id)
-            record = frame(_ID.pack(_NO_ID if doc_id is None else doc_id) + packed)
+            record = frame(payload_of(doc_id, packed))
             out.write(record)
             offsets.append(place)
             place += len(record)
@@ -156,10 +191,9 @@ def _read_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
             with store.open_input_stream(f"{root}/{shard}.rec", buffer_size=1 << 20) as stream:
                 rows = []
                 for _ in range(count):
-                    payload = read_frame(stream)
-                    doc_id, n = _ID.unpack_from(payload)[0], (len(payload) - 8) // 4
-                    rows.append((None if doc_id == _NO_ID else doc_id, base, n, payload[8:]))
-                    base += n
+                    doc_id, ids = parsed(read_frame(stream))
+                    rows.append((doc_id, base, len(ids), ids.tobytes()))
+                    base += len(ids)
                     if len(rows) == BATCH_ROWS or sum(len(r[3]) for r in rows[-1:]) > 1 << 22:
                         yield _record_batch(rows)
                         rows = []
@@ -190,6 +224,4 @@ def read_at(folder: str, shard: str, number: int) -> tuple[int | None, np.ndarra
         index.seek(8 * number)
         offset = struct.unpack("<Q", index.read(8))[0]
     with store.open_input_file(f"{root}/{shard}.rec") as stream:
-        payload = read_frame(stream, offset)
-    doc_id = _ID.unpack_from(payload)[0]
-    return (None if doc_id == _NO_ID else doc_id), np.frombuffer(payload[8:], "<u4")
+        return parsed(read_frame(stream, offset))
