@@ -86,11 +86,16 @@ def read_frame(stream, offset: int | None = None) -> bytes:
 _MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 class _Words(dict):
     """Packed ids of words without white space: the tokenizer drops white space and never merges over it.
 
     A word of Latin letters with marks after it goes by its letters in lower case and its marks, which are
-    pre-tokens of their own.
+    pre-tokens of their own; such letters are one pre-token, which the library's model takes directly.
     Words are remembered in two generations of CACHE_SIZE each at most.
     """
 
@@ -99,6 +104,7 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
         packed = self.older.get(word)
@@ -112,7 +118,10 @@ class _Words(dict):
                 if len(core) < len(text):
                     packed += self[text[len(core) :].encode()]
             else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                if latin:
+                    ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_ALPHABET))]
+                else:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             self[word] = packed
