@@ -309,7 +309,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: i
     """doc_id, text_key, spans: the byte spans [lo, hi) of each text that repeat, unmerged; texts without any are left out."""
     texts = _keyed(docs)
     found = texts.where(F.octet_length("text") >= length).mapInArrow(lambda it: _anchored(it, length, anchor), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, anchor bigint, context bigint, start bigint, windows int")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written first: a join of two plain exchanges can be split where one anchor is very common.
+    twice = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     places = stored(found.join(twice, "anchor"), "places")
     entries = stored(places.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min("windows").alias("windows"), F.min(F.struct("doc_id", "text_key", "start")).alias("at")), "entries")
     several = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
