@@ -224,6 +224,10 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     return counted.withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
 
 
+#: Parts that the pages of one host are dealt to: a host may hold a third of all pages.
+SALTS = 64
+
+
 def _extracted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [article(page, path) for page, path in zip(batch.column("__html").to_pylist(), batch.column("__path").to_pylist(), strict=True)]
@@ -233,8 +237,8 @@ def _extracted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html") -> DataFrame:
     """keep, text, n_chars of each page."""
     names = list(keep)
-    rows = pages.select(*names, _hosted(pages, url).alias("__host"), F.col(html).cast("string").alias("__html"))
-    won = winning_paths(pages, url, html).select(F.col("host").alias("__of"), F.col("path").alias("__path"))
-    both = rows.join(won, F.col("__host") == F.col("__of"), "left").select(*names, "__html", "__path")
+    rows = pages.select(*names, _hosted(pages, url).alias("__host"), F.col(html).cast("string").alias("__html")).withColumn("__salt", F.pmod(F.xxhash64("__html"), F.lit(SALTS)))
+    won = winning_paths(pages, url, html).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("__salt"))
+    both = rows.join(won, ["__host", "__salt"], "left").select(*names, "__html", "__path")
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names), "text string"])
     return both.mapInArrow(lambda it: _extracted(it, names), schema).withColumn("n_chars", F.char_length("text").cast("bigint"))
