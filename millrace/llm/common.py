@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..session import scratch
 
 #: Bytes of text that are hashed at once; a longer single text is taken whole.
 BLOCK_BYTES = 1 << 21
@@ -19,28 +17,6 @@ BLOCK_BYTES = 1 << 21
 
 # ---------------------------------------------------------------- scratch tables
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is missing (a single machine, as in tests) a temporary folder is used.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or _own_folder(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _own_folder(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
-
-
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    path = tempfile.mkdtemp(prefix="millrace-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, computed once and kept as Parquet in the shared folder: survives lost executors."""
     spark = df.sparkSession

@@ -21,12 +21,12 @@ def shuffle_key(row_id: str, seed: int = 0) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
 
 
-def _ranked(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+def _ranked(df: DataFrame, bucket: Column, order: list[Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
     keyed = df.withColumn("__bucket", bucket)
-    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = keyed.withColumn("__inside", F.row_number().over(W.partitionBy("__bucket").orderBy(*order)))
-    return inside.join(starts, "__bucket").withColumn(name, (F.col("__start") + F.col("__inside") - 1).cast("bigint")).drop("__bucket", "__start", "__inside")
+    before = W.partitionBy(*within).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = keyed.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__n")).select(*within, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = keyed.withColumn("__inside", F.row_number().over(W.partitionBy(*within, "__bucket").orderBy(*order)))
+    return inside.join(starts, [*within, "__bucket"]).withColumn(name, (F.col("__start") + F.col("__inside") - 1).cast("bigint")).drop("__bucket", "__start", "__inside")
 
 
 def shuffle_rank(df: DataFrame, row_id: str, seed: int = 0, name: str = "shuffle_rank") -> DataFrame:
@@ -35,6 +35,14 @@ def shuffle_rank(df: DataFrame, row_id: str, seed: int = 0, name: str = "shuffle
     return _ranked(df, F.substring(key, 1, _DIGITS), [key, F.col(row_id)], name)
 
 
+def pass_ranks(df: DataFrame, row_id: str, turns: int, seed: int = 0, turn: str = "turn", name: str = "place") -> DataFrame:
+    """df once for each turn (from 0), with the place of each row in the shuffle of seed * 1000 + turn; ties by row_id, then by the whole row."""
+    copies = df.withColumn(turn, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    key = F.md5(F.concat((F.lit(seed * 1000) + F.col(turn)).cast("string"), F.lit(":"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    keyed = copies.withColumn("__key", key)
+    return _ranked(keyed, F.substring("__key", 1, _DIGITS), [F.col("__key"), F.col(row_id), F.xxhash64(*df.columns)], name, (turn,)).drop("__key")
+
+
 def value_rank(df: DataFrame, order: list[str], name: str = "row_rank", ranges: int = 64) -> DataFrame:
     """df with the place (from 0) of each row in ascending order of the columns; the first one cuts the ranges."""
     first = order[0]

@@ -1,8 +1,13 @@
-"""Session helpers: a local builder for tests and benchmarks, and worker import paths."""
+"""Session helpers: a local builder for tests and benchmarks, worker import paths, and paths for intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,3 +44,25 @@ def workers_can_import(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only where that setting is missing (a single machine, as in tests) a temporary folder is used.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or _own_folder(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import features
 from millrace.operators import kmeans, logistic, metrics, trees
+from millrace.plans import registry
 
 F7 = [(1, [1, 0], 1), (2, [1, 1], 1), (3, [0, 0], -1), (4, [0, 1], 1)]
 F9 = [(1, [1, 0], 1), (2, [1, 1], 1), (3, [1, 0], -1), (4, [0, 1], -1), (5, [0, 0], -1)]
@@ -136,6 +138,36 @@ def test_batches(points):
     assert got == pytest.approx(w) and len(out) == 6
 
 
+@pytest.mark.parametrize(("n", "batch", "at_once"), [(350, 20, 3), (350, 20, 512), (100, 20, 2), (15, 20, 2)])
+def test_batches_run_over_all_rows(spark, monkeypatch, n, batch, at_once):
+    monkeypatch.setattr(logistic, "BATCHES_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    a, y = rng.normal(size=n), np.where(rng.random(n) < 0.5, 1, -1)
+    df = spark.createDataFrame([(i, float(a[i]), int(y[i])) for i in range(n)] + [(n, 1.0, None)], "id int, a double, y int")
+    steps, total, w, want, seen = [0.01, 1.0, 100.0], 10 * n // batch, np.zeros((3, 2)), {}, set()
+    for i, (turn, at) in enumerate(logistic.batch_starts(n, batch, total)):
+        order = sorted(range(n), key=lambda k: hashlib.md5(f"{1000 + turn}:{k}".encode()).hexdigest())[at : at + batch]
+        seen.update(order)
+        x, good = np.column_stack([np.ones(len(order)), a[order]]), y[order] == 1
+        for k, step in enumerate(steps):
+            pull = 2 * 0.5 * w[k] * [0, 1]
+            w[k] = w[k] + step / batch * (x.T @ (good - np.exp(-np.logaddexp(0, -x @ w[k]))) - pull)
+            s = x @ w[k]
+            want[step, i + 1] = (((good - 1) * s - np.logaddexp(0, -s)).sum() - 0.5 * w[k][1] ** 2) / len(order)
+    out = logistic.mini_batch(df, "id", features.matrix("a"), "y", steps, batch, penalty=0.5).collect()
+    assert {(r["step_size"], r["iteration"]): pytest.approx(r["log_likelihood"], rel=1e-6) for r in out} == want and len(out) == len(want) and len(seen) == n
+    last = {r["step_size"]: r["weights"] for r in out if r["weights"] is not None}
+    assert [last[s] for s in steps] == [pytest.approx(v, rel=1e-6) for v in w.tolist()]
+
+
+def test_step_sweep_grows_with_the_labels(spark, tmp_path):
+    n = 1500
+    spark.range(n).selectExpr("id as doc_id", "concat('text ', id, if(id % 3 = 0, ' !!!', '')) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id as doc_id", "cast(id % 3 > 0 as int) as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.QUERIES["mini_batch_step_sweep"](spark, str(tmp_path)).groupBy("step_size").count().collect()
+    assert {round(math.log10(r["step_size"])): r["count"] for r in got} == {k: 10 * n // 100 for k in range(-4, 3)}
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.6), (-1, 0.7), (-1, 0.2)], "y int, p double")
     got = {r["threshold"]: (r["precision"], r["recall"]) for r in metrics.threshold_sweep(df, "y", "p", [0.5, 0.65, 0.9]).collect()}
