@@ -9,6 +9,11 @@ its own best. Menus, page headers, footers, sidebars, notices, adverts, forms, s
 reader comments are told by tag and class and left out anywhere, as are inner containers that are
 nearly all links.
 
+The winning container may be the largest part of an article only, so what is taken is widened to the
+outermost article or main around it, or to a container with a content name that does not frame the page
+(one with a menu or sidebar inside does). Other articles beside the one around the winner stay out, and
+so do articles inside it that are named like comments.
+
 Defined results: null and empty html, and pages without text outside such parts, give an empty text.
 Plain text without tags is one block. White space is what Unicode calls so; a ``br`` is white space.
 Unclosed and stray tags are tolerated. Repeated pages vote each. Hosts follow the first ``://`` up to
@@ -49,11 +54,15 @@ _SKIPPED_WORDS = frozenset(
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social comment comments commentlist disqus reply replies respond related recommended recommendations "
     "widget pagination pager tags form search skip hidden complementary contentinfo dialog".split()
 )
+#: Words of a class, id or role of a container that holds a whole article, unless it frames the page: with layout parts inside.
+_CONTENT_WORDS = frozenset("article main content post entry story".split())
+_LAYOUT_TAGS = frozenset("nav aside footer menu".split())
+_LAYOUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead topbar".split())
 _PAGE_HEADERS = frozenset(("header", "head", "sitehead", "pagehead"))
 
 
 class _Node:
-    __slots__ = ("parent", "path", "skipped", "text", "links", "tag", "score", "paragraphs", "anchors")
+    __slots__ = ("parent", "path", "skipped", "text", "links", "tag", "score", "paragraphs", "anchors", "marked", "content", "frame")
 
     def __init__(self, parent: _Node | None, tag: str, attributes: str):
         self.parent, self.tag = parent, tag
@@ -69,6 +78,14 @@ class _Node:
             label += "." + ".".join(sorted(filter(None, set(classes))))
         inside = parent is not None and parent.within("article", "main")
         self.skipped = skipped or tag in _SKIPPED_TAGS or bool(words & _SKIPPED_WORDS) and tag not in ("body", "article", "main") or (tag == "header" or bool(words & _PAGE_HEADERS)) and not inside
+        # An article with such a name is not skipped, but no part of another one either.
+        self.marked = bool(words & _SKIPPED_WORDS)
+        self.content = tag in ("article", "main") or tag in ("div", "section") and bool(words & _CONTENT_WORDS)
+        self.frame = False
+        if self.skipped and not skipped and (tag in _LAYOUT_TAGS or bool(words & _LAYOUT_WORDS) or tag == "header" or bool(words & _PAGE_HEADERS)):
+            node = parent
+            while node is not None and not node.frame:
+                node.frame, node = True, node.parent
         self.path = f"{parent.path}/{label}" if parent is not None else label
         self.text = self.links = self.anchors = self.paragraphs = 0
         self.score = 0.0
@@ -185,18 +202,42 @@ def best_node(found: list[tuple[_Node, str, int, str]]) -> _Node | None:
     return max(good, key=lambda n: (n.score, n.path.count("/"), n.path)) if good else None
 
 
+def _whole(node: _Node) -> _Node:
+    """The outermost container around node that holds a whole article, or node."""
+    out = node
+    for n in node.up():
+        if n.content and (n.tag in ("article", "main") or not n.frame):
+            out = n
+    return out
+
+
+def _foreign(chain: list[_Node], root: int, around: set[int], in_article: bool) -> bool:
+    """Whether a block beside the winner is in an article of its own: chain is the block's, up to the root that the winner was widened to."""
+    for k, n in enumerate(chain[:root]):
+        if n.tag == "article" and id(n) not in around and (n.marked or in_article and not any(m.tag == "article" for m in chain[k + 1 :])):
+            return True
+    return False
+
+
 def article(page: str | None, path: str | None) -> str:
-    """Main text from the containers on path, or from the page's own best container where none is there."""
+    """Main text from the whole articles around the containers on path, or around the page's own best container where none is there."""
     found = blocks(page or "")
-    chosen = {id(n) for node, *_ in found for n in node.up() if n.path == path} if path else set()
+    chosen = {id(n): n for node, *_ in found for n in node.up() if n.path == path} if path else {}
     if not chosen:
         node = best_node(found)
-        chosen = {id(node)} if node is not None else set()
+        chosen = {id(node): node} if node is not None else {}
+    whole = {id(_whole(n)) for n in chosen.values()}
+    around = {id(m) for n in chosen.values() for m in n.up()}
+    in_article = any(n.within("article") for n in chosen.values())
     kept = []
     for node, text, _, _ in found:
         chain = list(node.up())
         inner = next((k for k, n in enumerate(chain) if id(n) in chosen), None)
-        if inner is not None and not any(_linky(n) for n in chain[:inner]):
+        if inner is None:
+            inner = next((k for k, n in enumerate(chain) if id(n) in whole), None)
+            if inner is None or _foreign(chain, inner, around, in_article):
+                continue
+        if not any(_linky(n) for n in chain[:inner]):
             kept.append(text)
     return " ".join(kept)
 

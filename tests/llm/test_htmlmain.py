@@ -32,6 +32,23 @@ def test_small_pages(html, want):
     assert htmlmain.article(html, None) == want
 
 
+@pytest.mark.parametrize(("around", "want"), [
+    ("<article><h1>Title</h1><p>lead</p><div class=body>%s</div></article>", "Title lead {}"),
+    ("<article><section class=intro><p>start</p></section><section class=main><p>%s</p></section><section class=end><p>close</p></section></article>", "start {} close"),
+    ("<main><header><h1>Title</h1></header><p>lead</p><article><div class=body><p>%s</p></div></article></main>", "Title lead {}"),
+    ("<div class='post'><h1>Title</h1><div class=ad><p>buy</p></div><p>lead</p><div class=body><p>%s</p></div><div class=coda><p>close</p></div></div>", "Title lead {} close"),
+    ("<div id=content><div class=story><p>%s</p></div><div class=sidebar><p>side</p></div><div class=extra><p>short</p></div></div>", "{}"),
+    ("<main><article class=story><h1>T</h1><div class=body><p>%s</p></div></article><article class=card><p>other</p></article><aside><p>side</p></aside></main>", "T {}"),
+    ("<article><h1>T</h1><div class=body><p>%s</p></div><ul><li><a>a one</a><li><a>b two</a><li><a>c three</a></ul><article class=comment><p>nice</p></article></article>", "T {}"),
+])
+def test_whole_articles(spark, around, want):
+    text = f"{LONG} {LONG} {LONG} {LONG}"
+    html = f"<body><nav><a>menu</a></nav>{around % text}<footer>f</footer>"
+    assert htmlmain.article(html, None) == want.format(text)
+    pages = spark.createDataFrame([(i, f"http://h.example.com/{i}", html) for i in range(3)], "page_id bigint, url string, html string")
+    assert {r["text"] for r in htmlmain.extract(pages).collect()} == {want.format(text)}
+
+
 def test_hosts_agree_on_a_path(spark):
     usual = f"<body><div class='wrap'><div class='story n%d'><h2>T%d</h2><p>{LONG}</p></div><div class='extra'><p>short</p></div></div>"
     odd = f"<body><div class='wrap'><div class='story n9'><p>tiny</p></div><div class='extra'><p>{LONG} {LONG}</p></div></div>"
