@@ -14,6 +14,9 @@ outermost article or main around it, or to a container with a content name that
 (one with a menu or sidebar inside does). Other articles beside the one around the winner stay out, and
 so do articles inside it that are named like comments.
 
+Ids of headings, blocks and sections are often slugs of their titles. Inside an article, main or the
+winner, an id tells a part to leave out only if it has no other words than the names of such parts.
+
 Defined results: null and empty html, and pages without text outside such parts, give an empty text.
 Plain text without tags is one block. White space is what Unicode calls so; a ``br`` is white space.
 Unclosed and stray tags are tolerated. Repeated pages vote each. Hosts follow the first ``://`` up to
@@ -45,6 +48,9 @@ _CONTAINERS = frozenset("body main article section div nav aside header footer f
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre address hr figcaption caption th thead tfoot center option legend details summary".split())
 _CLOSES_ITSELF = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "td": "td", "th": "th", "tr": "tr", "option": "option"}
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+#: Outside article and main, ids of these are doubtful; of headings they never count.
+_TITLED = frozenset("section p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figure".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td".split())
 
 _SKIPPED_TAGS = frozenset("nav aside footer form dialog fieldset head menu button".split())
@@ -58,29 +64,39 @@ _SKIPPED_WORDS = frozenset(
 _CONTENT_WORDS = frozenset("article main content post entry story".split())
 _LAYOUT_TAGS = frozenset("nav aside footer menu".split())
 _LAYOUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead topbar".split())
+#: Words beside them in an id that is still a name of such a part, as in comment-list.
+_PART_WORDS = frozenset("section area box block list container wrapper wrap bar button buttons link links post posts article articles item items thread".split())
 _PAGE_HEADERS = frozenset(("header", "head", "sitehead", "pagehead"))
 
 
 class _Node:
-    __slots__ = ("parent", "path", "skipped", "text", "links", "tag", "score", "paragraphs", "anchors", "marked", "content", "frame")
+    __slots__ = ("parent", "path", "skipped", "text", "links", "tag", "score", "paragraphs", "anchors", "marked", "content", "frame", "doubt")
 
     def __init__(self, parent: _Node | None, tag: str, attributes: str):
         self.parent, self.tag = parent, tag
         label, skipped = tag, parent is not None and parent.skipped
         words: set[str] = set()
+        slugs: set[str] = set()
         classes = []
         for name, a, b, c in _CLASS.findall(attributes):
             value = entities.unescape(a or b or c).lower()
-            words.update(re.split(r"[^a-z]+", value))
+            for token in value.split():
+                own = set(filter(None, re.split(r"[^a-z]+", token)))
+                (slugs if name.lower() == "id" and (tag in _HEADINGS or not own <= _SKIPPED_WORDS | _PART_WORDS | _PAGE_HEADERS) else words).update(own)
             if name.lower() == "class":
                 classes += [re.sub(r"\d+", "", x) for x in value.split()]
         if classes:
             label += "." + ".".join(sorted(filter(None, set(classes))))
         inside = parent is not None and parent.within("article", "main")
+        slug = not inside and bool(slugs & (_SKIPPED_WORDS | set(_PAGE_HEADERS))) and tag not in ("body", "article", "main")
+        if slug and tag not in _TITLED:
+            words |= slugs
+        #: The outermost part around the text that only its slug speaks against: kept inside the winner only.
+        self.doubt: _Node | None = (parent.doubt if parent is not None else None) or (self if slug and tag in _TITLED else None)
         self.skipped = skipped or tag in _SKIPPED_TAGS or bool(words & _SKIPPED_WORDS) and tag not in ("body", "article", "main") or (tag == "header" or bool(words & _PAGE_HEADERS)) and not inside
         # An article with such a name is not skipped, but no part of another one either.
         self.marked = bool(words & _SKIPPED_WORDS)
-        self.content = tag in ("article", "main") or tag in ("div", "section") and bool(words & _CONTENT_WORDS)
+        self.content = tag in ("article", "main") or tag in ("div", "section") and bool((words | slugs) & _CONTENT_WORDS)
         self.frame = False
         if self.skipped and not skipped and (tag in _LAYOUT_TAGS or bool(words & _LAYOUT_WORDS) or tag == "header" or bool(words & _PAGE_HEADERS)):
             node = parent
@@ -131,6 +147,8 @@ def blocks(page: str) -> list[tuple[_Node, str, int, str]]:
                     n.text += len(text)
                     n.links += state["links"]
                     n.anchors += state["anchors"]
+                    if n is node.doubt:
+                        break
             pieces.clear()
         state["links"] = state["anchors"] = 0
 
@@ -192,6 +210,8 @@ def _owner(node: _Node) -> _Node:
 def best_node(found: list[tuple[_Node, str, int, str]]) -> _Node | None:
     nodes: dict[int, _Node] = {}
     for node, text, links, tag in found:
+        if node.doubt is not None:
+            continue
         worth = max(len(text) - 2 * links, 0) * (1.0 if tag in _PARAGRAPHS else 0.7)
         owner = _owner(node)
         for n, share in ((owner, 1.0), (_owner(owner.parent) if owner.parent is not None else None, 0.5)):
@@ -222,7 +242,7 @@ def _foreign(chain: list[_Node], root: int, around: set[int], in_article: bool)
 def article(page: str | None, path: str | None) -> str:
     """Main text from the whole articles around the containers on path, or around the page's own best container where none is there."""
     found = blocks(page or "")
-    chosen = {id(n): n for node, *_ in found for n in node.up() if n.path == path} if path else {}
+    chosen = {id(n): n for node, *_ in found for n in node.up() if n.path == path and n.doubt is None} if path else {}
     if not chosen:
         node = best_node(found)
         chosen = {id(node): node} if node is not None else {}

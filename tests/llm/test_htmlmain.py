@@ -49,6 +49,16 @@ def test_whole_articles(spark, around, want):
     assert {r["text"] for r in htmlmain.extract(pages).collect()} == {want.format(text)}
 
 
+@pytest.mark.parametrize(("inner", "want"), [
+    ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<h2 id='comments'>Comments</h2>", "Comments"), ("<section id='form-and-function'><p>form</p></section>", "form"), ("<p id='social-history'>history</p>", "history"), ("<section id='head-injury'><div><p>head</p></div></section>", "head"),
+    ("<section id='comments'><p>nice</p></section>", None), ("<section id='comment-list'><p>nice</p></section>", None), ("<section class='related-items'><p>other</p></section>", None), ("<p role='alert' id='social-history'>no</p>", None), ("<div id='comments'><p>nice</p></div>", None),
+])
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<main>%s</main>", "<div class='wrap'>%s</div>"])
+def test_ids_of_titled_parts(around, inner, want):
+    html = f"<body><p id='cookie-note'>cookies</p><div id='sidebar-left'><p>side</p></div>{around % f'<p>{LONG}</p>{inner}<p>{LONG}</p>'}<section id='related-news'><p>{LONG * 5}</p></section></body>"
+    assert htmlmain.article(html, None) == " ".join(filter(None, [LONG, want, LONG]))
+
+
 def test_hosts_agree_on_a_path(spark):
     usual = f"<body><div class='wrap'><div class='story n%d'><h2>T%d</h2><p>{LONG}</p></div><div class='extra'><p>short</p></div></div>"
     odd = f"<body><div class='wrap'><div class='story n9'><p>tiny</p></div><div class='extra'><p>{LONG} {LONG}</p></div></div>"
