@@ -5,10 +5,11 @@ Centroids are k vectors on the driver, written into the plan; each Lloyd step is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,26 +78,73 @@ class Clustering:
     empty: list[int] = field(default_factory=list)
 
 
-def lloyd(df: DataFrame, vector: str, start: Vectors, max_iter: int = 500) -> Clustering:
-    """Assign and revise until the clusters keep their members (or max_iter).
+def _partial(batches: Iterator[pa.RecordBatch], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows, squared distance, hash of the members and vector sum of each run's clusters, over the rows of a task."""
+    k, width = max(map(len, runs)), runs[0].shape[1]
+    n, h, d, s = np.zeros((len(runs), k), np.int64), np.zeros((len(runs), k), np.int64), np.zeros((len(runs), k)), np.zeros((len(runs), k, width))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+        hashes = batch.column("h").to_numpy(zero_copy_only=False)
+        for r, centroids in enumerate(runs):
+            far = np.stack([((x - c) ** 2).sum(1) for c in centroids], axis=1)
+            own = far.argmin(1)
+            least = far[np.arange(len(x)), own]
+            for c in range(len(centroids)):
+                mine = own == c
+                n[r, c] += mine.sum()
+                with np.errstate(over="ignore"):  # a sum modulo 2^64
+                    h[r, c] += hashes[mine].sum()
+                d[r, c] += least[mine].sum()
+                s[r, c] += x[mine].sum(0)
+    r, c = np.nonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(n[r, c]), pa.array(h[r, c]), pa.array(d[r, c]), pa.array(list(s[r, c]), pa.list_(pa.float64()))], ["run", "cluster", "n", "h", "d", "s"])
+
+
+def _sums_of(data: DataFrame, runs: list[np.ndarray]) -> list[dict[int, tuple[int, float, int, np.ndarray]]]:
+    """As _sums, for the clusterings of several runs in one pass over prepared rows (x, h)."""
+    out: list[dict] = [{} for _ in runs]
+    for r in data.mapInArrow(lambda it: _partial(it, runs), "run int, cluster int, n bigint, h bigint, d double, s array<double>").collect():
+        n, d, h, s = out[r["run"]].get(r["cluster"], (0, 0.0, 0, 0.0))
+        out[r["run"]][r["cluster"]] = (n + r["n"], d + r["d"], (h + r["h"]) % (1 << 64), s + np.array(r["s"]))
+    return out
+
+
+def lloyd_runs(df: DataFrame, vector: str, starts: Sequence[Vectors], max_iter: int = 500) -> list[Clustering]:
+    """Assign and revise from each start until its clusters keep their members (or max_iter); the runs share each pass.
 
     Members are compared by an order-free hash of each cluster, so the assignment is never stored.
     """
-    centroids, before, history = np.array(start, float), None, []
-    data = df.select(vector).persist()
-    empty: list[int] = []
+    if not starts:
+        return []
+    data = df.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.xxhash64(vector).alias("h")).persist()
+    out = [Clustering(np.array(s, float), 0.0) for s in starts]
+    before: list[dict | None] = [None] * len(out)
+    left = list(range(len(out)))
     for _ in range(max_iter):
-        sums = _sums(data, vector, centroids.tolist())
-        history.append(float(sum(s[1] for s in sums.values())))
-        empty = [i for i in range(len(centroids)) if i not in sums]
-        centroids = np.array([sums[i][3] / sums[i][0] if i in sums else centroids[i] for i in range(len(centroids))])
-        members = {i: (s[0], s[2]) for i, s in sums.items()}
-        if members == before:
+        going = []
+        for i, sums in zip(left, _sums_of(data, [out[i].centroids for i in left]), strict=True):
+            run = out[i]
+            run.history.append(float(sum(s[1] for s in sums.values())))
+            run.empty = [c for c in range(len(run.centroids)) if c not in sums]
+            run.centroids = np.array([sums[c][3] / sums[c][0] if c in sums else run.centroids[c] for c in range(len(run.centroids))])
+            members = {c: (s[0], s[2]) for c, s in sums.items()}
+            if members != before[i]:
+                going.append(i)
+            before[i] = members
+        left = going
+        if not left:
             break
-        before = members
-    final = heterogeneity(data, vector, centroids.tolist()).first()["heterogeneity"]
+    for run, sums in zip(out, _sums_of(data, [run.centroids for run in out]), strict=True):
+        run.heterogeneity = float(sum(s[1] for s in sums.values()))
     data.unpersist()
-    return Clustering(centroids, float(final), history, empty)
+    return out
+
+
+def lloyd(df: DataFrame, vector: str, start: Vectors, max_iter: int = 500) -> Clustering:
+    """One run of lloyd_runs."""
+    return lloyd_runs(df, vector, [start], max_iter)[0]
 
 
 def random_start(df: DataFrame, row_id: str, vector: str, k: int, seed: int = 0, distinct: bool = True) -> np.ndarray:
@@ -127,8 +175,8 @@ def careful_start(df: DataFrame, row_id: str, vector: str, k: int, seed: int = 0
 
 def restarts(df: DataFrame, row_id: str, vector: str, k: int, seeds: Sequence[int], careful: bool = True, max_iter: int = 500) -> tuple[int, Clustering]:
     """The seed and clustering of least heterogeneity, the first of equals."""
-    runs = [(s, lloyd(df, vector, (careful_start if careful else random_start)(df, row_id, vector, k, s).tolist(), max_iter)) for s in seeds]
-    return min(runs, key=lambda r: r[1].heterogeneity)
+    starts = [(careful_start if careful else random_start)(df, row_id, vector, k, s).tolist() for s in seeds]
+    return min(zip(seeds, lloyd_runs(df, vector, starts, max_iter), strict=True), key=lambda r: r[1].heterogeneity)
 
 
 # ---------------------------------------------------------------- sparse rows

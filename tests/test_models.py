@@ -191,6 +191,27 @@ def test_kmeans_by_hand(spark):
     assert [(r["cluster"], r["size"]) for r in kmeans.cluster_sizes(kmeans.assign(df, "v", [[0.0], [99.0]]), 2).orderBy("cluster").collect()] == [(0, 4), (1, 0)]
 
 
+def test_restarts_converge_for_seven_seeds(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.exponential(size=(3000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    ends = {}
+    for seed in range(0, 140_000, 20_000):
+        c, own, rounds = kmeans.careful_start(df, "vec_id", "embedding", 3, seed), None, 0
+        while True:
+            new, rounds = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1), rounds + 1
+            c = np.array([x[new == k].mean(0) for k in range(3)])
+            if own is not None and (own == new).all():
+                break
+            own = new
+        ends[seed] = (((x[:, None] - c[None]) ** 2).sum(2).min(1).sum(), rounds)
+    assert max(r for _, r in ends.values()) > 20
+    got = registry.QUERIES["kmeans_restarts"](spark, str(tmp_path)).first()
+    least = min(e for e, _ in ends.values())
+    assert got["heterogeneity"] == pytest.approx(least) and ends[got["seed"]] == (pytest.approx(least), got["iterations"])
+
+
 def test_sparse_and_dense_clusters_agree(spark):
     rng = np.random.default_rng(1)
     x = rng.random((30, 6)) * (rng.random((30, 6)) < 0.5)
