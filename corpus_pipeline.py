@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.llm import bpe, mixing, neardup, quality, runindex
-from millrace.llm.common import scratch
+from millrace.llm.common import scratch, stored
+from millrace.operators import splits
 from millrace.session import table, workers_can_import
 
 
@@ -35,11 +36,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _restored(judged.where("kept"), docs, other)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __number: doc_id, or where some id has several texts, the place of (doc_id, text) in order, so that each text is judged on its own."""
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    pairs = keyed.select("doc_id", "__key").distinct()
+    if pairs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("__number", F.col("doc_id").cast("bigint"))
+    places = splits.value_rank(stored(pairs, "pairs"), ["doc_id", "__key"], "__number")
+    # The stage reads it several times.
+    return stored(keyed.join(places, ["doc_id", "__key"]).drop("__key"), "numbered")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the least id; of repeated rows, one."""
-    kept = neardup.near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct()
+    """One document of each near-duplicate group stays, that of the least id; of rows of equal id and text, one."""
     safe, other = _shielded(docs)
-    once = safe.join(kept, "doc_id").withColumn("__row", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__row = 1").drop("__row")
+    numbered = _numbered(safe.where("doc_id is not null"))
+    kept = neardup.near_duplicates(numbered.select(F.col("__number").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__number")).distinct()
+    once = numbered.join(kept, "__number").withColumn("__row", F.row_number().over(W.partitionBy("__number").orderBy(F.lit(1)))).where("__row = 1").drop("__row", "__number")
     return _restored(once.unionByName(safe.where("doc_id is null")), docs, other)
 
 

@@ -54,6 +54,13 @@ def test_stages(spark, corpus, tmp_path):
     assert Counter(r["doc_id"] for r in results["byte_bpe"]) == copies
 
 
+def test_near_dedup_of_one_id_with_several_texts(spark, docs, words):
+    a, b, c, d, e = (words(80, k) for k in range(5))
+    rows = [(5, a), (5, a), (5, b), (3, b + " end"), (9, c), (9, d), (9, d), (7, e), (8, e), (8, c), (None, a), (None, a), (6, None), (6, "")]
+    kept = corpus_pipeline.near_dedup(spark, docs(rows), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(5, a), (3, b + " end"), (9, d), (7, e), (8, c), (None, a), (None, a), (6, None), (6, "")])
+
+
 def test_empty_tables(spark, docs, tmp_path):
     docs([]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
