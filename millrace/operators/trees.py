@@ -13,6 +13,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -291,3 +293,25 @@ def row_weights(df: DataFrame, stumps: Sequence[Stump], x: str, y: str, name: st
     """df with the weights after the given rounds, which add up to 1."""
     w = df.withColumn("__w", _weights(stumps, F.col(x), F.col(y).cast("double")))
     return w.withColumn(name, F.col("__w") / F.sum("__w").over(W.partitionBy())).drop("__w")
+
+
+# ---------------------------------------------------------------- gini
+
+def gini_tree(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: int):
+    """The library tree (pyspark.ml, impurity gini) on 0/1 features and +1/-1 labels.
+
+    Features are declared binary, so every one is a candidate at every node: no thresholds are sampled.
+    Leaves of one parent that predict the same class are merged.
+    """
+    attributes = {"ml_attr": {"attrs": {"binary": [{"idx": i, "name": n} for i, n in enumerate(names)]}, "num_attrs": len(names)}}
+    return DecisionTreeClassifier(maxDepth=max_depth, impurity="gini", featuresCol="features", labelCol="label").fit(gini_rows(df, x, y).withMetadata("features", attributes))
+
+
+def gini_rows(df: DataFrame, x: str, y: str) -> DataFrame:
+    """features and label, as gini_tree's model takes them."""
+    return df.select(array_to_vector(F.transform(x, lambda v: v.cast("double"))).alias("features"), (F.col(y) == 1).cast("double").alias("label"))
+
+
+def gini_accuracy(model, df: DataFrame, x: str, y: str) -> float | None:
+    """Share of the rows that the model classifies right."""
+    return model.transform(gini_rows(df, x, y)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]

@@ -545,6 +545,19 @@ def decision_tree_nodes(spark, sf_dir):
     return trees.grow(_tree_rows(spark, sf_dir), "x", "y", _TREE_NAMES, max_depth=6).table(spark)
 
 
+@query()
+def gini_tree_depths(spark, sf_dir):
+    """The library tree at the reference's depths 6, 2 and 10, with its accuracy on both parts."""
+    train, valid = (part.persist() for part in splits.train_test_split(_tree_rows(spark, sf_dir), "o_orderkey", 0.2))
+    rows = []
+    for depth in (6, 2, 10):
+        model = trees.gini_tree(train, "x", "y", _TREE_NAMES, depth)
+        rows.append((depth, model.depth, model.numNodes, *(trees.gini_accuracy(model, part, "x", "y") for part in (train, valid))))
+    train.unpersist()
+    valid.unpersist()
+    return spark.createDataFrame(rows, "max_depth int, depth int, nodes int, train_accuracy double, valid_accuracy double")
+
+
 @query()
 def pruned_tree_nodes(spark, sf_dir):
     rows = _tree_rows(spark, sf_dir)

@@ -51,6 +51,37 @@ def test_deep_tree_scores_every_row(spark):
     assert got == {i: walk(x) for i, x, _ in data} and sum(got[i] != y for i, _, y in data) / len(data) < 0.4
 
 
+def test_gini_tree_takes_the_purest_split(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2, (500, 5))
+    y = np.where(x[:, 0] & x[:, 1] | (rng.random(500) < 0.2) & x[:, 3], 1, -1)
+    df = rows(spark, [(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))])
+
+    def gini(mask):
+        p = (y[mask] == 1).mean() if mask.any() else 0
+        return mask.sum() * 2 * p * (1 - p)
+
+    def predict(mask, depth):
+        """The majority in each leaf of an exhaustive tree."""
+        best = min(range(5), key=lambda f: gini(mask & (x[:, f] == 0)) + gini(mask & (x[:, f] == 1)))
+        parts = [mask & (x[:, best] == v) for v in (0, 1)]
+        if not depth or not all(p.any() for p in parts) or gini(mask) - sum(map(gini, parts)) <= 1e-9:
+            return np.where(mask, 1 if (y[mask] == 1).mean() > 0.5 else -1, 0)
+        return sum(predict(p, depth - 1) for p in parts)
+
+    for depth in (1, 2, 4):
+        model = trees.gini_tree(df, "x", "y", list("abcde"), depth)
+        assert model.depth <= depth and trees.gini_accuracy(model, df, "x", "y") == pytest.approx((predict(np.ones(500, bool), depth) == y).mean())
+    rare = rows(spark, [(i, [int(i == 7), 0], 1 if i == 7 else -1) for i in range(40_000)])
+    assert trees.gini_accuracy(trees.gini_tree(rare, "x", "y", ["a", "b"], 2), rare, "x", "y") == 1
+
+
+def test_gini_query_has_the_three_depths(spark):
+    got = {r["max_depth"]: r for r in registry.QUERIES["gini_tree_depths"](spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(got) == [2, 6, 10] and all(r["depth"] <= k and 0 < r["valid_accuracy"] <= 1 for k, r in got.items())
+    assert got[2]["train_accuracy"] <= got[6]["train_accuracy"] <= got[10]["train_accuracy"]
+
+
 def test_pruning_never_raises_the_cost(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2, (400, 6))
