@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance, features, text
 from ..operators import kmeans, linear, logistic, metrics, neighbors, splits, trees
-from ..session import table, workers_can_import
+from ..session import table, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            workers_can_import(spark)
+            ready(spark)
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
