@@ -1,25 +1,27 @@
 """Exact top-k search by distributed histogram selection.
 
-Every candidate is scored against every query of a block by one integer matrix product. For each query
-the range of scores is cut into bins; tasks count their scores from the top bin down, only as far as k
-of their own, and the summed counts show the bin with the global kth score. That bin is cut again until
-it is one score wide. A last pass keeps what lies above the kth score, and of those that equal it the
-least ids that are still needed.
+The quantised vectors are written once, each row with a number of its own. Every candidate is scored
+against every query of a block by one integer matrix product. No score of a query lies beyond the product of
+its length and the greatest length; that range is cut into bins. Tasks count their scores from the top bin
+down, only as far as k of their own, and the summed counts show the bin with the global kth score. That bin
+is cut again until it is one score wide. A last pass keeps what lies above the kth score, and of those that
+equal it the least ids that are still needed.
 
-The queries are a stated set, judged against all rows block by block: a block of QUERY_BLOCK vectors is
-what the driver and each task hold, whatever the number of queries.
+The queries are a stated set, judged against all rows block by block: a block of QUERY_BLOCK vectors at most
+is what the driver and each task hold, whatever the number of queries. A block's winners are written before
+the next block begins.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part; vectors
 of unequal length are compared as if the shorter ended in zeros. Equal scores go to the smaller id. With
-fewer than k candidates all are returned. Repeated ids are candidates each, and a query does not meet
-rows of its own id. Scores beyond 64 bits are not supported. An empty table gives no rows. Columns of the input other
-than the id and the vector are not looked at.
+fewer than k candidates all are returned. Rows of one id are queries and candidates each, and a query only
+does not meet its own row, so an id that several query rows share has the rows of each in the result. Scores
+beyond 62 bits are not supported. An empty table gives no rows. Columns of the input other than the id and
+the vector are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.splits import value_rank
+from .common import scratch, stored
+
 QUERY_BLOCK = 4096
-BINS = 256
+BINS = 512
 #: Candidates scored at once.
-ROWS = 1024
+ROWS = 512
 #: Doubles hold integers up to here; larger products are summed as 64-bit integers.
 EXACT = 1 << 53
 
@@ -62,21 +67,23 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
 
 
 class Block:
-    """Queries of one block, sent to each task."""
+    """Queries of one block, in order of their rows, sent to each task."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
+        self.ids, self.rows, self.vectors = ids, rows, vectors
         self.peak = int(np.abs(vectors).max(initial=0))
 
-    def scores(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """One row for each query, one column for each candidate; _LEAST where both have one id."""
+    def scores(self, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """One row for each query, one column for each candidate; _LEAST where both are one row of the table."""
         width = max(rows.shape[1], self.vectors.shape[1])
         q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (self.vectors, rows))
         if self.peak * int(np.abs(c).max(initial=0)) * max(width, 1) < EXACT:
             out = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
         else:
             out = q @ c.T
-        out[self.ids[:, None] == ids[None, :]] = _LEAST
+        at = np.minimum(np.searchsorted(self.rows, own), len(self.rows) - 1)
+        same = np.flatnonzero(self.rows[at] == own)
+        out[at[same], same] = _LEAST
         return out
 
 
@@ -84,20 +91,8 @@ def _scored(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple[n
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
             part = batch.slice(i, ROWS)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield ids, block.scores(ids, _matrix(part.column(1)))
-
-
-def _bounds(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
-    n = len(block.ids)
-    low, high, seen = np.full(n, np.iinfo(np.int64).max), np.full(n, _LEAST), np.zeros(n, np.int64)
-    for _, scores in _scored(batches, block):
-        real = scores != _LEAST
-        seen += real.sum(1)
-        high = np.maximum(high, scores.max(1))
-        low = np.minimum(low, np.where(real, scores, np.iinfo(np.int64).max).min(1))
-    has = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(low[has]), pa.array(high[has]), pa.array(seen[has])], ["q", "low", "high", "n"])
+            ids, own = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
+            yield ids, block.scores(own, _matrix(part.column("v")))
 
 
 def _histogram(batches: Iterator[pa.RecordBatch], block: Block, low: np.ndarray, span: np.ndarray, width: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,7 +121,7 @@ def _winners(batches: Iterator[pa.RecordBatch], block: Block, kth: np.ndarray, t
         first = np.searchsorted(q, np.arange(len(block.ids)))
         before = np.concatenate(([0], running))[first]
         keep = ~tied | (running - before[q] <= ties[q])
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids[q[keep]]), pa.array(ids[c[keep]]), pa.array(found[keep])], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(block.rows[q[keep]]), pa.array(block.ids[q[keep]]), pa.array(ids[c[keep]]), pa.array(found[keep])], ["query_row", "query_id", "vec_id", "score"])
 
 
 def _collected(df: DataFrame, n: int, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -137,13 +132,12 @@ def _collected(df: DataFrame, n: int, names: tuple[str, ...]) -> list[np.ndarray
     return out
 
 
-def _block_top(rows: DataFrame, block: Block, k: int) -> DataFrame:
+def _block_top(rows: DataFrame, block: Block, k: int, candidates: int, longest: float) -> DataFrame:
+    """query_row, query_id, vec_id, score of the k best of each query, and of some more that equal the kth."""
     n = len(block.ids)
-    stats = rows.mapInArrow(lambda it: _bounds(it, block), "q bigint, low bigint, high bigint, n bigint")
-    low, high, seen = _collected(stats.groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")), n, ("low", "high", "n"))
+    bound = np.minimum(np.ceil(np.sqrt((block.vectors.astype(float) ** 2).sum(1)) * longest * (1 + 1e-9)) + 1, float(1 << 62) - 1024).astype(np.int64)
     # need: how many of the k lie in the range that is still cut; low becomes the kth score.
-    need = np.minimum(seen, k)
-    span = np.maximum(high - low + 1, 1)
+    low, span, need = -bound, 2 * bound + 1, np.full(n, min(candidates, k), np.int64)
     width = np.maximum(-(-span // BINS), 1)
     while (need > 0).any():
         args = block, low.copy(), span.copy(), width.copy(), need.copy()
@@ -159,8 +153,11 @@ def _block_top(rows: DataFrame, block: Block, k: int) -> DataFrame:
             break
         span = np.minimum(width, low_span - (low - low_before))
         width = np.maximum(-(-span // BINS), 1)
-    kth, ties = np.where(seen > 0, low, np.iinfo(np.int64).max), need
-    return rows.mapInArrow(lambda it: _winners(it, block, kth, ties), "query_id bigint, vec_id bigint, score bigint")
+    kth = low if candidates else np.full(n, np.iinfo(np.int64).max)
+    return rows.mapInArrow(lambda it: _winners(it, block, kth, need), _WINNERS)
+
+
+_WINNERS = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def top_k(vectors: DataFrame, is_query: Column | str, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -168,20 +165,18 @@ def top_k(vectors: DataFrame, is_query: Column | str, k: int = 5, scale: int = 2
 
     is_query is a condition on the column id.
     """
-    rows = vectors.where(usable(F.col(vector)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), quantised(F.col(vector), scale).alias("v"))
-    queries = rows.where(is_query).dropDuplicates(["id"])
-    total, found = queries.count(), []
-    blocks = -(-total // query_block)
-    for b in range(blocks):
-        # Blocks by a hash of the id; each is held to the bound by cutting more blocks than the mean needs.
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1))
-        table = own.orderBy("id").toArrow()
-        if table.num_rows:
-            ids = table.column(0).to_numpy()
-            block = Block(ids, _matrix(table.column(1).combine_chunks()))
-            found.append(_block_top(rows, block, k))
-    if not found:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+    usable_rows = vectors.where(usable(F.col(vector)) & F.col(id_column).isNotNull())
+    rows = stored(usable_rows.select(F.col(id_column).cast("bigint").alias("id"), quantised(F.col(vector), scale).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    known = rows.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).first()
+    queries = value_rank(rows.where(is_query), ["row"], "number")
+    folder, spark = scratch(rows.sparkSession, "winners"), rows.sparkSession
+    for first in range(0, queries.count(), query_block):
+        own = queries.where((F.col("number") >= first) & (F.col("number") < first + query_block)).orderBy("number").select("id", "row", "v").toArrow()
+        block = Block(own.column("id").to_numpy(), own.column("row").to_numpy(), _matrix(own.column("v").combine_chunks()))
+        _block_top(rows, block, k, known["n"] - 1, known["longest"]).write.mode("append").parquet(folder)
+    if not known["n"] or queries.isEmpty():
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    ranked = spark.read.schema(_WINNERS).parquet(folder).withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

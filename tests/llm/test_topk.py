@@ -9,17 +9,17 @@ from millrace.llm import topk
 
 def brute(rows, k, is_query):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for q, a in ok:
+    out = []
+    for own, (q, a) in enumerate(ok):
         if is_query(q):
-            scored = sorted(((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok if i != q))[:k]
-            out |= {(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)}
-    return out
+            scored = sorted(((-sum(x * y for x, y in zip(a, b, strict=False)), i) for other, (i, b) in enumerate(ok) if other != own))[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
 
 
 def run(spark, rows, k=5, **options):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({"id": F.lit(1), "v": F.lit(2), "score": F.lit(3)})
-    return {tuple(r) for r in topk.top_k(table, F.col("id") % 10 == 0, k, **options).collect()}
+    return sorted(tuple(r) for r in topk.top_k(table.repartition(3), F.col("id") % 10 == 0, k, **options).collect())
 
 
 @pytest.mark.parametrize("block", [4096, 3])
@@ -37,4 +37,12 @@ def test_fewer_candidates_than_k_large_scores_and_no_rows(spark):
     assert run(spark, rows) == brute(rows, 5, lambda q: q % 10 == 0)
     big = [(i, [float(1 << (18 + i)), 1.0]) for i in range(8)]
     assert run(spark, big) == brute(big, 5, lambda q: q % 10 == 0)
-    assert run(spark, [(1, [1.0])]) == set() and run(spark, [(0, [1.0])]) == set()
+    assert run(spark, [(1, [1.0])]) == [] and run(spark, [(0, [1.0])]) == [] and run(spark, [(0, None)]) == []
+
+
+def test_rows_of_one_id_are_queries_and_candidates_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (10, [0.5, 0.5]), (1, [0.25, 1.0]), (1, [0.25, 1.0]), (7, [1.0, -1.0])]
+    want = brute(rows, 3, lambda q: q % 10 == 0)
+    for _ in range(3):
+        random.shuffle(rows)
+        assert run(spark, rows, 3, query_block=2) == want
