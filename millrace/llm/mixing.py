@@ -10,8 +10,10 @@ on the word axis into a training position between 0 and 1. Documents are range-s
 Prefix sums take two levels: hash ranges of a source are summed first, so no task holds a whole source.
 
 Defined results: null text has size 0; documents of size 0 are never taken. The null source is a source
-of its own, last in order. Equal documents under one id share their place in either order. An empty
-table gives no rows. Columns of the input other than doc_id, text and source are not looked at.
+of its own, last in order. Rows of one id and different texts stand in order of their sizes and text hashes,
+so reruns agree on each; rows that are equal in id, text and source share their places in either order. Rows
+without an id stand by a hash of their text. An empty table gives no rows. Columns of the input other than
+doc_id, text and source are not looked at.
 """
 
 from __future__ import annotations
@@ -89,16 +91,18 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
 
     schedules repeat over the sources as weights do; each gives the shape of a source's weight over time.
     """
-    order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sizes = stored(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text))))
+    # The hashes are made here, where the text is at hand.
+    sizes = stored(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), order_key.alias("__key"), F.xxhash64(text).alias("__tie")), "mix-sizes")
     rows = sizes.count()
     ranges = max(64, -(-rows // range_rows))
-    keyed = sizes.withColumn("__key", order_key).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(float(1 << 32))))
+    keyed = sizes.withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(float(1 << 32))))
     per_range = keyed.groupBy("source", "__range").agg(F.sum("size").alias("__size"))
     starts = per_range.select("source", "__range", F.coalesce(F.sum("__size").over(W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     goals = targets(sizes, weights, share, cap)
     bounds = starts.alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "__range", "__start", "rank", "source_size", "target")
-    inside = W.partitionBy("source", "__range").orderBy("__key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "__range").orderBy("__key", "doc_id", "size", "__tie").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("p").join(bounds.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.__range") == F.col("b.__range")))
     joined = joined.select("p.doc_id", *(f"p.{c}" for c in keep), "p.source", "p.size", "b.rank", "b.source_size", "b.target", (F.col("b.__start") + F.col("p.__inside")).alias("place"))

@@ -65,3 +65,10 @@ def test_order_and_edges(clashing, docs, words):
     assert found == sorted(found) and len(found) == 52
     assert mixing.plan(docs([]).limit(0)).collect() == []
     assert [(r["target"], r["taken"]) for r in mixing.plan(docs([(1, None), (2, "")])).collect()] == [(0.0, 0)] * 2
+
+
+def test_reruns_agree_for_one_id_with_several_texts(docs, words):
+    rows = [(1, "a b c"), (1, "d e f g"), (1, "h i j"), (1, "a b c"), (2, words(7, 1)), (None, "k l"), (None, "m n o"), (None, None), (3, words(30, 2), "en", "t"), (1, "p q", "en", "t")]
+    deals = [mixing.plan(docs(list(reversed(rows)) if n % 2 else rows).repartition(n).select("*"), schedules=mixing.tilted(), range_rows=2, keep=("text",)).collect() for n in (1, 2, 3, 5)]
+    seen = [sorted((r["doc_id"] or -1, r["text"] or "", r["source"], r["taken"], r["position"]) for r in d) for d in deals]
+    assert seen[0] == seen[1] == seen[2] == seen[3] and len(seen[0]) == len(rows)
