@@ -16,6 +16,7 @@ gives no shard. Columns of the input other than id and text are not looked at.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -91,8 +92,40 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
+#: The normalizer and pre-tokenizer, as tokenizer files state them, on which _Words rests: lower case, words
+#: parted by white space that is dropped, letters apart from marks.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def goes_by_words(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose words can be encoded one by one; any other file is used as the library does."""
+    with open(path, encoding="utf-8") as f:
+        stated = json.load(f)
+    added = [t["content"] for t in stated.get("added_tokens") or []]
+    return stated.get("normalizer") == _NORMALIZER and stated.get("pre_tokenizer") == _PRE_TOKENIZER and not any(t.split() != [t] for t in added)
+
+
+class _Whole:
+    """Packed ids of whole texts by the library alone."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class _Words(dict):
-    """Packed ids of words without white space: the tokenizer drops white space and never merges over it.
+    """Packed ids of words without white space: the tokenizer drops white space and never merges over it (see goes_by_words).
 
     A word of Latin letters with marks after it goes by its letters in lower case and its marks, which are
     pre-tokens of their own; such letters are one pre-token, which the library's model takes directly.
@@ -136,8 +169,8 @@ class _Words(dict):
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _words(path: str) -> _Words | _Whole:
+    return _Words(path) if goes_by_words(path) else _Whole(path)
 
 
 def token_ids(text: str | None, path: str, end_id: int | None) -> bytes:

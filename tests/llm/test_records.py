@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -63,3 +64,15 @@ def test_table_round_trip_and_index(spark, clashing, words):
 def test_empty_table(spark, docs):
     folder = records.write(docs([]).limit(0), PATH)
     assert records.read(spark, folder).collect() == []
+
+
+def test_other_tokenizer_files_are_used_as_they_are(tmp_path):
+    assert records.goes_by_words(PATH)
+    stated = json.load(open(PATH))
+    for name, change in (("case", {"normalizer": {"type": "NFC"}}), ("pre", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}})):
+        other = tmp_path / f"{name}.json"
+        other.write_text(json.dumps(stated | change))
+        whole = Tokenizer.from_file(str(other))
+        assert not records.goes_by_words(str(other))
+        for text in ("Some Words, and  MORE.", "", "été\n the End"):
+            assert np.frombuffer(records.token_ids(text, str(other), None), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
