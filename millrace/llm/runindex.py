@@ -313,7 +313,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: i
     twice = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     places = stored(found.join(twice, "anchor"), "places")
     entries = stored(places.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min("windows").alias("windows"), F.min(F.struct("doc_id", "text_key", "start")).alias("at")), "entries")
-    several = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    several = stored(entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "several")
     wanted = entries.join(several, "anchor").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_key").alias("w_key")).agg(F.collect_list(F.struct("anchor", "context", F.col("at.start").alias("start"), "windows")).alias("wanted"))
     fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("text", "wanted").mapInArrow(lambda it: _cut_out(it, length), "anchor bigint, context bigint, body binary")
     contexts = stored(fetched, "contexts")
