@@ -1,4 +1,4 @@
-"""What the training-data operators share: scratch tables, Arrow text buffers, word and window hashes."""
+"""What the training-data operators share: Arrow text buffers, word and window hashes."""
 
 from __future__ import annotations
 
@@ -7,22 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
-from ..session import scratch
+from ..session import scratch, stored  # noqa: F401 - the operators take both from here
 
-#: Bytes of text that are hashed at once; a longer single text is taken whole.
-BLOCK_BYTES = 1 << 21
-
-
-# ---------------------------------------------------------------- scratch tables
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, computed once and kept as Parquet in the shared folder: survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that are hashed at once; a longer single text comes in pieces of this size.
+BLOCK_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -45,9 +34,9 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_blocks(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [i, j) of about limit bytes, at least one row each."""
-    i, n = 0, len(offs) - 1
+def row_blocks(offs: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges [i, j) of about limit bytes (BLOCK_BYTES by default); a longer row stands alone."""
+    i, n, limit = 0, len(offs) - 1, limit or BLOCK_BYTES
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield i, min(j, n)
@@ -73,11 +62,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0.. and base^-0.., n + 1 of each at least, modulo 2^64."""
     have = _powers.get(0)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 4096)
+        size = max(n + 1, 2 * BLOCK_BYTES + 4096)
         up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 1 << 22:
             _powers[0] = have
     return have
 
@@ -104,11 +93,43 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
+class OpenSpan:
+    """Hashes of spans of a text that comes in pieces: what a piece leaves open goes on in the next one.
+
+    The hash of a span is that of span_hash, however many pieces it runs over.
+    """
+
+    def __init__(self) -> None:
+        self.total, self.length, self.open = 0, 0, False
+
+    def feed(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, goes_on: bool, stays_open: bool) -> np.ndarray:
+        """Hashes of the spans that are complete now. goes_on: the first one continues the open span; stays_open: the last one may go on."""
+        raw = (sums[end] - sums[start]) * powers(len(sums))[1][start]
+        closed = []
+        if self.open:
+            if goes_on:
+                raw[:1] = raw[:1] * _U(pow(0x9E3779B97F4A7C15, self.length, 1 << 64)) + _U(self.total)
+                start = np.concatenate((start[:1] - self.length, start[1:]))
+            else:
+                closed.append(self.close())
+        self.open = stays_open
+        if stays_open:
+            self.total, self.length = int(raw[-1]), int(end[-1] - start[-1])
+            raw = raw[:-1]
+        return np.concatenate((*closed, mixed(raw)))
+
+    def close(self) -> np.ndarray:
+        """The hash of the span that is still open, if one is."""
+        out = mixed(np.array([self.total], np.uint64)) if self.open else np.zeros(0, np.uint64)
+        self.open = False
+        return out
+
+
 # ---------------------------------------------------------------- words
 
 #: White space of the contracts, 0x20 and 0x09 to 0x0D.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,7 +143,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Starts and ends of the runs without white space, none across rows, and n + 1 word offsets of the rows."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     before = np.empty_like(solid)
@@ -136,15 +157,36 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one text, which may be very long: beside them only the arrays of a piece are held."""
+    out, spans = [], OpenSpan()
+    for at in range(0, len(data), BLOCK_BYTES):
+        piece = data[at : at + BLOCK_BYTES]
+        starts, ends, _ = word_spans(piece, np.array([0, len(piece)]))
+        if len(starts):
+            out.append(spans.feed(prefix_sums(piece), starts, ends, bool(starts[0] == 0), bool(ends[-1] == len(piece))))
+        else:
+            out.append(spans.close())
+    return np.concatenate((*out, spans.close()))
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of each run of width word hashes; across rows too, so slice by row."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = words[:n].copy()
-    for j in range(1, width):
-        total += words[j : j + n] * _U(pow(0xD1342543DE82EF95, j, 1 << 64))
-    return mixed(total)
+    n = max(len(words) - width + 1, 0)
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, 1 << 16):
+        k = min(n, i + (1 << 16))
+        total = words[i:k].copy()
+        for j in range(1, width):
+            total += words[i + j : k + j] * _U(pow(0xD1342543DE82EF95, j, 1 << 64))
+        out[i:k] = mixed(total)
+    return out
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once; the argument is sorted in place."""
+    hashes.sort()
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])] if len(hashes) else hashes
 
 
 def sequence_hash(words: np.ndarray) -> np.uint64:
