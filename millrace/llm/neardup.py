@@ -1,27 +1,31 @@
 """MinHash near-duplicates through a multi-index Hamming join of b-bit signatures.
 
 A document's set is its distinct 5-word shingles over lower-cased words. Its signature has SYMBOLS
-min-hashes of 16 bits. The first FILED of them are cut into chunks of CHUNK symbols. Two signatures that
-differ there in at most 2 * chunks - 1 symbols agree, by the pigeonhole principle, in some chunk up to
-one symbol, so each chunk is filed once for each symbol that may be wrong, without it: every pair within
-that distance meets under some key. (At a similarity of 0.75 a pair misses all keys with probability
-1e-7.) A pair is dropped when its whole signatures differ in more than TOLERANCE symbols (a similarity of
-0.75 goes beyond that with probability 1e-6) or when the sizes of the sets rule it out, and it is a link
-only if its full sets are similar enough.
-
-Documents with equal sets are one class; the least id stands for it. Classes are linked in three rounds,
+min-hashes of 16 bits, cut into chunks of CHUNK symbols. Two signatures that differ in at most TOLERANCE =
+2 * chunks - 1 symbols agree, by the pigeonhole principle, in some chunk up to one symbol, so each chunk is
+filed once for each symbol that may be wrong, without it: every pair within that distance meets under
+some key. TOLERANCE is also the greatest distance at which a pair is looked at further, so all pairs
+under the threshold are found; a pair of similarity 0.75 lies beyond it with probability 1.3e-6, one of
+0.8 with 2e-9. A pair is dropped when the sizes of the sets rule it out, and it is a link only if its full
+sets are similar enough. With exact=True no pair that meets under a key is dropped by its distance or its
+sketch: full sets alone decide.
+
+Documents with equal sets are one class; its least id stands for it. Classes are linked in three rounds,
 and each round only looks at keys whose classes lie in different components so far:
 
 1. under each key, the least class with all others;
 2. a least spanning forest of the signature distances under each key: those links join nearly
    all that belongs together without listing the pairs of a large group;
 3. all pairs that are left between different components, so that no link is lost. Their least SKETCH
-   shingle hashes, the whole set of most texts, rule out nearly all of them before any is passed on.
+   shingle hashes, the whole set of most texts, rule out nearly all of them before any is passed on (a
+   linked pair whose sketches are not the whole sets fails that test with probability 3e-7).
 
 Keys of many classes are dealt out in square blocks. Defined results: null and blank texts have an empty
-set and are linked with nothing. Repeated rows (and other rows of equal sets) share a component. Texts
-of fewer than 5 words have one shingle. Rows with a null id are linked with nothing and kept. An empty
-table gives no rows. Columns of the input other than doc_id and text are not looked at.
+set and are linked with nothing. Repeated rows (and other rows of equal sets) share a component. Rows of
+one id with different texts are judged by their own text each; component_id is the least id of the rows
+reachable. Texts of fewer than 5 words have one shingle. Rows with a null id are linked with nothing and
+kept. An empty table gives no rows. A very long text is hashed in pieces: it takes about twice its size
+and 40 bytes a word of memory. Columns of the input other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -33,70 +37,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mixed, prefix_sums, row_blocks, sequence_hash, span_hash, stored, text_bytes, window_hashes, word_spans
+from ..operators.splits import value_rank
+from . import common
+from .common import distinct, lower_ascii, mixed, prefix_sums, row_blocks, sequence_hash, span_hash, stored, text_bytes, window_hashes, word_hashes, word_spans
 from .graph import components
 
 WIDTH = 5
-SYMBOLS, FILED, CHUNK = 128, 48, 4
-KEYS = FILED
-TOLERANCE = 58
+SYMBOLS, CHUNK = 80, 4
+#: The distance up to which the keys guarantee that a pair meets, and up to which pairs are looked at.
+TOLERANCE = 2 * (SYMBOLS // CHUNK) - 1
 #: Classes of one key that a task compares with as many others.
 SQUARE = 4096
 #: Shingle hashes of each class that the last round compares inside a task, and the standard errors it allows for where these are not the whole set.
 SKETCH, ERRORS = 256, 5.0
 
+#: Shingles signed at once.
+_AT_ONCE = 1 << 12
+
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
 
 
+def _set_of(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct shingle hashes of one text's word hashes."""
+    if len(hashes) >= WIDTH:
+        return distinct(window_hashes(hashes, WIDTH))
+    return np.array([sequence_hash(hashes)], np.uint64) if len(hashes) else np.zeros(0, np.uint64)
+
+
 def _shingle_sets(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
+    """The set of each row of a block (of one row, if it is longer than a block)."""
     data = lower_ascii(data)
+    if len(offs) == 2 and len(data) > common.BLOCK_BYTES:
+        yield _set_of(word_hashes(data))
+        return
     starts, ends, words = word_spans(data, offs)
     hashes = span_hash(prefix_sums(data), starts, ends)
-    windows = window_hashes(hashes, WIDTH)
     for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
-        if b - a >= WIDTH:
-            yield np.unique(windows[a : b - WIDTH + 1])
-        elif b > a:
-            yield np.array([sequence_hash(hashes[a:b])], np.uint64)
-        else:
-            yield np.zeros(0, np.uint64)
+        yield _set_of(hashes[a:b])
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """SYMBOLS 16-bit min-hashes of a non-empty set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1 << 14):
-        least = np.minimum(least, (_MULTIPLY[:, None] * x[None, i : i + (1 << 14)] + _ADD[:, None]).min(axis=1))
+    for i in range(0, len(x), _AT_ONCE):
+        least = np.minimum(least, (_MULTIPLY[:, None] * x[None, i : i + _AT_ONCE] + _ADD[:, None]).min(axis=1))
     return (mixed(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    return (int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(s)).view(np.int64))) if len(s) else (0, 0)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offs = text_bytes(batch.column(1))
+        data, offs = text_bytes(batch.column("text"))
         for i, j in row_blocks(offs):
-            sizes, firsts, seconds, signs = [], [], [], []
+            sizes, names, signs = [], [], []
             for s in _shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
                 sizes.append(len(s))
-                firsts.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                seconds.append(int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else 0)
+                names.append(_names(s))
                 signs.append(signature(s).view(np.int16) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signs, pa.list_(pa.int16()))], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+            first, second = zip(*names, strict=True)
+            kept = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(signs, pa.list_(pa.int16()))], ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "sig"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells apart the rows of one id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
+
+
+def text_key(text):
+    return F.xxhash64(text)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set, and its signature (null for an empty set)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<smallint>")
+    """doc_id, text_key, n_shingles, a 128-bit name of the set, and its signature (null for an empty set)."""
+    return _texts(docs).mapInArrow(_signed, "doc_id bigint, text_key bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<smallint>")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
     """rep, number of the key, key: each chunk without each of its symbols in turn."""
     made = []
-    for k in range(KEYS):
+    for k in range(SYMBOLS):
         chunk, drop = divmod(k, CHUNK)
         rest = [chunk * CHUNK + i for i in range(CHUNK) if i != drop]
         made.append(F.xxhash64(F.lit(k), *(F.col("sig")[i] for i in rest)))
@@ -114,10 +142,10 @@ def _possible(a, b, percent: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offs = text_bytes(batch.column(1))
+        data, offs = text_bytes(batch.column("text"))
         for i, j in row_blocks(offs):
             made = [s.tobytes() for s in _shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(made, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array(made, pa.binary())], ["id", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -130,10 +158,10 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and shingles of the listed documents. Always joined by sorting, so the plan is alike at every size."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id bigint, shingles binary")
+def _wanted_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and shingles of the given classes, by the text that stands for each. Always joined by sorting, so the plan is alike at every size."""
+    found = _texts(docs).join(classes.select("rep", F.col("least_id").alias("doc_id"), "text_key").hint("merge"), ["doc_id", "text_key"])
+    return found.select("rep", "text").dropDuplicates(["rep"]).mapInArrow(_sets, "id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,7 +172,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, percent), "a bigint, b bigint")
 
 
-def _squares(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
+def _squares(batches: Iterator[pa.RecordBatch], percent: int, forest: bool, exact: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of each (key, row, column) square; the input is sorted by these."""
     held, parts = None, []
     for batch in batches:
@@ -155,15 +183,15 @@ def _squares(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> I
                 continue
             name = tuple(names[:, i].tolist())
             if name != held and parts:
-                yield _square(parts, percent, forest)
+                yield _square(parts, percent, forest, exact)
                 parts = []
             held = name
             parts.append(batch.slice(i, j - i))
     if parts:
-        yield _square(parts, percent, forest)
+        yield _square(parts, percent, forest, exact)
 
 
-def _square(parts: list[pa.RecordBatch], percent: int, forest: bool) -> pa.RecordBatch:
+def _square(parts: list[pa.RecordBatch], percent: int, forest: bool, exact: bool) -> pa.RecordBatch:
     t = pa.Table.from_batches(parts).combine_chunks()
     rep, label, side, size = (t.column(c).to_numpy() for c in ("rep", "label", "side", "n_shingles"))
     number, row, col = (t.column(c)[0].as_py() for c in ("number", "row", "col"))
@@ -171,7 +199,7 @@ def _square(parts: list[pa.RecordBatch], percent: int, forest: bool) -> pa.Recor
     if forest:
         a, b = _forest(rep, label, size, sig, percent)
     else:
-        sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
+        sketches = None if exact else [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
         a, b = _all_pairs(rep, label, size, sig, sketches, percent, number, np.flatnonzero(side == row), np.flatnonzero(side == col), row == col)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
@@ -226,7 +254,7 @@ def _may_link(p: np.ndarray, q: np.ndarray, sizes: tuple[int, int], percent: int
     return common / union >= share - ERRORS * (share * (1 - share) / union) ** 0.5
 
 
-def _all_pairs(rep, label, size, sig, sketches: list[np.ndarray], percent: int, number: int, left: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
+def _all_pairs(rep, label, size, sig, sketches: list[np.ndarray] | None, percent: int, number: int, left: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs between components; a pair belongs to the first of the keys it shares and is passed over elsewhere."""
     a_out, b_out = [], []
     for i in left.tolist():
@@ -234,58 +262,80 @@ def _all_pairs(rep, label, size, sig, sketches: list[np.ndarray], percent: int,
         if not len(others):
             continue
         same = sig[others] == sig[i]
-        near = same.sum(1) >= SYMBOLS - TOLERANCE
-        others, same = others[near], same[near, :FILED]
-        if not len(others):
-            continue
+        if sketches is not None:
+            near = same.sum(1) >= SYMBOLS - TOLERANCE
+            others, same = others[near], same[near]
+            if not len(others):
+                continue
         chunks = same.reshape(len(others), -1, CHUNK)
         agree = chunks.sum(2, keepdims=True) - chunks == CHUNK - 1
         own = others[agree.reshape(len(others), -1).argmax(1) == number]
-        own = own[[_may_link(sketches[i], sketches[j], (size[i], size[j]), percent) for j in own.tolist()]] if len(own) else own
+        own = own[[_may_link(sketches[i], sketches[j], (size[i], size[j]), percent) for j in own.tolist()]] if len(own) and sketches is not None else own
         a_out.append(np.full(len(own), rep[i]))
         b_out.append(rep[own])
     empty = np.zeros(0, np.int64)
     return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (empty, empty)
 
 
-def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool, exact: bool) -> DataFrame:
     """Pairs (a, b) of classes that share a key but no component yet, other than those with a key's least class."""
     named = members.where("rep <> pivot").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "number", "rep", F.coalesce("component", "rep").alias("label"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h").select("key", F.ceil(F.col("n") / F.lit(SQUARE)).alias("sides"))
     rows = named.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")))
     known = classes.select("rep", "sig", "n_shingles")
-    if not forest:
+    sketched = not forest and not exact
+    if sketched:
         known = known.join(sets.select(F.col("id").alias("rep"), F.substring("shingles", 1, 8 * SKETCH).alias("sketch")), "rep")
     signed = rows.join(known, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
-    signed = signed.select("key", "number", "rep", "label", "side", "n_shingles", "sig", *([] if forest else ["sketch"]), F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
+    signed = signed.select("key", "number", "rep", "label", "side", "n_shingles", "sig", *(["sketch"] if sketched else []), F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.repartition(n, "key", "row", "col").sortWithinPartitions("key", "row", "col")
-    return dealt.mapInArrow(lambda it: _squares(it, percent, forest), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lambda it: _squares(it, percent, forest, exact), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id)."""
-    signed = stored(signatures(docs), "signatures")
+def _classes(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """One row for each distinct set: rep (its number), least_id and text_key of the row that stands for it, set_a, set_b, sig, n_shingles.
+
+    The number is the least id. Only where some id stands for several sets, numbers follow the order of
+    the least ids instead, so that the least number of a component is a class of its least id either way; then the second result is true.
+    """
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    made = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = stored(made.select(F.col("at.doc_id").alias("rep"), F.col("at.doc_id").alias("least_id"), F.col("at.text_key").alias("text_key"), "set_a", "set_b", "sig", "n_shingles"), "classes")
+    if classes.groupBy("rep").count().where("count > 1").isEmpty():
+        return classes, False
+    return value_rank(classes.drop("rep"), ["least_id", "text_key", "set_a", "set_b"], "rep"), True
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id),
+    text_key (xxhash64 of the text) and first: true for the rows of the one text that stands for its component.
+    """
+    signed = stored(signatures(docs), "signatures")
+    classes, numbered = _classes(signed)
     keys = _keys(classes)
     # Written first: a join of two plain exchanges can be split where one key is very common.
     least = stored(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "least")
     members = stored(keys.join(least, "key"), "members")
-    sets = stored(_wanted_sets(docs, members.select(F.col("rep").alias("id")).distinct()), "sets")
+    sets = stored(_wanted_sets(docs, classes.join(members.select("rep").distinct(), "rep", "left_semi")), "sets")
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     one = lambda name: classes.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"))
-    near = star.join(one("b"), "b").join(one("a"), "a").where(_possible(F.col("n_a"), F.col("n_b"), percent) & (_apart(F.col("sig_a"), F.col("sig_b")) <= TOLERANCE)).select("a", "b")
+    near = star.join(one("b"), "b").join(one("a"), "a").where(_possible(F.col("n_a"), F.col("n_b"), percent))
+    near = (near if exact else near.where(_apart(F.col("sig_a"), F.col("sig_b")) <= TOLERANCE)).select("a", "b")
     links = stored(confirmed(near, sets, percent), "confirmed")
     labels = stored(components(links), "components")
     for forest in (True, False):
-        pairs = stored(_between(members, classes, labels, sets, percent, forest), "pairs")
+        pairs = stored(_between(members, classes, labels, sets, percent, forest, exact), "pairs")
         more = stored(confirmed(pairs, sets, percent), "confirmed")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = stored(components(links), "components")
-    homes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("home"))
+    homes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", "rep", F.coalesce("component", "rep").alias("home"), "least_id", F.col("text_key").alias("first_key"))
+    # The id of a component is that of its least class.
+    homes = homes.join(classes.select(F.col("rep").alias("home"), F.col("least_id").alias("home_id")), "home") if numbered else homes.withColumn("home_id", F.col("home"))
     placed = signed.drop("sig").join(homes, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("home")).otherwise(F.col("doc_id"))
-    named = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(some, F.col("home_id")).otherwise(F.col("doc_id"))
+    first = ~some | ((F.col("rep") == F.col("home")) & (F.col("doc_id") == F.col("least_id")) & (F.col("text_key") == F.col("first_key")))
+    named = placed.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", F.coalesce(first, F.lit(True)).alias("first"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, workers_can_import
+from ..session import table, ready
 from . import bpe, htmlmain, langid, mixing, neardup, quality, records, runindex, topk, urlrules
 
 
@@ -63,7 +63,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ready(f: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        workers_can_import(spark)
+        ready(spark)
         return f(spark, sf_dir)
 
     return run
@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
         from hosted""",
     "op5_mixing": r"""
         with sizes as (
-            select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, 'null')) as k from documents),
+            select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))) as k from documents),
         per as (select source, sum(size)::bigint as source_size from sizes group by source),
         ranked as (select *, row_number() over (order by source nulls last) - 1 as rank from per),
         weighted as (select *, [3, 1, 2][(rank % 3)::int + 1]::double as weight, 2.0::double * source_size as cap from ranked),
@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
                 sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as after,
                 1.5::double * (sum(source_size) over ())::double as total from weighted),
         goals as (select source, rank, source_size, least(cap, weight * max((total - before) / after) over ()) as target from levels),
-        placed as (select *, coalesce(sum(size) over (partition by source order by k, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as place from sizes),
+        placed as (select *, coalesce(sum(size) over (partition by source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as place from sizes),
         mixed as (
             select doc_id, size, g.source_size, target, place, rank,
                 (greatest(least(floor(target)::bigint - place, size), 0) + greatest(least(floor(target)::bigint - place - g.source_size, size), 0))::bigint as taken,
@@ -123,12 +123,12 @@ ORACLE_SQL: dict[str, str] = {
                        else least(2.0 * demand / (0.5 + sqrt(greatest(0.25 + 2.0 * demand, 0))), 1.0) end, 6) as position
         from mixed""",
     "op7_topk_search": """
-        with rows as (
-            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+        with rows as materialized (
+            select vec_id, row_number() over () as own, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
             where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         scored as (
             select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
-            from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+            from rows q join rows c on q.own <> c.own where q.vec_id % 50 = 0),
         ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
         select query_id, rank, vec_id, score from ranked where rank <= 5""",
     "op9_minhash_near_dedup": r"""

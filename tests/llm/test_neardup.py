@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm import graph, neardup
+from millrace.llm import graph, neardup, quality
 
 
 def shingles(text):
@@ -65,19 +65,62 @@ def test_signature_distance_follows_similarity():
     assert abs(same - 700 / 900) < 0.2 and (neardup.signature(a) == neardup.signature(a[::-1].copy())).all()
 
 
-def test_keys_meet_every_pair_within_the_guaranteed_distance(spark):
+def test_keys_meet_every_pair_up_to_the_threshold(spark):
     r = random.Random(6)
-    base = [r.randrange(1 << 16) for _ in range(neardup.FILED)]
-    chunks = neardup.FILED // neardup.CHUNK
+    base = [r.randrange(1 << 16) for _ in range(neardup.SYMBOLS)]
     rows = [(0, base)]
-    for i in range(1, 30):
-        other = list(base)
-        for at in r.sample(range(neardup.FILED), 2 * chunks - 1):
-            other[at] ^= 1
-        rows.append((i, other))
+    for distance in range(1, neardup.TOLERANCE + 1):
+        # At random, and spread as evenly over the chunks as can be.
+        spread = [c * neardup.CHUNK + k for k in range(neardup.CHUNK) for c in range(neardup.SYMBOLS // neardup.CHUNK)][:distance]
+        for at in (r.sample(range(neardup.SYMBOLS), distance), spread):
+            other = list(base)
+            for i in at:
+                other[i] ^= 1
+            rows.append((len(rows), other))
     keys = neardup._keys(spark.createDataFrame(rows, "rep bigint, sig array<int>"))
     first = keys.where("rep = 0").select("key")
-    assert keys.join(first, "key").select("rep").distinct().count() == 30
+    assert keys.join(first, "key").select("rep").distinct().count() == len(rows)
+
+
+def test_exact_mode_agrees(docs, words):
+    r = random.Random(9)
+    rows = [(i, words(r.randint(5, 60), i)) for i in range(12)]
+    rows += [(50 + i, edited(t, 1 + i % 3, r)) for i, t in rows]
+    got = [sorted(tuple(x) for x in neardup.near_duplicates(docs(rows), exact=e).collect()) for e in (False, True)]
+    assert got[0] == got[1] and {x[0]: (x[1], x[2]) for x in got[1]} == brute(rows)
+
+
+def test_one_id_with_different_texts(spark, docs, words):
+    a, b, c = (words(60, k) for k in (1, 2, 3))
+    rows = [(1, a), (1, b), (3, b + " more"), (7, c), (7, a), (2, c), (9, c.upper()), (4, words(60, 4))]
+    want = sorted([(1, 1), (1, 1), (3, 1), (7, 2), (7, 1), (2, 2), (9, 2), (4, 4)])
+    for parts in (1, 2, 3, 5):
+        out = neardup.near_duplicates(docs(rows).repartition(parts)).collect()
+        assert sorted((x["doc_id"], x["component_id"]) for x in out) == want
+        first = sorted((x["doc_id"], x["component_id"]) for x in out if x["first"])
+        assert first == [(1, 1), (1, 1), (2, 2), (4, 4)]
+
+
+def test_pieces_of_a_long_text_give_the_same_set(monkeypatch, words):
+    texts = [words(3000, 5), "one two", "  \n ", "", "x" * 5000, "a b c d e f " * 400 + "yz" * 999]
+    sets = lambda t: next(neardup._shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))
+    whole = [sets(t).tolist() for t in texts]
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(neardup.common, "BLOCK_BYTES", size)
+        assert [sets(t).tolist() for t in texts] == whole
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    data = np.frombuffer(b" ".join(b"%d" % (i * 7919 % 1000003) for i in range(3_000_000)), np.uint8)
+    assert len(data) > 20_000_000
+    for count in (lambda: neardup.signature(next(neardup._shingle_sets(data, np.array([0, len(data)])))), lambda: list(quality._counts(data, np.array([0, len(data)])))):
+        tracemalloc.start()
+        count()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 160 << 20
 
 
 def test_repeated_rows_nulls_and_clashing_columns(clashing, words):
