@@ -180,33 +180,43 @@ def decode_ids(ids: bytes, path: str) -> bytes:
     return b"".join([vocabulary[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def _mapped(df: DataFrame, read: str, made: str, f: Callable[[], Callable]) -> DataFrame:
-    """df with the binary column made: f()(value of the column read); nulls count as empty."""
-    names = [c for c in df.columns if c != made]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), f"`{made}` binary"])
+def _mapped(df: DataFrame, read: str, made: tuple[str, ...], f: Callable[[], Callable]) -> DataFrame:
+    """df with the binary columns made: the results of f()(value of the column read); nulls count as empty."""
+    names = [c for c in df.columns if c not in made]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), *(f"`{m}` binary" for m in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = f()
         for whole in batches:
             for i in range(0, whole.num_rows, BATCH_ROWS):
                 part = whole.slice(i, BATCH_ROWS)
-                made_here = pa.array([one(x or type(x)()) if x is not None else b"" for x in part.column(read).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), made_here], [*names, made])
+                done = [one(x) if x is not None else (b"",) * len(made) for x in part.column(read).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array([d[k] for d in done], pa.binary()) for k in range(len(made)))], [*names, *made])
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the column ids: binary, little-endian unsigned 32-bit integers."""
-    return _mapped(df, text, ids, lambda: encoder(path, pattern).encode)
+    return _mapped(df, text, (ids,), lambda: lambda x: (encoder(path, pattern).encode(x),))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the bytes that the ids stand for."""
-    return _mapped(df, ids, decoded, lambda: lambda x: decode_ids(x, path))
+    return _mapped(df, ids, (decoded,), lambda: lambda x: (decode_ids(x, path),))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with ids, as encode makes them, and decoded, as decode makes that of them, from one pass through one Python worker a task."""
+
+    def both(x: str) -> tuple[bytes, bytes]:
+        made = encoder(path, pattern).encode(x)
+        return made, decode_ids(made, path)
+
+    return _mapped(df, text, (ids, decoded), lambda: both)
 
 
 def digest(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
     """id_column, n_tokens, and SHA-256 of the ids and of the decoded bytes."""
-    coded = decode(encode(df.select(id_column, "text"), path, pattern).drop("text"), path)
+    coded = round_trip(df.select(id_column, "text"), path, pattern).drop("text")
     return coded.select(id_column, F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
