@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.llm import bpe, mixing, neardup, quality, runindex
-from millrace.llm.common import scratch, stored
-from millrace.operators import splits
-from millrace.session import table, workers_can_import
+from millrace.session import ready, scratch, table
 
 
 def _shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -30,34 +28,28 @@ def _restored(df: DataFrame, docs: DataFrame, other: dict[str, str], **made) ->
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those that fail the base rules, and anomalies of the isolation forest."""
+    ready(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     safe, other = _shielded(docs)
     judged = quality.judge(safe, model, keep=("doc_id", "text", *other.values()))
     return _restored(judged.where("kept"), docs, other)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with __number: doc_id, or where some id has several texts, the place of (doc_id, text) in order, so that each text is judged on its own."""
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    pairs = keyed.select("doc_id", "__key").distinct()
-    if pairs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("__number", F.col("doc_id").cast("bigint"))
-    places = splits.value_rank(stored(pairs, "pairs"), ["doc_id", "__key"], "__number")
-    # The stage reads it several times.
-    return stored(keyed.join(places, ["doc_id", "__key"]).drop("__key"), "numbered")
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the least id; of rows of equal id and text, one."""
+    ready(spark)
     safe, other = _shielded(docs)
-    numbered = _numbered(safe.where("doc_id is not null"))
-    kept = neardup.near_duplicates(numbered.select(F.col("__number").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__number")).distinct()
-    once = numbered.join(kept, "__number").withColumn("__row", F.row_number().over(W.partitionBy("__number").orderBy(F.lit(1)))).where("__row = 1").drop("__row", "__number")
-    return _restored(once.unionByName(safe.where("doc_id is null")), docs, other)
+    named = safe.where("doc_id is not null")
+    keys = {"__id": F.col("doc_id").cast("bigint"), "__text_key": neardup.text_key(F.col("text").cast("string"))}
+    kept = neardup.near_duplicates(named).where("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
+    once = W.partitionBy(*keys).orderBy(F.lit(1))
+    chosen = named.withColumns(keys).join(kept, list(keys)).withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row", *keys)
+    return _restored(chosen.unionByName(safe.where("doc_id is null")), docs, other)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long repeated passages are cut out of every text; a character that a cut goes through is lost whole."""
+    ready(spark)
     safe, other = _shielded(docs)
     cut = runindex.remove_repeats(safe, keep=("doc_id", *other.values()), as_text=True)
     return _restored(cut, docs, other, text=F.col("kept_text"), n_chars=F.char_length("kept_text"))
@@ -69,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A copy that the mix takes in part stays whole if at least half of it is taken, so a source's words
     differ from its target by half a document at most for each pass.
     """
+    ready(spark)
     safe, other = _shielded(docs)
     # Two keys that are never null: the window and the join below then share one shuffle of the texts.
     keys = {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__text_key": F.xxhash64("text")}
@@ -84,11 +77,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (binary, little-endian unsigned 32-bit integers) of each text, with digests of them and of what they decode to."""
+    ready(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
+    coded = bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("minhash_near_dedup", near_dedup),
@@ -102,7 +97,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    workers_can_import(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
