@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .splits import value_rank
+
 
 def rss(df: DataFrame, prediction: Column, actual: str) -> DataFrame:
     error = F.col(actual) - prediction
@@ -41,15 +43,25 @@ def precision_recall(df: DataFrame, label: str, prediction: Column, positive=1)
     return df.agg(F.try_divide(F.sum(said * true), F.sum(said)).alias("precision"), F.try_divide(F.sum(said * true), F.sum(true)).alias("recall"))
 
 
+def _level(score: Column, ordered: Sequence[float], low: int, high: int) -> Column:
+    """How many of the thresholds lie below the score, by bisection; 0 for null."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(score > F.lit(ordered[middle]), _level(score, ordered, middle + 1, high)).otherwise(_level(score, ordered, low, middle))
+
+
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[float], positive=1) -> DataFrame:
     """threshold, precision, recall of score > threshold, for all thresholds from one pass.
 
-    Rows are counted by the number of thresholds below them; suffix sums over that many counts give
-    every threshold, so no row is multiplied.
+    Rows are counted by the number of thresholds below them, found by bisection in one generated expression;
+    suffix sums over that many counts give every threshold, so no row is multiplied. A score that is an
+    expression is worked out once a row.
     """
     ordered = sorted(thresholds)
     spark = df.sparkSession
-    level = F.size(F.filter(F.lit([float(t) for t in ordered]), lambda t: t < F.col(score)))
+    # The value stands in an array of one element, so that the optimiser cannot copy its expression into every branch.
+    level = F.transform(F.array(F.col(score).cast("double")), lambda s: _level(s, [float(t) for t in ordered], 0, len(ordered)))[0]
     true = (F.col(label) == positive).cast("bigint")
     counts = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("said"), F.sum(true).alias("hit"))
     grid = spark.createDataFrame([(i, float(t)) for i, t in enumerate(ordered, 1)], "level int, threshold double").unionByName(spark.createDataFrame([(0, None)], "level int, threshold double"))
@@ -85,11 +97,24 @@ def histogram(df: DataFrame, value: Column, bins: int, density: bool = False) ->
     return grid.join(counts, "bin", "left").select("bin", "low", "high", (F.coalesce("c", F.lit(0.0)) * scale).alias("amount"))
 
 
-def moving_average(df: DataFrame, order: str, value: str, window: int, by: str | None = None) -> DataFrame:
+#: Rows of one ordered history that a task averages at a time.
+CHUNK_ROWS = 1 << 16
+
+
+def moving_average(df: DataFrame, order: str, value: str, window: int, by: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """order and the mean of the last window values, from the first full window on.
 
-    by splits the history into runs that are averaged apart. A history is as long as its iterations.
+    by splits the history into runs that are averaged apart, a run a task. Without it the rows are ranked and
+    dealt in chunks, each with the window - 1 rows before it, so no task orders the whole history.
     """
-    base = W.partitionBy(*([by] if by else [])).orderBy(order)
+    if by is None:
+        size = max(chunk_rows, window)
+        ranked = value_rank(df.select(order, value), [order], "__rank")
+        chunk = F.expr(f"__rank div {size}")
+        copies = ranked.withColumn("__chunk", F.explode(F.array_distinct(F.array(chunk, F.expr(f"(__rank + {window - 1}) div {size}")))))
+        inside = W.partitionBy("__chunk").orderBy("__rank").rowsBetween(-(window - 1), 0)
+        averaged = copies.withColumn("moving_average", F.avg(value).over(inside))
+        return averaged.where((F.col("__chunk") == chunk) & (F.col("__rank") >= window - 1)).select(order, "moving_average")
+    base = W.partitionBy(by).orderBy(order)
     full = df.withColumn("moving_average", F.avg(value).over(base.rowsBetween(-(window - 1), 0))).withColumn("__n", F.row_number().over(base))
-    return full.where(F.col("__n") >= window).select(*([by] if by else []), order, "moving_average")
+    return full.where(F.col("__n") >= window).select(by, order, "moving_average")
