@@ -55,21 +55,17 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
     return ids.join(assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster", "left").select("cluster", F.coalesce("n", F.lit(0)).alias("size"))
 
 
-def _sums(df: DataFrame, vector: str, centroids: Vectors) -> dict[int, tuple[int, float, float, np.ndarray]]:
-    """Rows, squared distance, a hash of the members and the vector sum of each cluster, from one pass over flat sums."""
-    width = len(centroids[0])
-    placed = assign(df.where(F.col(vector).isNotNull()), vector, centroids)
-    parts = [F.sum(F.col(vector)[i].cast("double")).alias(f"s{i}") for i in range(width)]
-    rows = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("squared_distance").alias("d"), F.sum(F.xxhash64(vector).cast("decimal(38,0)")).alias("h"), *parts).collect()
-    return {r["cluster"]: (r["n"], r["d"], r["h"], np.array([r[f"s{i}"] for i in range(width)])) for r in rows}
-
-
 def revise(df: DataFrame, vector: str, centroids: Vectors) -> np.ndarray:
     """Means of the clusters; a cluster without rows keeps its centroid."""
-    sums = _sums(df, vector, centroids)
+    sums = _sums_of(_prepared(df, vector), [np.array(centroids, float)])[0]
     return np.array([sums[i][3] / sums[i][0] if i in sums else np.array(c, float) for i, c in enumerate(centroids)])
 
 
+def _prepared(df: DataFrame, vector: str) -> DataFrame:
+    """x, the vector in doubles, and h, a hash of it."""
+    return df.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.xxhash64(vector).alias("h"))
+
+
 @dataclass
 class Clustering:
     centroids: np.ndarray
@@ -103,7 +99,7 @@ def _partial(batches: Iterator[pa.RecordBatch], runs: list[np.ndarray]) -> Itera
 
 
 def _sums_of(data: DataFrame, runs: list[np.ndarray]) -> list[dict[int, tuple[int, float, int, np.ndarray]]]:
-    """As _sums, for the clusterings of several runs in one pass over prepared rows (x, h)."""
+    """Rows, squared distance, hash of the members and vector sum of each cluster, for several runs in one pass over prepared rows (x, h)."""
     out: list[dict] = [{} for _ in runs]
     for r in data.mapInArrow(lambda it: _partial(it, runs), "run int, cluster int, n bigint, h bigint, d double, s array<double>").collect():
         n, d, h, s = out[r["run"]].get(r["cluster"], (0, 0.0, 0, 0.0))
@@ -118,7 +114,7 @@ def lloyd_runs(df: DataFrame, vector: str, starts: Sequence[Vectors], max_iter:
     """
     if not starts:
         return []
-    data = df.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.xxhash64(vector).alias("h")).persist()
+    data = _prepared(df, vector).persist()
     out = [Clustering(np.array(s, float), 0.0) for s in starts]
     before: list[dict | None] = [None] * len(out)
     left = list(range(len(out)))
@@ -154,31 +150,83 @@ def random_start(df: DataFrame, row_id: str, vector: str, k: int, seed: int = 0,
     return picked if distinct or not len(picked) else picked[np.random.RandomState(seed).randint(0, len(picked), k)]
 
 
-def careful_start(df: DataFrame, row_id: str, vector: str, k: int, seed: int = 0) -> np.ndarray:
-    """k-means++: each next centre is drawn with chance proportional to the squared distance to the nearest so far.
+def _uniform(row_id: str, seed: int, step: int) -> Column:
+    """A number between 0 and 1 from the first 13 hexadecimal digits of an MD5 that any SQL engine can make again."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{step}:"), F.coalesce(F.col(row_id).cast("string"), F.lit("")))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
 
-    Drawn without a running total: the least -ln(u) / D^2 over the rows, u a seeded hash of the row,
-    picks a row with exactly that chance in one aggregation.
+def _drawn(batches: Iterator[pa.RecordBatch], centres: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each seed the least -ln(u) / D^2 among a task's rows, ties by row id, with the row's vector."""
+    best: dict[int, tuple[float, int, list[float]]] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        u = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for s, own in enumerate(centres):
+            d2 = np.min([((x - c) ** 2).sum(1) for c in own], axis=0)
+            with np.errstate(divide="ignore"):
+                race = np.where(d2 > 0, -np.log(u[:, s]) / d2, np.inf)
+            first = int(np.lexsort((ids, race))[0])
+            found = float(race[first]), int(ids[first]), x[first].tolist()
+            if np.isfinite(found[0]) and (s not in best or found[:2] < best[s][:2]):
+                best[s] = found
+    rows = sorted(best.items())
+    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([r[0] for _, r in rows], pa.float64()), pa.array([r[1] for _, r in rows], pa.int64()), pa.array([r[2] for _, r in rows], pa.list_(pa.float64()))], ["seed", "race", "id", "x"])
+
+
+def careful_starts(df: DataFrame, row_id: str, vector: str, k: int, seeds: Sequence[int]) -> list[np.ndarray]:
+    """k-means++ for several seeds at once: each next centre is drawn with chance proportional to the squared distance to the nearest so far.
+
+    Drawn without a running total: the least -ln(u) / D^2 over the rows, u a seeded hash of the row, picks a
+    row with exactly that chance in one pass, which all seeds share. With fewer distinct rows than k there are fewer centres.
     """
-    usable = df.where(F.col(vector).isNotNull()).select(row_id, vector).persist()
-    centres = random_start(usable, row_id, vector, 1, seed).tolist()
-    while centres and len(centres) < k:
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(len(centres)), F.col(row_id)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        d2 = F.array_min(squared_distances(F.col(vector), centres))
-        drawn = usable.withColumn("__d", d2).where(F.col("__d") > 0).orderBy(-F.log(u) / F.col("__d"), row_id).select(vector).limit(1).collect()
-        if not drawn:
+    usable = df.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("bigint").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("x")).persist()
+    firsts = usable.agg(*(F.min(F.struct(shuffle_key("id", s), "id", "x")).alias(f"s{i}") for i, s in enumerate(seeds))).first()
+    centres = [np.array([firsts[f"s{i}"]["x"]], float) if firsts[f"s{i}"] is not None else np.zeros((0, 0)) for i in range(len(seeds))]
+    going = [i for i, c in enumerate(centres) if len(c)]
+    for step in range(1, k):
+        if not going:
             break
-        centres.append([float(x) for x in drawn[0][0]])
+        chances = F.array(*(_uniform("id", seeds[i], step) for i in going)).alias("u")
+        held = [centres[i] for i in going]
+        found: dict[int, tuple] = {}
+        for r in usable.select("id", "x", chances).mapInArrow(lambda it, held=held: _drawn(it, held), "seed int, race double, id bigint, x array<double>").collect():
+            if r["seed"] not in found or (r["race"], r["id"]) < found[r["seed"]][:2]:
+                found[r["seed"]] = r["race"], r["id"], r["x"]
+        for s, (_, _, x) in found.items():
+            centres[going[s]] = np.vstack([centres[going[s]], x])
+        going = [going[s] for s in sorted(found)]
     usable.unpersist()
-    return np.array(centres, float)
+    return centres
+
+
+def careful_start(df: DataFrame, row_id: str, vector: str, k: int, seed: int = 0) -> np.ndarray:
+    """careful_starts of one seed."""
+    return careful_starts(df, row_id, vector, k, [seed])[0]
 
 
 def restarts(df: DataFrame, row_id: str, vector: str, k: int, seeds: Sequence[int], careful: bool = True, max_iter: int = 500) -> tuple[int, Clustering]:
     """The seed and clustering of least heterogeneity, the first of equals."""
-    starts = [(careful_start if careful else random_start)(df, row_id, vector, k, s).tolist() for s in seeds]
+    starts = careful_starts(df, row_id, vector, k, seeds) if careful else [random_start(df, row_id, vector, k, s) for s in seeds]
     return min(zip(seeds, lloyd_runs(df, vector, starts, max_iter), strict=True), key=lambda r: r[1].heterogeneity)
 
 
+def heterogeneity_by_k(df: DataFrame, row_id: str, vector: str, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 500) -> list[tuple[int, int, float]]:
+    """(k, seed, heterogeneity) of the best restart for each k; the runs of all k share each pass over the rows."""
+    # The first j centres of a seed are its start for k = j.
+    most = careful_starts(df, row_id, vector, max(ks), seeds)
+    plans = [(k, s, c[:k]) for k in ks for s, c in zip(seeds, most, strict=True)]
+    runs = lloyd_runs(df, vector, [c for _, _, c in plans], max_iter)
+    best: dict[int, tuple[int, int, float]] = {}
+    for (k, s, _), run in zip(plans, runs, strict=True):
+        if k not in best or run.heterogeneity < best[k][2]:
+            best[k] = k, s, run.heterogeneity
+    return [best[k] for k in ks]
+
+
 # ---------------------------------------------------------------- sparse rows
 
 def sparse_assign(bag: DataFrame, doc_id: str, centroids: DataFrame, value: str = "value") -> DataFrame:
@@ -213,3 +261,11 @@ def nearest_members(assigned: DataFrame, row_id: str, k: int = 8) -> DataFrame:
     """The k rows of each cluster nearest to its centroid."""
     order = W.partitionBy("cluster").orderBy("squared_distance", row_id)
     return assigned.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def described(centroids: DataFrame, assigned: DataFrame, titles: DataFrame, doc_id: str, title: str, terms: int = 5, members: int = 8, value: str = "value") -> DataFrame:
+    """cluster, its terms of the highest mean (best first) and the titles of the members nearest to its centroid (nearest first)."""
+    words = top_terms(centroids, terms, value).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    near = nearest_members(assigned, doc_id, members).select("cluster", "rank", doc_id)
+    named = near.join(titles.select(doc_id, F.col(title).alias("__title")), doc_id, "left").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("rank", "__title"))).alias("m"))
+    return words.join(named, "cluster", "full").select("cluster", F.col("t.term").alias("terms"), F.col("m.__title").alias("members"))
