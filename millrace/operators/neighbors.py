@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.distance import METRICS, cosine, dot
+from ..session import scratch, stored
+from .splits import value_rank
 
 #: Queries that are compared with all items in one job: bounds what the driver and each task hold.
 QUERY_BLOCK = 4096
@@ -62,20 +64,25 @@ def _near(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k:
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(item[order[keep]]), pa.array(least[keep])], ["q", "item", "distance"])
 
 
-def k_nearest(queries: DataFrame, query_id: str, query_vector: str, items: DataFrame, item_id: str, item_vector: str, k: int, metric: str = "manhattan", skip_same_id: bool = False) -> DataFrame:
+_FOUND = "q bigint, item bigint, distance double"
+
+
+def k_nearest(queries: DataFrame, query_id: str, query_vector: str, items: DataFrame, item_id: str, item_vector: str, k: int, metric: str = "manhattan", skip_same_id: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, item_id, distance, rank (from 1) of the k nearest items of each query, ties by item_id.
 
-    The queries are a stated set: blocks of QUERY_BLOCK of them meet all items, and every task passes on
-    only k candidates a query and batch.
+    The queries are a stated set: block of them at most meet all items in one job, and every task passes on
+    only k candidates a query and batch. The driver holds one block at a time; each block's candidates are
+    written before the next one is read.
     """
-    found = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("bigint").alias("q"), F.transform(query_vector, lambda x: x.cast("double")).alias("v")).orderBy("q").toArrow()
-    rows = items.where(F.col(item_vector).isNotNull()).select(F.col(item_id).cast("bigint").alias("item"), F.transform(item_vector, lambda x: x.cast("double")).alias("v"))
-    every = None
-    for i in range(0, max(found.num_rows, 1), QUERY_BLOCK):
-        part = found.slice(i, QUERY_BLOCK).combine_chunks()
-        ids, q = part.column(0).to_numpy().astype(np.int64), _rows(part.column(1).combine_chunks()) if part.num_rows else np.zeros((0, 0))
-        near = rows.mapInArrow(lambda it, ids=ids, q=q: _near(it, ids, q, k, metric, skip_same_id) if len(ids) else iter(()), "q bigint, item bigint, distance double")
-        every = near if every is None else every.unionByName(near)
+    ready = lambda df, key, vector, name: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(name), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    numbered = value_rank(ready(queries, query_id, query_vector, "q"), ["q"], "number")
+    rows = stored(ready(items, item_id, item_vector, "item"), "items")
+    spark, folder, total = rows.sparkSession, scratch(rows.sparkSession, "nearest"), numbered.count()
+    for first in range(0, total, block):
+        part = numbered.where((F.col("number") >= first) & (F.col("number") < first + block)).orderBy("number").select("q", "v").toArrow().combine_chunks()
+        ids, q = part.column(0).to_numpy().astype(np.int64), _rows(part.column(1).combine_chunks())
+        rows.mapInArrow(lambda it, ids=ids, q=q: _near(it, ids, q, k, metric, skip_same_id), _FOUND).write.mode("append").parquet(folder)
+    every = spark.read.schema(_FOUND).parquet(folder) if total else spark.createDataFrame([], _FOUND)
     order = W.partitionBy("q").orderBy("distance", "item")
     ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("item").alias("item_id"), "distance", "rank")

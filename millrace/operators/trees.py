@@ -17,7 +17,6 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: Errors that differ by less count as equal.
 _EQUAL = 12
@@ -82,8 +81,17 @@ class Tree:
         return F.element_at(labels, self.node_of(x) + 1)
 
     def table(self, spark) -> DataFrame:
-        rows = [(i, n.depth, self.names[n.feature] if not n.leaf else None, n.left, n.right, n.prediction if n.leaf else None, n.positive + n.negative) for i, n in ((i, self.nodes[i]) for i in sorted(self.reachable()))]
-        return spark.createDataFrame(rows, "node_id int, depth int, feature string, left_id int, right_id int, prediction int, size double")
+        paths = self.paths()
+        rows = [(i, n.depth, paths[i], self.names[n.feature] if not n.leaf else None, n.left, n.right, n.prediction if n.leaf else None, n.positive + n.negative) for i, n in ((i, self.nodes[i]) for i in sorted(self.reachable()))]
+        return spark.createDataFrame(rows, "node_id int, depth int, path string, feature string, left_id int, right_id int, prediction int, size double")
+
+    def paths(self) -> dict[int, str]:
+        """The turns from the root to each node that can be reached: 0 for left, 1 for right."""
+        out = {0: ""}
+        for i in self.reachable():
+            if not self.nodes[i].leaf:
+                out[self.nodes[i].left], out[self.nodes[i].right] = out[i] + "0", out[i] + "1"
+        return out
 
     def trace(self, row: Sequence[int]) -> list[str]:
         """What is asked of one row on its way to a leaf."""
@@ -148,6 +156,15 @@ def grow(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: int = 1
     A node becomes a leaf when it is pure (weighted: its relative error is at most 1e-15), when no
     feature is left on its path, at the greatest depth, and when its best split leaves a side empty.
     """
+    # Each level reads the feature array again, not what it was made from.
+    df = df.select(F.col(x).alias(x), F.col(y).alias(y), *([weight.alias("__weight")] if weight is not None else [])).persist()
+    try:
+        return _grown(df, x, y, names, max_depth, F.col("__weight") if weight is not None else None, features)
+    finally:
+        df.unpersist()
+
+
+def _grown(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: int, weight: Column | None, features: Sequence[int] | None) -> Tree:
     weighted = weight is not None
     tie = WEIGHTED_TIE if weighted else PLAIN_TIE
     tree = Tree(tuple(names), [Node(0)])
@@ -243,10 +260,11 @@ def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, e
     """Boosted stumps, each feature used once; one job a round.
 
     Row weights are never stored: a round's are a function of the stumps so far, so nothing grows
-    with the rounds and a lost executor loses nothing. Stops early when no stump can split.
+    with the rounds and a lost executor loses nothing. The ensemble ends at a round whose stump cannot split.
     The weighted error is held between least_error and 1 - least_error.
     """
     stumps: list[Stump] = []
+    df = df.select(F.col(x).alias(x), F.col(y).alias(y)).persist()
     left = [f for f in range(len(names)) if f not in set(exclude)]
     for _ in range(rounds):
         weight = _weights(stumps, F.col(x), F.col(y).cast("double"))
@@ -266,6 +284,7 @@ def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, e
         error = min(max((min(p0, n0) + min(p1, n1)) / whole, least_error), 1 - least_error)
         stumps.append(Stump(choice, label(p0, n0), label(p1, n1), 0.5 * math.log((1 - error) / error), error))
         left.remove(choice)
+    df.unpersist()
     return stumps
 
 
@@ -290,9 +309,10 @@ def describe_stump(stump: Stump, names: Sequence[str]) -> str:
 
 
 def row_weights(df: DataFrame, stumps: Sequence[Stump], x: str, y: str, name: str = "alpha") -> DataFrame:
-    """df with the weights after the given rounds, which add up to 1."""
-    w = df.withColumn("__w", _weights(stumps, F.col(x), F.col(y).cast("double")))
-    return w.withColumn(name, F.col("__w") / F.sum("__w").over(W.partitionBy())).drop("__w")
+    """df with the weights after the given rounds, which add up to 1: one sum, then a division by it on each row."""
+    w = _weights(stumps, F.col(x), F.col(y).cast("double"))
+    whole = df.agg(F.sum(w)).first()[0]
+    return df.withColumn(name, w / F.lit(float(whole) if whole else 1.0))
 
 
 # ---------------------------------------------------------------- gini
