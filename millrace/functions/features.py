@@ -8,6 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def differs(column: str, value) -> Column:
+    """True where the column is not the value, so also where it is null: the rule of data frames whose missing numbers differ from all."""
+    return ~F.col(column).eqNullSafe(F.lit(value))
+
+
+def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """df without the rows that have a null (or NaN) in any of the columns."""
+    return df.na.drop("any", subset=list(columns) if columns is not None else None)
+
+
+def truncated(column: Column) -> Column:
+    """The whole part of a number, towards zero."""
+    return column.cast("bigint")
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column and how many distinct values it has, null among them."""
+    counts = df.agg(*((F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("n_values")) for c in columns))).alias("r")).select("r.column", "r.n_values")
+
+
 def sign_label(condition: Column) -> Column:
     """+1 where the condition holds, else -1 (so also where it is null)."""
     return F.when(condition, 1).otherwise(-1)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.splits import value_rank
+from ..session import stored
+
 #: The 32 ASCII punctuation characters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -67,8 +70,13 @@ def vocabulary(bag: DataFrame) -> DataFrame:
 
 
 def term_ids(bag: DataFrame) -> DataFrame:
-    """term, term_id in alphabetical order. The window sorts distinct terms only."""
-    return bag.select("term").distinct().withColumn("term_id", F.row_number().over(W.orderBy("term")) - 1)
+    """term, term_id in alphabetical order (from 0), by one range exchange of the distinct terms."""
+    return value_rank(bag.select("term").distinct(), ["term"], "term_id")
+
+
+def term_of(ids: DataFrame) -> dict[int, str]:
+    """The inverse map, for a vocabulary that fits on the driver."""
+    return {r["term_id"]: r["term"] for r in ids.collect()}
 
 
 def within_vocabulary(bag: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -76,14 +84,25 @@ def within_vocabulary(bag: DataFrame, vocab: DataFrame) -> DataFrame:
     return bag.join(vocab.select("term").distinct(), "term", "left_semi")
 
 
-def tf_idf(bag: DataFrame, doc_id: str, form: str = "raw", documents: int | None = None) -> DataFrame:
+#: Bytes of a vocabulary up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def tf_idf(bag: DataFrame, doc_id: str, form: str = "raw", documents: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, term, tf, value.
 
     raw: tf * ln(N / df). smooth: tf * (ln((1 + N) / (1 + df)) + 1), rows scaled to length 1.
     ml: tf * ln((N + 1) / (df + 1)). N is the number of documents; without it, of those with a term.
+
+    The bag is written once, for the counts and for the rows, and so is the vocabulary, which is measured: up to
+    broadcast_bytes it is broadcast, beyond the two tables are joined as plain exchanges, which Spark can split
+    where a term is very common.
     """
+    bag = stored(bag, "bag")
     n = F.lit(documents if documents is not None else bag.select(doc_id).distinct().count()).cast("double")
-    both = bag.join(vocabulary(bag).select("term", "df"), "term")
+    counts = stored(vocabulary(bag).select("term", "df"), "vocabulary")
+    size = counts.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    both = bag.join(F.broadcast(counts) if size <= broadcast_bytes else counts.hint("merge"), "term")
     if form == "raw":
         value = F.col("tf") * F.log(n / F.col("df"))
     elif form == "smooth":
@@ -93,10 +112,7 @@ def tf_idf(bag: DataFrame, doc_id: str, form: str = "raw", documents: int | None
     else:
         raise ValueError(f"no such form: {form}")
     out = both.select(doc_id, "term", "tf", value.alias("value"))
-    if form == "smooth":
-        length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy(doc_id)))
-        out = out.withColumn("value", F.coalesce(F.try_divide(F.col("value"), length), F.lit(0.0)))
-    return out
+    return row_normalised(out, doc_id) if form == "smooth" else out
 
 
 def row_normalised(bag: DataFrame, doc_id: str, value: str = "value") -> DataFrame:
@@ -127,5 +143,15 @@ def common_terms(bag: DataFrame, doc_id: str, first, second, value: str = "tf")
     return a.join(b, "term")
 
 
+def vectorised(words: Column, vocab: Sequence[str]) -> Column:
+    """Counts of a fixed vocabulary in an array of words, in the vocabulary's order; other words are passed over."""
+    return F.transform(F.lit(list(vocab)), lambda w: F.size(F.filter(words, lambda x: x == w)))
+
+
+def sparse_row(terms: Column, vocab: Sequence[str]) -> Column:
+    """The values of a map from term to value, in the order of a fixed vocabulary; 0 where a term is missing."""
+    return F.transform(F.lit(list(vocab)), lambda w: F.coalesce(F.try_element_at(terms, w).cast("double"), F.lit(0.0)))
+
+
 def has_all(words: Column, wanted: Sequence[str]) -> Column:
     return F.size(F.array_except(F.lit(list(wanted)), words)) == 0

@@ -229,13 +229,19 @@ def powers(x: str, degree: int) -> dict[str, Column]:
     return {f"power_{d}": F.pow(F.col(x).cast("double"), F.lit(float(d))) if d > 1 else F.col(x).cast("double") for d in range(1, degree + 1)}
 
 
+def chebyshev(x: str, degree: int) -> dict[str, Column]:
+    """Polynomials of degree 1 to degree in an x between -1 and 1: they span what the powers span, but stay apart from each other."""
+    return {f"power_{d}": F.cos(F.lit(float(d)) * F.acos(F.greatest(F.least(F.col(x), F.lit(1.0)), F.lit(-1.0)))) for d in range(1, degree + 1)}
+
+
 def select_degree(train: DataFrame, valid: DataFrame, x: str, y: str, degrees: Sequence[int] = range(1, 16)) -> list[tuple[int, float]]:
-    """Validation RSS of each polynomial degree. Powers are of the standardised x, which leaves fits as they are."""
-    stats = train.agg(F.avg(F.col(x).cast("double")).alias("m"), F.stddev_pop(F.col(x).cast("double")).alias("s")).first()
-    spread = stats["s"] or 1.0
-    scaled = lambda df: df.withColumn("__x", (F.col(x).cast("double") - F.lit(stats["m"])) / F.lit(spread))
+    """Validation RSS of each polynomial degree, from one pass over each part (and one for the range of x, which both share)."""
+    value = F.col(x).cast("double")
+    ends = train.select(value.alias("v")).unionByName(valid.select(value.alias("v"))).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    middle, half = ((ends["hi"] + ends["lo"]) / 2, (ends["hi"] - ends["lo"]) / 2 or 1.0) if ends["lo"] is not None else (0.0, 1.0)
+    scaled = lambda df: df.withColumn("__x", (value - F.lit(middle)) / F.lit(half))
     most = max(degrees)
-    a, b = (gram(scaled(df), powers("__x", most), y) for df in (train, valid))
+    a, b = (gram(scaled(df), chebyshev("__x", most), y) for df in (train, valid))
     names = lambda d: ["constant", *(f"power_{i}" for i in range(1, d + 1))]
     return [(d, b.subset(names(d)).rss(ols(a.subset(names(d))))) for d in degrees]
 

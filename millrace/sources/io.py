@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,7 +95,16 @@ def to_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_json_list(values: list, path: str) -> None:
-    """A small list as a JSON file on the driver's own disk."""
-    with open(path, "w") as f:
-        json.dump(values, f)
+def write_json(spark: SparkSession, value: list | dict, path: str) -> None:
+    """A list or map that fits on the driver as one JSON file in a folder of any store that Spark writes to."""
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(path)
+
+
+def write_sparse_npz(path: str, data: np.ndarray, indices: np.ndarray, indptr: np.ndarray, shape: tuple[int, int]) -> None:
+    """A row-compressed matrix as an archive that read_sparse_npz takes, in any store that pyarrow reaches."""
+    store, inner = fs.FileSystem.from_uri(path)
+    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    made = bytes_io.BytesIO()
+    np.savez_compressed(made, data=data, indices=indices, indptr=indptr, shape=np.array(shape), format=np.array(b"csr"))
+    with store.open_output_stream(inner) as out:
+        out.write(made.getvalue())
