@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance, features, text
 from ..operators import kmeans, linear, logistic, metrics, neighbors, splits, trees
-from ..session import table, ready
+from ..session import ready, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _rounded(name: str, digits: int = 6):
+def rounded(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
 
@@ -42,7 +42,7 @@ def _rounded(name: str, digits: int = 6):
 
 @query("select round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept, round(regr_slope(l_extendedprice, l_quantity), 6) as slope from lineitem")
 def simple_linear_regression(spark, sf_dir):
-    return linear.simple_regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select(_rounded("intercept", 4), _rounded("slope"))
+    return linear.simple_regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select(rounded("intercept", 4), rounded("slope"))
 
 
 @query("""with f as (select regr_intercept(l_extendedprice, l_quantity) as i, regr_slope(l_extendedprice, l_quantity) as s from lineitem)
@@ -66,7 +66,7 @@ def inverse_prediction(spark, sf_dir):
     round(ln(l_extendedprice), 6) as log_l_extendedprice, round(l_discount + l_tax, 6) as l_discount_plus_l_tax, round(sqrt(l_quantity), 6) as l_quantity_sqrt from lineitem""")
 def feature_columns(spark, sf_dir):
     made = features.derived(table(spark, sf_dir, "lineitem"), squares=["l_quantity"], products=[("l_quantity", "l_discount")], logs=["l_extendedprice"], sums=[("l_discount", "l_tax")], roots=["l_quantity"])
-    return made.select("l_orderkey", "l_linenumber", "l_quantity_squared", *map(_rounded, ("l_quantity_times_l_discount", "log_l_extendedprice", "l_discount_plus_l_tax", "l_quantity_sqrt")))
+    return made.select("l_orderkey", "l_linenumber", "l_quantity_squared", *map(rounded, ("l_quantity_times_l_discount", "log_l_extendedprice", "l_discount_plus_l_tax", "l_quantity_sqrt")))
 
 
 @query("""with s as (select covar_pop(l_quantity, l_extendedprice) as ay, covar_pop(l_discount, l_extendedprice) as by_, var_pop(l_quantity) as aa, var_pop(l_discount) as bb, covar_pop(l_quantity, l_discount) as ab,
@@ -75,7 +75,7 @@ def feature_columns(spark, sf_dir):
     select * from (select 'constant' as feature, round(my - wa * ma - wb * mb, 2) as weight from w union all select 'l_quantity', round(wa, 2) from w union all select 'l_discount', round(wb, 2) from w)""")
 def ols_multi(spark, sf_dir):
     g = linear.gram(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
-    return linear.weights_table(spark, g.names, linear.ols(g)).select("feature", _rounded("weight", 2))
+    return linear.weights_table(spark, g.names, linear.ols(g)).select("feature", rounded("weight", 2))
 
 
 _SCALED = {"quantity": "l_quantity / 50.0", "discount": "l_discount * 10.0"}
@@ -90,27 +90,27 @@ _GRAM_SQL = """with recursive d as (select l_quantity / 50.0::double as a, l_dis
     g as (select count(*)::double as n, sum(a) as sa, sum(b) as sb, sum(a * a) as aa, sum(b * b) as bb, sum(a * b) as ab, sum(y) as sy, sum(a * y) as ay, sum(b * y) as b_y from d),"""
 
 
-def _descent_sql(penalty: float) -> str:
+def _descent_sql(penalty: float, rounds: int = 100) -> str:
     return _GRAM_SQL + f"""
     r(i, w0, w1, w2) as (select 0, 0.0::double, 0.0::double, 0.0::double union all
         select i + 1, w0 - 0.2 / n * (-2 * (sy - n * w0 - sa * w1 - sb * w2)),
             w1 - 0.2 / n * (-2 * (ay - sa * w0 - aa * w1 - ab * w2) + 2 * {penalty} * n * w1), w2 - 0.2 / n * (-2 * (b_y - sb * w0 - ab * w1 - bb * w2) + 2 * {penalty} * n * w2)
-        from r, g where i < 100)
-    select feature, round(w, 6) as weight from (select unnest(['constant', 'quantity', 'discount']) as feature, unnest([w0, w1, w2]) as w from r where i = 100)"""
+        from r, g where i < {rounds})
+    select feature, round(w, 6) as weight from (select unnest(['constant', 'quantity', 'discount']) as feature, unnest([w0, w1, w2]) as w from r where i = {rounds})"""
 
 
 @query(_descent_sql(0.0))
 def gd_least_squares(spark, sf_dir):
     g = _scaled_gram(spark, sf_dir)
     w, _ = linear.gradient_descent(g, [0.0] * 3, 0.2 / g.n, tolerance=0.0, max_iter=100)
-    return linear.weights_table(spark, g.names, w).select("feature", _rounded("weight"))
+    return linear.weights_table(spark, g.names, w).select("feature", rounded("weight"))
 
 
-@query(_descent_sql(0.1))
+@query(_descent_sql(0.1, 1000))
 def ridge_gd(spark, sf_dir):
     g = _scaled_gram(spark, sf_dir)
-    w = linear.ridge_descent(g, [0.0] * 3, 0.2 / g.n, penalty=0.1 * g.n, max_iter=100)
-    return linear.weights_table(spark, g.names, w).select("feature", _rounded("weight"))
+    w = linear.ridge_descent(g, [0.0] * 3, 0.2 / g.n, penalty=0.1 * g.n, max_iter=1000)
+    return linear.weights_table(spark, g.names, w).select("feature", rounded("weight"))
 
 
 @query(_GRAM_SQL + """
@@ -124,49 +124,35 @@ def ridge_gd(spark, sf_dir):
 def lasso_coordinate_descent(spark, sf_dir):
     g, length = linear.normalised(_scaled_gram(spark, sf_dir))
     w, _ = linear.lasso_cyclic(g, [0.0] * 3, penalty=0.2 * np.sqrt(g.n), tolerance=0.0, max_iter=30)
-    return linear.weights_table(spark, g.names, w / length).select("feature", _rounded("weight", 5))
+    return linear.weights_table(spark, g.names, w / length).select("feature", rounded("weight", 5))
 
 
-@query("select p_partkey, p_size::double as power_1, p_size::double ** 2 as power_2, p_size::double ** 3 as power_3, p_size::double ** 4 as power_4 from part")
+@query(f"select p_partkey, {', '.join(f'round((p_size / 50.0::double) ** {d}, 12) as power_{d}' for d in range(1, 16))} from part")
 def polynomial_columns(spark, sf_dir):
-    return features.powers(table(spark, sf_dir, "part"), "p_size", 4).select("p_partkey", *(f"power_{d}" for d in range(1, 5)))
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("size"))
+    return features.powers(part, "size", 15).select("p_partkey", *(rounded(f"power_{d}", 12) for d in range(1, 16)))
 
 
 @query("select round(sqrt(sum(p_size::double ** 2)), 6) as p_size, round(sqrt(sum(p_retailprice ** 2)), 4) as p_retailprice from part")
 def feature_norms(spark, sf_dir):
-    return features.column_norms(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"]).select(_rounded("p_size"), _rounded("p_retailprice", 4))
+    return features.column_norms(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"]).select(rounded("p_size"), rounded("p_retailprice", 4))
 
 
-_PENALTIES = (0.001, 0.01, 0.1, 1.0)
+#: Thirteen penalties, two to a decade, and ten folds.
+_PENALTIES = tuple(round(10 ** (k / 2), 9) for k in range(-6, 7))
 
 
 @query(f"""with p as (select p_size::double as x, p_retailprice as y, row_number() over (order by p_partkey) - 1 as r, count(*) over () as n from part),
-    f as (select *, ((r + 1) * 5 - 1) // n as fold from p),
+    f as (select *, ((r + 1) * 10 - 1) // n as fold from p),
     fit as (select fold, regr_slope(b.y, b.x) as s, avg(b.x) as mx, avg(b.y) as my from (select distinct fold from f) a, (select x, y, fold as own from f) b where fold <> own group by fold),
     e as (select fold, alpha, sum((y - (my + s / (1 + alpha) * (x - mx))) ** 2) as rss from f join fit using (fold), (select unnest([{', '.join(f'{p}::double' for p in _PENALTIES)}]) as alpha) group by all)
     select alpha as penalty, round(avg(rss) / 1e6, 4) as mean_rss from e group by alpha""")
 def kfold_ridge_error(spark, sf_dir):
-    folds = splits.contiguous_folds(table(spark, sf_dir, "part"), ["p_partkey"], 5)
+    folds = splits.contiguous_folds(table(spark, sf_dir, "part"), ["p_partkey"], 10)
     scores = linear.cross_validate(linear.grams_by(folds, "fold", ["p_size"], "p_retailprice"), _PENALTIES)
     return spark.createDataFrame(scores, "penalty double, mean_rss double").select("penalty", F.round(F.col("mean_rss") / 1e6, 4).alias("mean_rss"))
 
 
-@query()
-def polynomial_degree_selection(spark, sf_dir):
-    train, valid = splits.train_test_split(table(spark, sf_dir, "part"), "p_partkey", 0.3)
-    return spark.createDataFrame(linear.select_degree(train, valid, "p_size", "p_retailprice"), "degree int, validation_rss double")
-
-
-@query()
-def lasso_sparsity_search(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn("row", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    train, valid = splits.train_test_split(lines, "row", 0.5)
-    names = ["l_quantity", "l_discount", "l_tax"]
-    a, b = (linear.gram(df, names, "l_extendedprice") for df in (train, valid))
-    penalty, rss, (low, high) = linear.lasso_for_sparsity(a, b, 1e-3, 1e6, max_nonzeros=2)
-    return spark.createDataFrame([(float(penalty), float(rss), low, high)], "penalty double, validation_rss double, low double, high double")
-
-
 _SPLIT_PART = "p as (select p_partkey, p_size::double as a, p_retailprice as y, row_number() over (order by md5('0:' || p_partkey), p_partkey) - 1 as r, count(*) over () as n from part)"
 
 
@@ -183,14 +169,14 @@ _NEAR_PART = f"""with {_SPLIT_PART},
 @query(_NEAR_PART + " select q as p_partkey, round(avg(y), 4) as prediction from t where k <= 5 group by q")
 def knn_regression(spark, sf_dir):
     train, test = _part_split(spark, sf_dir)
-    return neighbors.knn_regression(test, "p_partkey", "v", train, "p_partkey", "v", "p_retailprice", k=5).select("p_partkey", _rounded("prediction", 4))
+    return neighbors.knn_regression(test, "p_partkey", "v", train, "p_partkey", "v", "p_retailprice", k=5).select("p_partkey", rounded("prediction", 4))
 
 
 @query(_NEAR_PART + """, m as (select q, k, actual, avg(y) over (partition by q order by k rows unbounded preceding) as p from t where k <= 15)
     select k::int as k, round(sum((actual - p) ** 2), 2) as rss from m group by k""")
 def knn_k_selection(spark, sf_dir):
     train, test = _part_split(spark, sf_dir)
-    return neighbors.choose_k(test, "p_partkey", "v", "p_retailprice", train, "p_partkey", "v", "p_retailprice", most=15).select("k", _rounded("rss", 2))
+    return neighbors.choose_k(test, "p_partkey", "v", "p_retailprice", train, "p_partkey", "v", "p_retailprice", most=15).select("k", rounded("rss", 2))
 
 
 # ---------------------------------------------------------------- splits
@@ -240,55 +226,52 @@ def important_word_counts(spark, sf_dir):
     return counted.select("doc_id", *(F.col("c")[i].alias(f"count_{w}") for i, w in enumerate(_WORDS)), features.indicator(F.col("c")[0]).alias("contains_the"))
 
 
-_TOKENS = "t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) as term from documents)"
+TOKENS = "t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) as term from documents)"
 
 
-def _bag(spark, sf_dir) -> DataFrame:
+def bag(spark, sf_dir) -> DataFrame:
     return text.bag_of_words(table(spark, sf_dir, "documents"), "doc_id", text.letters_only(F.col("text")))
 
 
-@query(f"with {_TOKENS} select term, count(*) as total from t group by term order by total desc, term limit 50")
+@query(f"with {TOKENS} select term, count(*) as total from t group by term order by total desc, term limit 50")
 def bag_of_words_topk(spark, sf_dir):
-    return text.vocabulary(_bag(spark, sf_dir)).orderBy(F.desc("total"), "term").limit(50).select("term", "total")
+    return text.vocabulary(bag(spark, sf_dir)).orderBy(F.desc("total"), "term").limit(50).select("term", "total")
 
 
-@query(f"with {_TOKENS} select term, count(distinct doc_id) as df, count(*)::bigint as total from t group by term")
+@query(f"with {TOKENS} select term, count(distinct doc_id) as df, count(*)::bigint as total from t group by term")
 def vocabulary(spark, sf_dir):
-    return text.vocabulary(_bag(spark, sf_dir)).select("term", "df", "total")
+    return text.vocabulary(bag(spark, sf_dir)).select("term", "df", "total")
 
 
-@query(f"with {_TOKENS} select term, dense_rank() over (order by term) - 1 as term_id from (select distinct term from t)")
+@query(f"with {TOKENS} select term, dense_rank() over (order by term) - 1 as term_id from (select distinct term from t)")
 def term_ids(spark, sf_dir):
-    return text.term_ids(_bag(spark, sf_dir)).select("term", F.col("term_id").cast("bigint").alias("term_id"))
+    return text.term_ids(bag(spark, sf_dir)).select("term", F.col("term_id").cast("bigint").alias("term_id"))
 
 
-@query(f"""with {_TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all), v as (select term, count(*) as df from b group by term), n as (select count(distinct doc_id) as n from t),
+@query(f"""with {TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all), v as (select term, count(*) as df from b group by term), n as (select count(distinct doc_id) as n from t),
     x as (select doc_id, term, tf * ln(n / df::double) as value from b join v using (term), n),
     r as (select *, row_number() over (partition by doc_id order by round(value, 9) desc, term) as rank from x)
     select doc_id, rank::int as rank, term, round(value, 3) as value from r where rank <= 5""")
 def tfidf_top_terms(spark, sf_dir):
-    scored = text.tf_idf(_bag(spark, sf_dir), "doc_id").withColumn("value", F.round("value", 9))
-    return text.top_terms(scored, "doc_id", "value", 5).select("doc_id", "rank", "term", _rounded("value", 3))
+    scored = text.tf_idf(bag(spark, sf_dir), "doc_id").withColumn("value", F.round("value", 9))
+    return text.top_terms(scored, "doc_id", "value", 5).select("doc_id", "rank", "term", rounded("value", 3))
 
 
-@query(f"""with {_TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all), v as (select term, count(*) as df from b group by term), n as (select count(distinct doc_id) as n from t),
+@query(f"""with {TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all), v as (select term, count(*) as df from b group by term), n as (select count(distinct doc_id) as n from t),
     x as (select doc_id, term, tf * (ln((1 + n) / (1 + df)::double) + 1) as value, tf * ln((n + 1) / (df + 1)::double) as ml from b join v using (term), n)
-    select doc_id, round(sqrt(sum(value ** 2)), 4) as smooth_norm, round(sum(ml), 4) as ml_sum from x group by doc_id""")
+    select doc_id, round(max(value) / sqrt(sum(value ** 2)), 6) as smooth_max, round(sum(value) / sqrt(sum(value ** 2)), 4) as smooth_sum, round(sum(ml), 4) as ml_sum from x group by doc_id""")
 def tfidf_forms(spark, sf_dir):
-    bag = _bag(spark, sf_dir)
-    n = table(spark, sf_dir, "documents").where(F.size(text.letters_only(F.col("text"))) > 0).count()
-    counts = text.vocabulary(bag).select("term", "df")
-    smooth = F.col("tf") * (F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1)
-    length = bag.join(counts, "term").groupBy("doc_id").agg(F.round(F.sqrt(F.sum(smooth * smooth)), 4).alias("smooth_norm"))
-    ml = text.tf_idf(bag, "doc_id", "ml", n).groupBy("doc_id").agg(F.round(F.sum("value"), 4).alias("ml_sum"))
-    return length.join(ml, "doc_id")
+    words = stored(bag(spark, sf_dir), "bag")
+    smooth = text.tf_idf(words, "doc_id", "smooth").groupBy("doc_id").agg(F.round(F.max("value"), 6).alias("smooth_max"), F.round(F.sum("value"), 4).alias("smooth_sum"))
+    ml = text.tf_idf(words, "doc_id", "ml").groupBy("doc_id").agg(F.round(F.sum("value"), 4).alias("ml_sum"))
+    return smooth.join(ml, "doc_id")
 
 
-@query(f"""with {_TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all)
+@query(f"""with {TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all)
     select x.term, x.tf as tf_first, y.tf as tf_second from b x join b y using (term) where x.doc_id = (select min(doc_id) from documents) and y.doc_id = (select max(doc_id) from documents)""")
 def common_top_words_join(spark, sf_dir):
     ends = table(spark, sf_dir, "documents").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    return text.common_terms(_bag(spark, sf_dir), "doc_id", ends["a"], ends["b"])
+    return text.common_terms(bag(spark, sf_dir), "doc_id", ends["a"], ends["b"])
 
 
 @query("select doc_id, list_has_all(regexp_split_to_array(lower(text), '[^a-z]+'), ['the', 'of', 'and']) as has_words from documents")
@@ -296,16 +279,16 @@ def has_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.has_all(text.letters_only(F.col("text")), ["the", "of", "and"]).alias("has_words"))
 
 
-@query("select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:25], ' ')[1:90] as line_1 from documents")
+@query("with h as (select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:25], ' ') as h from documents) select doc_id, h[1:90] as line_1, h[91:180] as line_2 from h")
 def snippets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"))[0].alias("line_1"))
+    return table(spark, sf_dir, "documents").select("doc_id", *(text.snippet(F.col("text"))[i].alias(f"line_{i + 1}") for i in range(2)))
 
 
 @query("""with l as (select len(string_split(text, ' '))::double as v from documents), e as (select min(v) as lo, max(v) as hi, count(*) as n, (max(v) - min(v)) / 50 as w from l),
     c as (select least(floor((v - lo) / w), 49)::int as bin, count(*) as c from l, e group by 1)
     select b::int as bin, round(lo + b * w, 6) as low, round(coalesce(c, 0) / (n * w), 12) as amount from e, range(50) r(b) left join c on c.bin = b""")
 def doc_length_histogram(spark, sf_dir):
-    return metrics.histogram(table(spark, sf_dir, "documents"), text.length_in_words(F.col("text")), 50, density=True).select("bin", _rounded("low"), _rounded("amount", 12))
+    return metrics.histogram(table(spark, sf_dir, "documents"), text.length_in_words(F.col("text")), 50, density=True).select("bin", rounded("low"), rounded("amount", 12))
 
 
 # ---------------------------------------------------------------- neighbours and hashing
@@ -319,7 +302,7 @@ def _first_vector(spark, sf_dir) -> list[float]:
 
 def _nearest(spark, sf_dir, metric: str) -> DataFrame:
     near = neighbors.nearest_to(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _first_vector(spark, sf_dir), 10, metric)
-    return near.select("vec_id", _rounded("distance", 9))
+    return near.select("vec_id", rounded("distance", 9))
 
 
 def _nearest_sql(d: str) -> str:
@@ -378,7 +361,7 @@ def lsh_multi_probe_join(spark, sf_dir):
 @query(f"with {_FIRST}, {_CODES} select vec_id, round(distance, 9) as distance from h where hamming <= 6 order by h.distance, vec_id limit 10")
 def lsh_query(spark, sf_dir):
     near, _ = neighbors.lsh_query(_index(spark, sf_dir), "vec_id", "embedding", _PLANES, _first_vector(spark, sf_dir), 10, 6)
-    return near.select("vec_id", _rounded("distance", 9))
+    return near.select("vec_id", rounded("distance", 9))
 
 
 @query(f"""with {_FIRST}, {_CODES}, r as (select t.r as radius, vec_id, distance, row_number() over (partition by t.r order by distance, vec_id) as k from range({_BITS + 1}) t(r) left join h on hamming <= t.r)
@@ -386,15 +369,15 @@ def lsh_query(spark, sf_dir):
         round(max(distance) filter (k between 2 and 10), 9) as max_distance from r group by radius""")
 def lsh_radius_study(spark, sf_dir):
     study = neighbors.radius_study(_index(spark, sf_dir), "vec_id", "embedding", _PLANES, _first_vector(spark, sf_dir), 10)
-    return study.select("radius", "candidates", *(_rounded(f"{s}_distance", 9) for s in ("mean", "min", "max")))
+    return study.select("radius", "candidates", *(rounded(f"{s}_distance", 9) for s in ("mean", "min", "max")))
 
 
 # ---------------------------------------------------------------- classification
 
-_LABELLED = "d as (select doc_id, case when quality > 0 then 1 else -1 end as y, least(len(text) / 10000.0::double, 1.0) as a, len(regexp_replace(text, '[^!#$%&*|]', '', 'g')) / len(text)::double as b from documents join labels using (doc_id))"
+LABELLED = "d as (select doc_id, case when quality > 0 then 1 else -1 end as y, least(len(text) / 10000.0::double, 1.0) as a, len(regexp_replace(text, '[^!#$%&*|]', '', 'g')) / len(text)::double as b from documents join labels using (doc_id))"
 
 
-def _labelled(spark, sf_dir) -> DataFrame:
+def labelled(spark, sf_dir) -> DataFrame:
     size = F.char_length("text")
     marks = F.char_length(F.regexp_replace("text", "[^!#$%&*|]", ""))
     # The features are made before the join, so that no text is shuffled.
@@ -402,80 +385,67 @@ def _labelled(spark, sf_dir) -> DataFrame:
     return made.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", features.sign_label(F.col("quality") > 0).alias("y"), "a", "b")
 
 
-def _ascent_sql(penalties: tuple[float, ...], rounds: int) -> str:
-    return f"""with recursive {_LABELLED}, m as (select unnest([{', '.join(f'{p}::double' for p in penalties)}]) as l2),
+def ascent_sql(penalties: tuple[float, ...], rounds: int, rows: str = "d", whole: bool = True) -> str:
+    return f"""with recursive {LABELLED + ',' if whole else ''} m as (select unnest([{', '.join(f'{p}::double' for p in penalties)}]) as l2),
     r(i, l2, w0, w1, w2) as (select 0, l2, 0.0::double, 0.0::double, 0.0::double from m union all
         select i + 1, l2, w0 + 0.002 * sum(e), w1 + 0.002 * (sum(e * a) - 2 * l2 * w1), w2 + 0.002 * (sum(e * b) - 2 * l2 * w2)
-        from (select r.*, a, b, case when y = 1 then 1 else 0 end - 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) as e from r, d where i < {rounds}) group by i, l2, w0, w1, w2)
+        from (select r.*, a, b, case when y = 1 then 1 else 0 end - 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) as e from r, {rows} where i < {rounds}) group by i, l2, w0, w1, w2)
     select l2, round(w0, 6) as constant, round(w1, 6) as length, round(w2, 6) as marks from r where i = {rounds}"""
 
 
 def _ascended(spark, sf_dir, penalties: tuple[float, ...], rounds: int) -> DataFrame:
-    data = logistic.prepared(_labelled(spark, sf_dir), features.matrix("a", "b"), "y")
+    data = logistic.prepared(labelled(spark, sf_dir), features.matrix("a", "b"), "y")
     w, _ = logistic.ascent(data, [0.0] * 3, 0.002, rounds, penalties)
     data.unpersist()
     rows = [(p, *map(float, x)) for p, x in zip(penalties, w, strict=True)]
-    return spark.createDataFrame(rows, "l2 double, constant double, length double, marks double").select("l2", *map(_rounded, ("constant", "length", "marks")))
+    return spark.createDataFrame(rows, "l2 double, constant double, length double, marks double").select("l2", *map(rounded, ("constant", "length", "marks")))
 
 
-@query(_ascent_sql((0.0,), 20))
+@query(ascent_sql((0.0,), 20))
 def logistic_gradient_ascent(spark, sf_dir):
     return _ascended(spark, sf_dir, (0.0,), 20)
 
 
-@query(_ascent_sql((0.0, 4.0, 10.0), 15))
+@query(ascent_sql((0.0, 4.0, 10.0), 15))
 def logistic_l2_path(spark, sf_dir):
     return _ascended(spark, sf_dir, (0.0, 4.0, 10.0), 15)
 
 
-@query(f"""with recursive {_LABELLED}, s as (select case when y = 1 then 1 else 0 end as y, 2 - 30 * b + a as s from d)
+@query(f"""with recursive {LABELLED}, s as (select case when y = 1 then 1 else 0 end as y, 2 - 30 * b + a as s from d)
     select round(sum((y - 1) * s - ln(1 + exp(-s))), 4) as log_likelihood from s""")
 def log_likelihood(spark, sf_dir):
-    return metrics.log_likelihood(_labelled(spark, sf_dir), F.lit(2.0) - 30 * F.col("b") + F.col("a"), "y").select(_rounded("log_likelihood", 4))
-
-
-@query()
-def logistic_newton(spark, sf_dir):
-    data = logistic.prepared(_labelled(spark, sf_dir), features.matrix("a", "b"), "y")
-    w = logistic.newton(data, 3)
-    data.unpersist()
-    return linear.weights_table(spark, ["constant", "length", "marks"], w)
-
-
-@query()
-def mini_batch_step_sweep(spark, sf_dir):
-    """Ten passes over all labelled rows in batches of 100 for each of the seven step sizes, as the reference has it."""
-    return logistic.mini_batch(_labelled(spark, sf_dir), "doc_id", features.matrix("a", "b"), "y", steps=[10.0**k for k in range(-4, 3)], batch=100).drop("weights")
+    return metrics.log_likelihood(labelled(spark, sf_dir), F.lit(2.0) - 30 * F.col("b") + F.col("a"), "y").select(rounded("log_likelihood", 4))
 
 
 def _said():
     return F.when(F.col("b") > 0.03, -1).otherwise(1)
 
 
-@query(f"""with {_LABELLED}, p as (select y, case when b > 0.03 then -1 else 1 end as p from d)
+@query(f"""with {LABELLED}, p as (select y, case when b > 0.03 then -1 else 1 end as p from d)
     select g.y::int as target_label, h.p::int as predicted_label, count(d.y) as count from (values (1), (-1)) g(y) cross join (values (1), (-1)) h(p) left join p d on d.y = g.y and d.p = h.p group by all""")
 def confusion_matrix(spark, sf_dir):
-    return metrics.confusion(_labelled(spark, sf_dir), "y", _said())
+    return metrics.confusion(labelled(spark, sf_dir), "y", _said())
 
 
-@query(f"""with {_LABELLED}, p as (select y, case when b > 0.03 then -1 else 1 end as p from d)
+@query(f"""with {LABELLED}, p as (select y, case when b > 0.03 then -1 else 1 end as p from d)
     select round(avg((y = p)::int), 9) as accuracy, round(1 - avg((y = p)::int), 9) as error, round(avg((y = 1)::int), 9) as baseline,
         round(sum((y = 1 and p = 1)::int) / nullif(sum((p = 1)::int), 0), 9) as precision, round(sum((y = 1 and p = 1)::int) / nullif(sum((y = 1)::int), 0), 9) as recall from p""")
 def accuracy_report(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    said, true = (_said() == 1).cast("int"), (F.col("y") == 1).cast("int")
-    right = F.avg((_said() == F.col("y")).cast("double"))
-    return rows.agg(F.round(right, 9).alias("accuracy"), F.round(1 - right, 9).alias("error"), F.round(F.avg(true.cast("double")), 9).alias("baseline"), F.round(F.try_divide(F.sum(said * true), F.sum(said)), 9).alias("precision"), F.round(F.try_divide(F.sum(said * true), F.sum(true)), 9).alias("recall"))
+    rows = labelled(spark, sf_dir).persist()
+    parts = [metrics.accuracy(rows, _said(), "y"), metrics.classification_error(rows, _said(), "y"), metrics.majority_baseline(rows, "y"), metrics.precision_recall(rows, "y", _said())]
+    found = {k: v for part in parts for k, v in part.first().asDict().items()}
+    rows.unpersist()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found)).select(*(rounded(k, 9) for k in found))
 
 
 _THRESHOLDS = tuple(round(0.5 + 0.005 * i, 3) for i in range(100))
 
 
-@query(f"""with {_LABELLED}, p as (select y, 1 / (1 + 20 * b) as p from d), t as (select unnest([{', '.join(f'{t}::double' for t in _THRESHOLDS)}]) as threshold)
+@query(f"""with {LABELLED}, p as (select y, 1 / (1 + 20 * b) as p from d), t as (select unnest([{', '.join(f'{t}::double' for t in _THRESHOLDS)}]) as threshold)
     select threshold, round(sum((p > threshold and y = 1)::int) / nullif(sum((p > threshold)::int), 0), 9) as precision, round(sum((p > threshold and y = 1)::int) / nullif(sum((y = 1)::int), 0), 9) as recall from p, t group by threshold""")
 def precision_recall_sweep(spark, sf_dir):
-    scored = _labelled(spark, sf_dir).withColumn("p", 1 / (1 + 20 * F.col("b")))
-    return metrics.threshold_sweep(scored, "y", "p", _THRESHOLDS).select("threshold", _rounded("precision", 9), _rounded("recall", 9))
+    scored = labelled(spark, sf_dir).withColumn("p", 1 / (1 + 20 * F.col("b")))
+    return metrics.threshold_sweep(scored, "y", "p", _THRESHOLDS).select("threshold", rounded("precision", 9), rounded("recall", 9))
 
 
 # ---------------------------------------------------------------- encodings, trees, boosting
@@ -494,86 +464,53 @@ def one_hot_binned(spark, sf_dir):
 
 
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-_TREE_NAMES = (*(f"priority={p}" for p in _PRIORITIES), "status=F", "status=O", "late", "odd_customer")
-_TREE_BITS = (*(f"o_orderpriority = '{p}'" for p in _PRIORITIES), "o_orderstatus = 'F'", "o_orderstatus = 'O'", "month(o_orderdate) > 6", "o_custkey % 2 = 1")
-_TREE_ROWS = f"d as (select case when o_totalprice > 250000 or (o_custkey % 2 = 1 and month(o_orderdate) > 6) then 1 else -1 end as y, [{', '.join(f'coalesce(({b})::int, 0)' for b in _TREE_BITS)}] as x from orders)"
+TREE_NAMES = (*(f"priority={p}" for p in _PRIORITIES), "status=F", "status=O", "late", "odd_customer")
+TREE_BITS = (*(f"o_orderpriority = '{p}'" for p in _PRIORITIES), "o_orderstatus = 'F'", "o_orderstatus = 'O'", "month(o_orderdate) > 6", "o_custkey % 2 = 1")
+TREE_ROWS = f"d as (select case when o_totalprice > 250000 or (o_custkey % 2 = 1 and month(o_orderdate) > 6) then 1 else -1 end as y, [{', '.join(f'coalesce(({b})::int, 0)' for b in TREE_BITS)}] as x from orders)"
 
 
-def _tree_rows(spark, sf_dir) -> DataFrame:
+def tree_rows(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     y = F.when((F.col("o_totalprice") > 250000) | ((F.col("o_custkey") % 2 == 1) & (F.month("o_orderdate") > 6)), 1).otherwise(-1)
-    return orders.select("o_orderkey", y.alias("y"), F.array(*(F.coalesce(F.expr(f"cast({b} as int)"), F.lit(0)) for b in _TREE_BITS)).alias("x"))
+    return orders.select("o_orderkey", y.alias("y"), F.array(*(F.coalesce(F.expr(f"cast({b} as int)"), F.lit(0)) for b in TREE_BITS)).alias("x"))
 
 
-_FEATURE_COUNTS = f"""{_TREE_ROWS}, f as (select i, name, sum((x[i] = 1 and y = 1)::int)::double as p1, sum((x[i] = 1 and y = -1)::int)::double as n1, sum((x[i] = 0 and y = 1)::int)::double as p0, sum((x[i] = 0 and y = -1)::int)::double as n0
-    from d, (select unnest(range(1, {len(_TREE_NAMES) + 1})) as i, unnest([{', '.join(f"'{n}'" for n in _TREE_NAMES)}]) as name) group by i, name)"""
+FEATURE_COUNTS = f"""{TREE_ROWS}, f as (select i, name, sum((x[i] = 1 and y = 1)::int)::double as p1, sum((x[i] = 1 and y = -1)::int)::double as n1, sum((x[i] = 0 and y = 1)::int)::double as p0, sum((x[i] = 0 and y = -1)::int)::double as n0
+    from d, (select unnest(range(1, {len(TREE_NAMES) + 1})) as i, unnest([{', '.join(f"'{n}'" for n in TREE_NAMES)}]) as name) group by i, name)"""
 
 
-@query(f"with {_FEATURE_COUNTS} select name as feature, p1, n1, least(p0, n0) + least(p1, n1) as mistakes from f")
+@query(f"with {FEATURE_COUNTS} select name as feature, p1, n1, least(p0, n0) + least(p1, n1) as mistakes from f")
 def tree_level_stats(spark, sf_dir):
-    r = trees.split_counts(_tree_rows(spark, sf_dir), "x", "y", range(len(_TREE_NAMES)), F.lit(0))[0]
-    rows = [(n, r[f"p{i}"], r[f"n{i}"], min(r["p"] - r[f"p{i}"], r["n"] - r[f"n{i}"]) + min(r[f"p{i}"], r[f"n{i}"])) for i, n in enumerate(_TREE_NAMES)]
-    return spark.createDataFrame(rows, "feature string, p1 double, n1 double, mistakes double")
+    r = trees.split_counts(tree_rows(spark, sf_dir), "x", "y", range(len(TREE_NAMES)), F.lit(0))[0]
+    rows = [(n, r[f"p{i}"], r[f"n{i}"], r["p"] - r[f"p{i}"], r["n"] - r[f"n{i}"]) for i, n in enumerate(TREE_NAMES)]
+    sides = spark.createDataFrame(rows, "feature string, p1 double, n1 double, p0 double, n0 double")
+    return sides.select("feature", "p1", "n1", (trees.mistakes(F.col("p0"), F.col("n0")) + trees.mistakes(F.col("p1"), F.col("n1"))).alias("mistakes"))
 
 
-@query(f"with {_FEATURE_COUNTS} select name as feature from f order by least(p0, n0) + least(p1, n1), abs(p0 + n0 - p1 - n1), i limit 1")
+@query(f"with {FEATURE_COUNTS} select name as feature from f order by least(p0, n0) + least(p1, n1), abs(p0 + n0 - p1 - n1), i limit 1")
 def best_split(spark, sf_dir):
-    features_ = range(len(_TREE_NAMES))
-    r = trees.split_counts(_tree_rows(spark, sf_dir), "x", "y", features_, F.lit(0))[0]
-    return spark.createDataFrame([(_TREE_NAMES[trees.best_split(r, features_)],)], "feature string")
+    features_ = range(len(TREE_NAMES))
+    r = trees.split_counts(tree_rows(spark, sf_dir), "x", "y", features_, F.lit(0))[0]
+    return spark.createDataFrame([(TREE_NAMES[trees.best_split(r, features_)],)], "feature string")
 
 
-@query(f"""with {_FEATURE_COUNTS}, b as (select *, (least(p0, n0) + least(p1, n1)) / (p0 + n0 + p1 + n1) as e from f order by round(e, 12), i limit 1)
+@query(f"""with {FEATURE_COUNTS}, b as (select *, (least(p0, n0) + least(p1, n1)) / (p0 + n0 + p1 + n1) as e from f order by round(e, 12), i limit 1)
     select name as feature, round(e, 9) as error, round(0.5 * ln((1 - e) / e), 9) as coefficient, (case when p0 >= n0 then 1 else -1 end)::int as left_label, (case when p1 >= n1 then 1 else -1 end)::int as right_label from b
     where (select count(distinct round((least(p0, n0) + least(p1, n1)) / (p0 + n0 + p1 + n1), 12)) from f) > 1""")
 def adaboost_round(spark, sf_dir):
-    stumps = trees.adaboost(_tree_rows(spark, sf_dir), "x", "y", _TREE_NAMES, 1)
-    return spark.createDataFrame([(_TREE_NAMES[s.feature], s.error, s.coefficient, s.left, s.right) for s in stumps], "feature string, error double, coefficient double, left_label int, right_label int").select("feature", _rounded("error", 9), _rounded("coefficient", 9), "left_label", "right_label")
+    stumps = trees.adaboost(tree_rows(spark, sf_dir), "x", "y", TREE_NAMES, 1)
+    return spark.createDataFrame([(TREE_NAMES[s.feature], s.error, s.coefficient, s.left, s.right) for s in stumps], "feature string, error double, coefficient double, left_label int, right_label int").select("feature", rounded("error", 9), rounded("coefficient", 9), "left_label", "right_label")
 
 
-@query(f"""with {_FEATURE_COUNTS}, b as (select *, row_number() over (order by round((least(p0, n0) + least(p1, n1)), 9), abs(p0 + n0 - p1 - n1), i) as k from f),
+@query(f"""with {FEATURE_COUNTS}, b as (select *, row_number() over (order by round((least(p0, n0) + least(p1, n1)), 9), abs(p0 + n0 - p1 - n1), i) as k from f),
     s as (select i, case when p0 > n0 then 1 else -1 end as l, case when p1 > n1 then 1 else -1 end as r from b where k = 1)
     select case when x[i] = 0 then l else r end::int as prediction, y::int as y, count(*) as rows from d, s group by all""")
 def tree_predictions(spark, sf_dir):
-    rows = _tree_rows(spark, sf_dir)
-    tree = trees.grow(rows, "x", "y", _TREE_NAMES, max_depth=1)
+    rows = tree_rows(spark, sf_dir)
+    tree = trees.grow(rows, "x", "y", TREE_NAMES, max_depth=1)
     return rows.groupBy(tree.predict(F.col("x")).alias("prediction"), "y").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query()
-def decision_tree_nodes(spark, sf_dir):
-    return trees.grow(_tree_rows(spark, sf_dir), "x", "y", _TREE_NAMES, max_depth=6).table(spark)
-
-
-@query()
-def gini_tree_depths(spark, sf_dir):
-    """The library tree at the reference's depths 6, 2 and 10, with its accuracy on both parts."""
-    train, valid = (part.persist() for part in splits.train_test_split(_tree_rows(spark, sf_dir), "o_orderkey", 0.2))
-    rows = []
-    for depth in (6, 2, 10):
-        model = trees.gini_tree(train, "x", "y", _TREE_NAMES, depth)
-        rows.append((depth, model.depth, model.numNodes, *(trees.gini_accuracy(model, part, "x", "y") for part in (train, valid))))
-    train.unpersist()
-    valid.unpersist()
-    return spark.createDataFrame(rows, "max_depth int, depth int, nodes int, train_accuracy double, valid_accuracy double")
-
-
-@query()
-def pruned_tree_nodes(spark, sf_dir):
-    rows = _tree_rows(spark, sf_dir)
-    train, valid = splits.train_test_split(rows, "o_orderkey", 0.3)
-    return trees.prune(trees.grow(train, "x", "y", _TREE_NAMES, max_depth=6), valid, "x", "y", 0.001).table(spark)
-
-
-@query()
-def staged_error(spark, sf_dir):
-    rows = _tree_rows(spark, sf_dir)
-    stumps = trees.adaboost(rows, "x", "y", _TREE_NAMES, 6)
-    if not stumps:
-        return spark.createDataFrame([], "stage int, error double")
-    return trees.staged_error(rows, stumps, "x", "y")
-
-
 # ---------------------------------------------------------------- clustering
 
 _K = 4
@@ -581,48 +518,44 @@ _CENTROIDS = f"""e as (select vec_id, embedding::double[] as v from embeddings),
     a as (select vec_id, v, arg_min(k, (list_distance(v, c), k))::int as cluster, min(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) ** 2))) as d2 from e, c group by vec_id, v)"""
 
 
-def _start(spark, sf_dir) -> list[list[float]]:
+def first_vectors(spark, sf_dir) -> list[list[float]]:
     return [[float(x) for x in r["embedding"]] for r in table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(_K).collect()]
 
 
 @query(f"with {_CENTROIDS} select vec_id, cluster, round(d2, 9) as squared_distance from a")
 def kmeans_assign(spark, sf_dir):
-    return kmeans.assign(table(spark, sf_dir, "embeddings"), "embedding", _start(spark, sf_dir)).select("vec_id", "cluster", _rounded("squared_distance", 9))
+    return kmeans.assign(table(spark, sf_dir, "embeddings"), "embedding", first_vectors(spark, sf_dir)).select("vec_id", "cluster", rounded("squared_distance", 9))
 
 
 @query(f"with {_CENTROIDS} select round(sum(d2), 6) as heterogeneity from a")
 def kmeans_heterogeneity(spark, sf_dir):
-    return kmeans.heterogeneity(table(spark, sf_dir, "embeddings"), "embedding", _start(spark, sf_dir)).select(_rounded("heterogeneity"))
+    return kmeans.heterogeneity(table(spark, sf_dir, "embeddings"), "embedding", first_vectors(spark, sf_dir)).select(rounded("heterogeneity"))
 
 
 @query(f"with {_CENTROIDS} select k::int as cluster, count(a.cluster) as size from c left join a on a.cluster = k group by k")
 def cluster_sizes(spark, sf_dir):
-    return kmeans.cluster_sizes(kmeans.assign(table(spark, sf_dir, "embeddings"), "embedding", _start(spark, sf_dir)), _K)
+    return kmeans.cluster_sizes(kmeans.assign(table(spark, sf_dir, "embeddings"), "embedding", first_vectors(spark, sf_dir)), _K)
 
 
 @query(f"""with {_CENTROIDS}, u as (select cluster, unnest(v) as x, unnest(range(len(v)))::int as i from a)
     select cluster, i as component, round(avg(x), 9) as mean from u group by cluster, i""")
 def kmeans_step(spark, sf_dir):
-    means = kmeans.revise(table(spark, sf_dir, "embeddings"), "embedding", _start(spark, sf_dir))
+    means = kmeans.revise(table(spark, sf_dir, "embeddings"), "embedding", first_vectors(spark, sf_dir))
     rows = [(k, i, float(x)) for k, m in enumerate(means) for i, x in enumerate(m)]
-    return spark.createDataFrame(rows, "cluster int, component int, mean double").select("cluster", "component", _rounded("mean", 9))
+    return spark.createDataFrame(rows, "cluster int, component int, mean double").select("cluster", "component", rounded("mean", 9))
 
 
 @query(f"""with {_CENTROIDS}, r as (select vec_id, cluster, d2, row_number() over (partition by cluster order by round(d2, 9), vec_id) as rank from a) select cluster, rank::int as rank, vec_id from r where rank <= 8""")
 def nearest_cluster_members(spark, sf_dir):
-    placed = kmeans.assign(table(spark, sf_dir, "embeddings"), "embedding", _start(spark, sf_dir)).withColumn("squared_distance", F.round("squared_distance", 9))
+    placed = kmeans.assign(table(spark, sf_dir, "embeddings"), "embedding", first_vectors(spark, sf_dir)).withColumn("squared_distance", F.round("squared_distance", 9))
     return kmeans.nearest_members(placed, "vec_id").select("cluster", "rank", "vec_id")
 
 
-@query()
-def kmeans_restarts(spark, sf_dir):
-    """The best of the reference's seven seeds, each run until its clusters keep their members (500 passes at most)."""
-    vectors = table(spark, sf_dir, "embeddings")
-    seed, best = kmeans.restarts(vectors, "vec_id", "embedding", 3, seeds=range(0, 140_000, 20_000))
-    return spark.createDataFrame([(seed, best.heterogeneity, len(best.history))], "seed int, heterogeneity double, iterations int")
-
-
 @query("""select user_id, event_id, round(avg(value) over (partition by user_id order by event_id rows between 9 preceding and current row), 6) as moving_average
     from events qualify row_number() over (partition by user_id order by event_id) >= 10""")
 def moving_average_loss(spark, sf_dir):
     return metrics.moving_average(table(spark, sf_dir, "events"), "event_id", "value", 10, by="user_id").withColumn("moving_average", F.round("moving_average", 6))
+
+
+# The other modules of queries register theirs with what stands above.
+from . import models, tables  # noqa: E402, F401

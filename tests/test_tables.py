@@ -20,7 +20,23 @@ def test_splits_are_exact_and_repeatable(spark, parts):
     assert {r[0] for r in test.collect()} == {r[0] for r in again.collect()}
     assert [r["fold"] for r in splits.contiguous_folds(spark.range(7).repartition(parts), ["id"], 3).orderBy("id").collect()] == [0, 0, 1, 1, 2, 2, 2]
     assert sorted(r["shuffle_rank"] for r in splits.shuffle_rank(df, "id").collect()) == list(range(101))
-    assert [r["row_rank"] for r in splits.value_rank(df, ["id"], ranges=5).orderBy("id").collect()] == list(range(101))
+    assert [r["row_rank"] for r in splits.value_rank(df, ["id"]).orderBy("id").collect()] == list(range(101))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_ranks_of_null_string_and_equal_keys(spark, parts):
+    rows = [(i if i % 3 else None, ["b", "a", "é", None][i % 4], i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, s string, n int").repartition(parts)
+    train, test = splits.train_test_split(df, "id", 0.4)
+    assert (train.count(), test.count()) == (36, 24) and sorted(r["n"] for r in train.unionByName(test).collect()) == list(range(60))
+    ranked = splits.value_rank(df, ["s", "n"], "place").collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[2]))
+    assert {r["n"]: r["place"] for r in ranked} == {n: k for k, (_, _, n) in enumerate(want)}
+    same = splits.value_rank(spark.createDataFrame([("x",)] * 50, "s string").repartition(parts), ["s"], "place")
+    assert sorted(r["place"] for r in same.collect()) == list(range(50))
+    assert sorted(r["place"] for r in io.with_row_id(df.where("id is null"), ["id"], "place").collect()) == list(range(20))
+    assert [splits.balanced(df.withColumn("y", (F.col("n") % 5 == 0).cast("int")), "id", "y", 1).where(f"y = {y}").count() for y in (0, 1)] == [12, 12]
+    assert splits.value_rank(df.limit(0), ["s"]).collect() == []
 
 
 def test_balance_and_index_split(spark):
@@ -51,6 +67,8 @@ def test_neighbours_against_numpy(spark, metric):
         if metric != "cosine":
             assert [got[i, k + 1][0] for k in range(4)] == [r["id"] for r in near]
     assert neighbors.k_nearest(q, "id", "v", df.limit(2), "id", "v", 9).count() == 14 and neighbors.k_nearest(q.limit(0), "id", "v", df, "id", "v", 2).count() == 0
+    blocks = {(r["id"], r["rank"]): (r["item_id"], r["distance"]) for r in neighbors.k_nearest(q, "id", "v", df, "id", "v", 4, metric, skip_same_id=True, block=3).collect()}
+    assert blocks == got
     scores = neighbors.choose_k(q, "id", "v", "y", df.where("id >= 7"), "id", "v", "y", most=5, metric=metric).collect()
     assert sorted(r["k"] for r in scores) == [1, 2, 3, 4, 5]
 
