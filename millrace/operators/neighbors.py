@@ -57,11 +57,14 @@ def _near(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k:
             d = _table(q, _rows(batch.column(1)), metric)
             if skip:
                 d[ids[:, None] == item[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(item, d.shape), d), axis=1)[:, :k]
-            least = np.take_along_axis(d, order, 1)
-            keep = np.isfinite(least)
-            rows = np.broadcast_to(np.arange(len(ids))[:, None], order.shape)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(item[order[keep]]), pa.array(least[keep])], ["q", "item", "distance"])
+            # What is no farther than the kth, then in order: only those few are sorted.
+            kth = np.partition(d, min(k, len(item)) - 1, axis=1)[:, min(k, len(item)) - 1]
+            rows, cols = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+            order = np.lexsort((item[cols], d[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols = rows[place < k], cols[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(item[cols]), pa.array(d[rows, cols])], ["q", "item", "distance"])
 
 
 _FOUND = "q bigint, item bigint, distance double"

@@ -10,9 +10,11 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -256,6 +258,44 @@ def _weights(stumps: Sequence[Stump], x: Column, y: Column) -> Column:
     return F.exp(-y * votes)
 
 
+def _bits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The 0/1 features of each row (null counts as 0) and whether its label is +1."""
+    flat = batch.column("x").flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, -1) != 0, batch.column("y").to_numpy(zero_copy_only=False) == 1
+
+
+def _said(stumps: Sequence[Stump], x: np.ndarray) -> np.ndarray:
+    """The vote of each stump (a column) on each row."""
+    return np.stack([np.where(x[:, s.feature], s.right, s.left) for s in stumps], axis=1).astype(float) if stumps else np.zeros((len(x), 0))
+
+
+def _stump_sums(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows, weighted by the stumps so far: the weights of both classes, and those with each feature set."""
+    total: np.ndarray | None = None
+    for batch in batches:
+        if batch.num_rows:
+            x, positive = _bits(batch)
+            w = np.exp(-np.where(positive, 1.0, -1.0) * (_said(stumps, x) @ np.array([s.coefficient for s in stumps], float)))
+            up, down = np.where(positive, w, 0.0), np.where(positive, 0.0, w)
+            found = np.stack([np.append(v @ x, v.sum()) for v in (up, down)])
+            total = found if total is None else total + found
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.list_(pa.float64()))], ["sums"])
+
+
+def _boosted_counts(data: DataFrame, stumps: Sequence[Stump]) -> dict | None:
+    """The sums of a round, named as split_counts names them; None without rows."""
+    found = [r["sums"] for r in data.mapInArrow(lambda it: _stump_sums(it, stumps), "sums array<double>").collect()]
+    if not found:
+        return None
+    up, down = sum(np.array(v) for v in found[::2]), sum(np.array(v) for v in found[1::2])
+    return {"p": up[-1], "n": down[-1]} | {f"p{f}": v for f, v in enumerate(up[:-1])} | {f"n{f}": v for f, v in enumerate(down[:-1])}
+
+
+def _voters(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.where(F.col(y).isNotNull()).select(F.transform(x, lambda b: b.cast("double")).alias("x"), F.col(y).cast("int").alias("y"))
+
+
 def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, exclude: Sequence[int] = (), least_error: float = 1e-10) -> list[Stump]:
     """Boosted stumps, each feature used once; one job a round.
 
@@ -264,14 +304,12 @@ def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, e
     The weighted error is held between least_error and 1 - least_error.
     """
     stumps: list[Stump] = []
-    df = df.select(F.col(x).alias(x), F.col(y).alias(y)).persist()
+    data = _voters(df, x, y).persist()
     left = [f for f in range(len(names)) if f not in set(exclude)]
     for _ in range(rounds):
-        weight = _weights(stumps, F.col(x), F.col(y).cast("double"))
-        found = split_counts(df, x, y, left, F.lit(0), weight) if left else []
-        if not found:
+        r = _boosted_counts(data, tuple(stumps)) if left else None
+        if r is None:
             break
-        r = found[0]
         whole = r["p"] + r["n"]
         choice = None if min(r["p"], r["n"]) <= 1e-15 * whole else best_weighted_split(r, left)
         if choice is None:
@@ -281,10 +319,10 @@ def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, e
         if p1 + n1 == 0 or round(p0 + n0, _EQUAL) == 0:
             break
         label = lambda p, n: 1 if p >= n else -1
-        error = min(max((min(p0, n0) + min(p1, n1)) / whole, least_error), 1 - least_error)
+        error = float(min(max((min(p0, n0) + min(p1, n1)) / whole, least_error), 1 - least_error))
         stumps.append(Stump(choice, label(p0, n0), label(p1, n1), 0.5 * math.log((1 - error) / error), error))
         left.remove(choice)
-    df.unpersist()
+    data.unpersist()
     return stumps
 
 
@@ -294,14 +332,22 @@ def ensemble_predict(stumps: Sequence[Stump], x: Column, vote: str = "unweighted
     return F.when(sum(terms[1:], terms[0]) > 0, 1).otherwise(-1) if terms else F.lit(-1)
 
 
+def _staged(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], scale: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows, wrong = 0, np.zeros(len(stumps), np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            x, positive = _bits(batch)
+            wrong += ((np.cumsum(_said(stumps, x) * scale, axis=1) > 0) != positive[:, None]).sum(0)
+            rows += batch.num_rows
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(stumps) + 1, dtype=np.int32)), pa.array(wrong), pa.array(np.full(len(stumps), rows))], ["stage", "wrong", "rows"])
+
+
 def staged_error(df: DataFrame, stumps: Sequence[Stump], x: str, y: str, vote: str = "unweighted") -> DataFrame:
-    """stage and error of the first stage stumps, all from one pass with running sums inside each row."""
-    scale = [s.coefficient if vote == "weighted" else 1.0 for s in stumps]
-    votes = F.array(*(s.vote(F.col(x)) * F.lit(c) for s, c in zip(stumps, scale, strict=True)))
-    running = F.transform(F.sequence(F.lit(1), F.lit(len(stumps))), lambda n: F.aggregate(F.slice(votes, F.lit(1), n), F.lit(0.0), lambda a, v: a + v))
-    wrong = F.transform(running, lambda s: F.when(F.when(s > 0, 1).otherwise(-1) != F.col(y), 1.0).otherwise(0.0))
-    stages = df.where(F.col(y).isNotNull()).select(F.posexplode(wrong).alias("i", "wrong"))
-    return stages.groupBy((F.col("i") + 1).alias("stage")).agg(F.avg("wrong").alias("error"))
+    """stage and error of the first stage stumps, all from one pass: running sums of votes inside each Arrow batch."""
+    scale = np.array([s.coefficient if vote == "weighted" else 1.0 for s in stumps])
+    counts = _voters(df, x, y).mapInArrow(lambda it: _staged(it, stumps, scale), "stage int, wrong bigint, rows bigint")
+    return counts.groupBy("stage").agg((F.sum("wrong") / F.sum("rows")).alias("error"))
 
 
 def describe_stump(stump: Stump, names: Sequence[str]) -> str:
