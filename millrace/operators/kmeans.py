@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.distance import squared
+from ..session import few_tasks
 from .splits import shuffle_key
 
 Vectors = Sequence[Sequence[float]]
@@ -101,7 +102,7 @@ def _partial(batches: Iterator[pa.RecordBatch], runs: list[np.ndarray]) -> Itera
 def _sums_of(data: DataFrame, runs: list[np.ndarray]) -> list[dict[int, tuple[int, float, int, np.ndarray]]]:
     """Rows, squared distance, hash of the members and vector sum of each cluster, for several runs in one pass over prepared rows (x, h)."""
     out: list[dict] = [{} for _ in runs]
-    for r in data.mapInArrow(lambda it: _partial(it, runs), "run int, cluster int, n bigint, h bigint, d double, s array<double>").collect():
+    for r in few_tasks(data).mapInArrow(lambda it: _partial(it, runs), "run int, cluster int, n bigint, h bigint, d double, s array<double>").collect():
         n, d, h, s = out[r["run"]].get(r["cluster"], (0, 0.0, 0, 0.0))
         out[r["run"]][r["cluster"]] = (n + r["n"], d + r["d"], (h + r["h"]) % (1 << 64), s + np.array(r["s"]))
     return out
@@ -193,7 +194,7 @@ def careful_starts(df: DataFrame, row_id: str, vector: str, k: int, seeds: Seque
         chances = F.array(*(_uniform("id", seeds[i], step) for i in going)).alias("u")
         held = [centres[i] for i in going]
         found: dict[int, tuple] = {}
-        for r in usable.select("id", "x", chances).mapInArrow(lambda it, held=held: _drawn(it, held), "seed int, race double, id bigint, x array<double>").collect():
+        for r in few_tasks(usable.select("id", "x", chances)).mapInArrow(lambda it, held=held: _drawn(it, held), "seed int, race double, id bigint, x array<double>").collect():
             if r["seed"] not in found or (r["race"], r["id"]) < found[r["seed"]][:2]:
                 found[r["seed"]] = r["race"], r["id"], r["x"]
         for s, (_, _, x) in found.items():

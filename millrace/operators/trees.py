@@ -15,11 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import few_tasks
+
 #: Errors that differ by less count as equal.
 _EQUAL = 12
 #: Predictions of a leaf whose classes tie.
@@ -285,7 +287,7 @@ def _stump_sums(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump]) -> I
 
 def _boosted_counts(data: DataFrame, stumps: Sequence[Stump]) -> dict | None:
     """The sums of a round, named as split_counts names them; None without rows."""
-    found = [r["sums"] for r in data.mapInArrow(lambda it: _stump_sums(it, stumps), "sums array<double>").collect()]
+    found = [r["sums"] for r in few_tasks(data).mapInArrow(lambda it: _stump_sums(it, stumps), "sums array<double>").collect()]
     if not found:
         return None
     up, down = sum(np.array(v) for v in found[::2]), sum(np.array(v) for v in found[1::2])
@@ -369,8 +371,18 @@ def gini_tree(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: in
     Features are declared binary, so every one is a candidate at every node: no thresholds are sampled.
     Leaves of one parent that predict the same class are merged.
     """
+    return DecisionTreeClassifier(maxDepth=max_depth, impurity="gini", featuresCol="features", labelCol="label").fit(_declared(gini_rows(df, x, y), names))
+
+
+def boosted_trees(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int = 5, max_depth: int = 6, step: float = 0.1, seed: int = 1):
+    """The library ensemble (pyspark.ml, gradient-boosted trees with logistic loss) on the same rows; gini_accuracy takes its model too."""
+    return GBTClassifier(maxIter=rounds, maxDepth=max_depth, stepSize=step, seed=seed, featuresCol="features", labelCol="label").fit(_declared(gini_rows(df, x, y), names))
+
+
+def _declared(made: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The features named and declared binary."""
     attributes = {"ml_attr": {"attrs": {"binary": [{"idx": i, "name": n} for i, n in enumerate(names)]}, "num_attrs": len(names)}}
-    return DecisionTreeClassifier(maxDepth=max_depth, impurity="gini", featuresCol="features", labelCol="label").fit(gini_rows(df, x, y).withMetadata("features", attributes))
+    return made.withMetadata("features", attributes)
 
 
 def gini_rows(df: DataFrame, x: str, y: str) -> DataFrame:

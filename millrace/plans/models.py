@@ -133,6 +133,17 @@ def gini_tree_depths(spark, sf_dir):
     return spark.createDataFrame(rows, "max_depth int, train_accuracy double, valid_accuracy double").select("max_depth", rounded("train_accuracy", 9), rounded("valid_accuracy", 9))
 
 
+@query(f"with {_split_sql(0.2)} select * from {_gini_sql(6)}")
+def boosted_library_first_round(spark, sf_dir):
+    """The library ensemble after one round: a tree on the labels themselves, which splits as the gini tree does."""
+    train, valid = (part.persist() for part in splits.train_test_split(registry.tree_rows(spark, sf_dir), "o_orderkey", 0.2))
+    model = trees.boosted_trees(train, "x", "y", registry.TREE_NAMES, rounds=1)
+    row = (6, *(trees.gini_accuracy(model, part, "x", "y") for part in (train, valid)))
+    train.unpersist()
+    valid.unpersist()
+    return spark.createDataFrame([row], "max_depth int, train_accuracy double, valid_accuracy double").select("max_depth", rounded("train_accuracy", 9), rounded("valid_accuracy", 9))
+
+
 # ---------------------------------------------------------------- boosting
 
 _LINE_BITS = {

@@ -411,6 +411,21 @@ def logistic_l2_path(spark, sf_dir):
     return _ascended(spark, sf_dir, (0.0, 4.0, 10.0), 15)
 
 
+@query(ascent_sql((0.0,), 301))
+def logistic_gradient_ascent_full(spark, sf_dir):
+    """As many steps as the reference takes."""
+    return _ascended(spark, sf_dir, (0.0,), 301)
+
+
+_SIX = (0.0, 1.0, 4.0, 10.0, 50.0, 100.0)
+
+
+@query(ascent_sql(_SIX, 501))
+def logistic_l2_path_full(spark, sf_dir):
+    """Six penalties and as many steps as the reference takes."""
+    return _ascended(spark, sf_dir, _SIX, 501)
+
+
 @query(f"""with recursive {LABELLED}, s as (select case when y = 1 then 1 else 0 end as y, 2 - 30 * b + a as s from d)
     select round(sum((y - 1) * s - ln(1 + exp(-s))), 4) as log_likelihood from s""")
 def log_likelihood(spark, sf_dir):

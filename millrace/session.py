@@ -58,6 +58,15 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks at most that send a partial sum to the driver.
+PARTIAL_SUMS = 4096
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df in PARTIAL_SUMS partitions at most, without a shuffle: bounds what comes back from a pass that gives one row a task."""
+    return df.coalesce(PARTIAL_SUMS)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -76,6 +76,15 @@ def test_gini_tree_takes_the_purest_split(spark):
     assert trees.gini_accuracy(trees.gini_tree(rare, "x", "y", ["a", "b"], 2), rare, "x", "y") == 1
 
 
+def test_library_boosting_goes_beyond_one_tree(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, (600, 6))
+    y = np.where(x.sum(1) + rng.normal(0, 0.3, 600) > 3, 1, -1)
+    df = rows(spark, [(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))])
+    one, many = (trees.gini_accuracy(trees.boosted_trees(df, "x", "y", list("abcdef"), rounds=r, max_depth=2, step=0.5), df, "x", "y") for r in (1, 12))
+    assert many > one > 0.5
+
+
 def test_gini_query_has_the_three_depths(spark):
     got = {r["max_depth"]: r for r in registry.QUERIES["gini_tree_depths"](spark, "/root/testdata/sf0.001").collect()}
     assert sorted(got) == [2, 6, 10] and all(0 < r["valid_accuracy"] <= 1 for r in got.values())
