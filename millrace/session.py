@@ -77,12 +77,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, computed once and kept as Parquet in the shared folder: survives lost executors."""
+    """The rows of df, computed once and kept as Parquet in the shared folder: survives lost executors, and goes when the application ends."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Ask the file system of an existing path to remove it when the application closes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def _own_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -1,10 +1,12 @@
 import json
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.functions import distance, features, text
 from millrace.operators import neighbors, splits
 from millrace.sources import io
@@ -154,3 +156,23 @@ def test_online_trainer_replays_and_resumes(spark, tmp_path):
     assert again.last == trainer.last and again.weights.tolist() == trainer.weights.tolist()
     again.learn(spark.createDataFrame([(1.0, 1)], "a double, y int"), 0)
     assert again.weights.tolist() == trainer.weights.tolist()
+
+
+def test_intermediate_tables_go_with_the_application(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {session.ROOT!r})
+from pyspark.sql import SparkSession
+from millrace.session import stored
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+print("rows", stored(spark.range(5), "numbers").count(), any(x.startswith("numbers-") for x in __import__("os").listdir("{tmp_path}/shared")))
+"""
+    told = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120).stdout
+    assert "rows 5 True" in told
+    for _ in range(60):  # the JVM ends a little later
+        if not list((tmp_path / "shared").glob("numbers-*")):
+            return
+        time.sleep(0.5)
+    raise AssertionError("the table is still there")
