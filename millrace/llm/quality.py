@@ -3,7 +3,7 @@
 The statistics are shares between 0 and 1. Trees split that unit box at random over a bounded sample
 of rows that are labelled good; a text that few splits part from all of those is anomalous, also where
 no good row has ever been. (Cuts between the ends of a node's own rows, as isolation forests of mixed
-rows have them, never fall where good rows do not reach: on the labelled rows at hand they told 4 % of
+rows have them, never fall where good rows do not reach: on the labelled rows at hand they told under 5 % of
 the bad from the good where the unit box tells 96 %.)
 
 The labelled rows are dealt into two parts by a hash of their id: the forest grows on the good rows of
