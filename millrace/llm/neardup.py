@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, exact: bool = False) ->
     classes, numbered = _classes(signed)
     keys = _keys(classes)
     # Written first: a join of two plain exchanges can be split where one key is very common.
-    least = stored(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "least")
+    least = stored(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot"), "least")
     members = stored(keys.join(least, "key"), "members")
     sets = stored(_wanted_sets(docs, classes.join(members.select("rep").distinct(), "rep", "left_semi")), "sets")
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
