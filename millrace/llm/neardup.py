@@ -161,7 +161,8 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def _wanted_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """id and shingles of the given classes, by the text that stands for each. Always joined by sorting, so the plan is alike at every size."""
     found = _texts(docs).join(classes.select("rep", F.col("least_id").alias("doc_id"), "text_key").hint("merge"), ["doc_id", "text_key"])
-    return found.select("rep", "text").dropDuplicates(["rep"]).mapInArrow(_sets, "id bigint, shingles binary")
+    # By the keys of the join, whose exchange serves for this too.
+    return found.dropDuplicates(["doc_id", "text_key"]).select("rep", "text").mapInArrow(_sets, "id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
