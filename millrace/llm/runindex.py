@@ -35,7 +35,7 @@ from .common import BLOCK_BYTES, mixed, powers, prefix_sums, row_blocks, stored,
 
 LENGTH, ANCHOR = 200, 64
 #: Contexts of one group that one index takes.
-GROUP_CONTEXTS = 8192
+GROUP_CONTEXTS = 2048
 #: Bytes of contexts in one index: bounds the memory of a task.
 INDEX_BYTES = 1 << 20
 #: Never part of UTF-8: ends each context inside an index.
