@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, ready
-from . import bpe, htmlmain, langid, mixing, neardup, quality, records, runindex, topk, urlrules
+from . import bpe, htmlmain, langid, mixing, neardup, quality, records, resample, runindex, topk, urlrules
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024, buckets=10000)
+
+
 def _ready(f: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ready(spark)
@@ -79,7 +83,7 @@ def _ready(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op1_suffix_dedup, op2_url_filters, op3_byte_bpe, op4_html_extraction, op5_mixing, op6_language_id, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records)}
+QUERIES = {f.__name__: _ready(f) for f in (op1_suffix_dedup, op2_url_filters, op3_byte_bpe, op4_html_extraction, op5_mixing, op6_language_id, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records, op11_importance_resampling)}
 
 _PATTERNS = ", ".join(f"('{r.name}', '{r.pattern}', {str(r.block).lower()})" for r in urlrules.DEFAULT_PATTERNS)
 
@@ -144,4 +148,26 @@ ORACLE_SQL: dict[str, str] = {
         least as (select a as doc_id, min(b) as component_id from reach group by a)
         select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
         from documents d join least using (doc_id) left join sizes using (doc_id)""",
+    "op11_importance_resampling": r"""
+        with crc_table as materialized (
+            select list(list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, n) order by n) as steps from range(256) r(n)),
+        words as (
+            select 1 as raw, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+            union all
+            select 0, null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+        numbered as materialized (select row_number() over () as own, * from words),
+        spread as materialized (select own, raw, unnest(w) as f from numbered),
+        hexed as (select f, hex(f) as h from (select distinct f from spread)),
+        buckets as materialized (
+            select f, xor(list_reduce(list_transform(range(1, strlen(f) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint),
+                lambda c, b: xor(steps[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295) % 10000 as bucket from hexed, crc_table),
+        counted as (select bucket, sum(raw) as s, sum(1 - raw) as t from spread join buckets using (f) group by bucket),
+        gains as (select bucket, floor(1000 * ln((t + 1)::double * ((sum(s) over ()) + 10000)::double / ((s + 1)::double * ((sum(t) over ()) + 10000)::double)))::bigint as gain from counted),
+        weighed as (select own, sum(gain)::bigint as weight from spread join buckets using (f) join gains using (bucket) where raw = 1 group by own),
+        scored as (
+            select own, doc_id, len(w) as n_features, coalesce(weight, 0)::bigint as weight,
+                coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+            from numbered left join weighed using (own) where raw = 1),
+        placed as (select own, row_number() over (order by score desc, doc_id nulls last, n_features) as place, count(*) over () as n from scored where n_features >= 20)
+        select doc_id, n_features, weight, score, case when place <= n * 10 // 100 then place end as rank from scored left join placed using (own)""",
 }
