@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -82,46 +83,93 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte value times base^position; see span_hash."""
+    """Prefix sums of byte value times base^position, for hashes of rolling windows; regular texts may collide in them, so they only deal out work."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values()[data] * powers(len(data))[0][: len(data)], dtype=np.uint64, out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start])
+#: Spans of up to so many bytes are hashed together, eight bytes at a step; longer ones each by BLAKE2b.
+_SHORT = 512
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+_STEP = _U(0xD6E8FEB86659FD93)
+
+
+def _long_hash(state: hashlib.blake2b) -> int:
+    return int.from_bytes(state.digest(), "little")
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand.
+
+    Every eight bytes pass through a mixing that is not linear, so texts of a regular build, which cancel out
+    in a polynomial modulo 2^64, do not meet here. Two spans of one length up to eight bytes never do.
+    """
+    size = end - start
+    out = mixed(size.astype(np.uint64) * _STEP + _U(0x2545F4914F6CDD1D))
+    if not len(out):
+        return out
+    long = np.flatnonzero(size > _SHORT)
+    short = np.flatnonzero((size > 0) & (size <= _SHORT)) if len(long) or (size == 0).any() else slice(None)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at, left, h, live = start[short], size[short], out[short], None
+    while len(at):
+        step = mixed(h ^ (lanes[at] & _MASKS[np.minimum(left, 8)])) + _STEP
+        if live is None:
+            out[short] = step
+            live = np.arange(len(out))[short]
+        else:
+            out[live] = step
+        more = left > 8
+        at, left, h, live = at[more] + 8, left[more] - 8, step[more], live[more]
+    for i in long.tolist():
+        out[i] = _long_hash(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8))
+    return out
 
 
 class OpenSpan:
     """Hashes of spans of a text that comes in pieces: what a piece leaves open goes on in the next one.
 
-    The hash of a span is that of span_hash, however many pieces it runs over.
+    The hash of a span is that of span_hashes, however many pieces it runs over.
     """
 
     def __init__(self) -> None:
-        self.total, self.length, self.open = 0, 0, False
-
-    def feed(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, goes_on: bool, stays_open: bool) -> np.ndarray:
+        self.state: hashlib.blake2b | None = None
+        self.head, self.size = b"", 0
+
+    def _take(self, data: np.ndarray) -> None:
+        if self.state is None:
+            self.state, self.head, self.size = hashlib.blake2b(digest_size=8), b"", 0
+        self.state.update(data)
+        self.size += len(data)
+        if len(self.head) < _SHORT:
+            self.head += data[: _SHORT - len(self.head)].tobytes()
+
+    def feed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, goes_on: bool, stays_open: bool) -> np.ndarray:
         """Hashes of the spans that are complete now. goes_on: the first one continues the open span; stays_open: the last one may go on."""
-        raw = (sums[end] - sums[start]) * powers(len(sums))[1][start]
         closed = []
-        if self.open:
+        if self.state is not None:
             if goes_on:
-                raw[:1] = raw[:1] * _U(pow(0x9E3779B97F4A7C15, self.length, 1 << 64)) + _U(self.total)
-                start = np.concatenate((start[:1] - self.length, start[1:]))
-            else:
-                closed.append(self.close())
-        self.open = stays_open
+                self._take(data[start[0] : end[0]])
+                start, end = start[1:], end[1:]
+                if stays_open and not len(start):
+                    return np.zeros(0, np.uint64)
+            closed.append(self.close())
         if stays_open:
-            self.total, self.length = int(raw[-1]), int(end[-1] - start[-1])
-            raw = raw[:-1]
-        return np.concatenate((*closed, mixed(raw)))
+            self._take(data[start[-1] : end[-1]])
+            start, end = start[:-1], end[:-1]
+        return np.concatenate((*closed, span_hashes(data, start, end)))
 
     def close(self) -> np.ndarray:
         """The hash of the span that is still open, if one is."""
-        out = mixed(np.array([self.total], np.uint64)) if self.open else np.zeros(0, np.uint64)
-        self.open = False
+        if self.state is None:
+            return np.zeros(0, np.uint64)
+        if self.size <= _SHORT:
+            out = span_hashes(np.frombuffer(self.head, np.uint8), np.array([0]), np.array([self.size]))
+        else:
+            out = np.array([_long_hash(self.state)], np.uint64)
+        self.state = None
         return out
 
 
@@ -139,11 +187,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without white space, none across rows, and n + 1 word offsets of the rows."""
+def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without white space (or other bytes marked in space), none across rows, and n + 1 word offsets of the rows."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     before = np.empty_like(solid)
@@ -164,7 +212,7 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
         piece = data[at : at + BLOCK_BYTES]
         starts, ends, _ = word_spans(piece, np.array([0, len(piece)]))
         if len(starts):
-            out.append(spans.feed(prefix_sums(piece), starts, ends, bool(starts[0] == 0), bool(ends[-1] == len(piece))))
+            out.append(spans.feed(piece, starts, ends, bool(starts[0] == 0), bool(ends[-1] == len(piece))))
         else:
             out.append(spans.close())
     return np.concatenate((*out, spans.close()))

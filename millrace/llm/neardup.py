@@ -16,9 +16,9 @@ and each round only looks at keys whose classes lie in different components so f
 1. under each key, the least class with all others;
 2. a least spanning forest of the signature distances under each key: those links join nearly
    all that belongs together without listing the pairs of a large group;
-3. all pairs that are left between different components, so that no link is lost. Their least SKETCH
-   shingle hashes, the whole set of most texts, rule out nearly all of them before any is passed on (a
-   linked pair whose sketches are not the whole sets fails that test with probability 3e-7).
+3. all pairs that are left between different components, so that no link is lost. Sets of up to SKETCH
+   shingles come along whole, and decide there and then; a pair with a larger set is passed on to be
+   judged by the full sets, whatever its size.
 
 Keys of many classes are dealt out in square blocks. Defined results: null and blank texts have an empty
 set and are linked with nothing. Repeated rows (and other rows of equal sets) share a component. Rows of
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.splits import value_rank
 from . import common
-from .common import distinct, lower_ascii, mixed, prefix_sums, row_blocks, sequence_hash, span_hash, stored, text_bytes, window_hashes, word_hashes, word_spans
+from .common import distinct, lower_ascii, mixed, row_blocks, sequence_hash, span_hashes, stored, text_bytes, window_hashes, word_hashes, word_spans
 from .graph import components
 
 WIDTH = 5
@@ -48,8 +48,8 @@ SYMBOLS, CHUNK = 80, 4
 TOLERANCE = 2 * (SYMBOLS // CHUNK) - 1
 #: Classes of one key that a task compares with as many others.
 SQUARE = 4096
-#: Shingle hashes of each class that the last round compares inside a task, and the standard errors it allows for where these are not the whole set.
-SKETCH, ERRORS = 256, 5.0
+#: Sets of up to so many shingles come along to the last round, which compares them inside its tasks.
+SKETCH = 256
 
 #: Shingles signed at once.
 _AT_ONCE = 1 << 12
@@ -73,7 +73,7 @@ def _shingle_sets(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         yield _set_of(word_hashes(data))
         return
     starts, ends, words = word_spans(data, offs)
-    hashes = span_hash(prefix_sums(data), starts, ends)
+    hashes = span_hashes(data, starts, ends)
     for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
         yield _set_of(hashes[a:b])
 
@@ -241,18 +241,12 @@ def _forest(rep: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarra
 
 
 def _may_link(p: np.ndarray, q: np.ndarray, sizes: tuple[int, int], percent: int) -> bool:
-    """Whether two sets can be similar enough, by their least hashes: exact where these are the whole sets."""
-    exact = len(p) == sizes[0] and len(q) == sizes[1]
-    if not exact:
-        top = min(x[-1] for x, n in ((p, sizes[0]), (q, sizes[1])) if len(x) < n)
-        p, q = p[: np.searchsorted(p, top, "right")], q[: np.searchsorted(q, top, "right")]
+    """Whether two sets are similar enough, where both are here; else it is left to the full sets."""
+    if len(p) != sizes[0] or len(q) != sizes[1]:
+        return True
     at = np.searchsorted(p, q)
     common = int((p[np.minimum(at, len(p) - 1)] == q).sum())
-    union = len(p) + len(q) - common
-    if exact:
-        return 100 * common >= percent * union
-    share = percent / 100
-    return common / union >= share - ERRORS * (share * (1 - share) / union) ** 0.5
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
 def _all_pairs(rep, label, size, sig, sketches: list[np.ndarray] | None, percent: int, number: int, left: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +280,9 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: Da
     known = classes.select("rep", "sig", "n_shingles")
     sketched = not forest and not exact
     if sketched:
-        known = known.join(sets.select(F.col("id").alias("rep"), F.substring("shingles", 1, 8 * SKETCH).alias("sketch")), "rep")
+        # A set that is too large for it is an empty sketch.
+        whole = sets.where(F.octet_length("shingles") <= 8 * SKETCH).select(F.col("id").alias("rep"), F.col("shingles").alias("sketch"))
+        known = known.join(whole, "rep", "left").withColumn("sketch", F.coalesce("sketch", F.lit(b"")))
     signed = rows.join(known, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
     signed = signed.select("key", "number", "rep", "label", "side", "n_shingles", "sig", *(["sketch"] if sketched else []), F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import OpenSpan, distinct, prefix_sums, row_blocks, span_hash, text_bytes, window_hashes, word_hashes, word_spans
+from .common import OpenSpan, distinct, row_blocks, span_hashes, text_bytes, window_hashes, word_hashes, word_spans
 
 #: The symbols of the base rules.
 _SYMBOLS = b"#*$%&|<>"
@@ -74,22 +74,18 @@ def _block_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     np.cumsum(points[ends] - points[starts], out=lengths[1:])
     out[:, 1] = np.diff(lengths[words])
     out[:, 2], out[:, 6], out[:, 7], out[:, 8] = (share(x) for x in ("symbol", "upper", "alpha", "mark"))
-    sums = prefix_sums(data)
-    hashes = span_hash(sums, starts, ends)
-    windows = window_hashes(hashes, WIDTH)
+    windows = window_hashes(span_hashes(data, starts, ends), WIDTH)
+    for i in np.flatnonzero(out[:, 0] > WIDTH).tolist():
+        out[i, 4] = _repeated_words(windows[words[i] : words[i + 1] - WIDTH + 1])
+    # Lines begin where rows do and after breaks, and end at breaks and where rows do; in order, starts and ends pair up.
     breaks = np.flatnonzero(data == 10)
-    for i in range(n):
-        a, b = words[i], words[i + 1]
-        if a == b:
-            continue
-        if b - a > WIDTH:
-            out[i, 4] = _repeated_words(windows[a : b - WIDTH + 1])
-        lo, hi = offs[i], offs[i + 1]
-        cut = breaks[np.searchsorted(breaks, lo) : np.searchsorted(breaks, hi)]
-        first, last = np.concatenate(([lo], cut + 1)), np.concatenate((cut, [hi]))
-        full = np.searchsorted(starts, first) < np.searchsorted(starts, last)
-        lines = span_hash(sums, first[full], last[full])
-        out[i, 5], out[i, 3] = len(lines), len(lines) - len(np.unique(lines))
+    first, last = np.sort(np.concatenate((offs[:-1], breaks + 1))), np.sort(np.concatenate((breaks, offs[1:])))
+    row = np.repeat(np.arange(n), np.diff(np.searchsorted(breaks, offs)) + 1)
+    full = np.searchsorted(starts, first) < np.searchsorted(starts, last)
+    row, lines = row[full], span_hashes(data, first[full], last[full])
+    order = np.lexsort((lines, row))
+    again = (row[order][1:] == row[order][:-1]) & (lines[order][1:] == lines[order][:-1])
+    out[:, 5], out[:, 3] = np.bincount(row, minlength=n), np.bincount(row[order][1:][again], minlength=n)
     return out
 
 
@@ -109,7 +105,7 @@ def _long_counts(data: np.ndarray) -> np.ndarray:
         inked = np.concatenate(([0], np.cumsum(~common.SPACE[piece])))
         full = inked[ends] > inked[first]
         full[0] |= worded
-        made = spans.feed(prefix_sums(piece), first, ends, True, not last)
+        made = spans.feed(piece, first, ends, True, not last)
         worded = bool(full[-1])
         lines.append(made[full[: len(made)]])
     hashes, seen = word_hashes(data), np.concatenate(lines)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, ready
-from . import bpe, htmlmain, langid, mixing, neardup, quality, records, resample, runindex, topk, urlrules
+from . import bpe, decontaminate, htmlmain, langid, mixing, neardup, quality, records, resample, runindex, topk, urlrules, whiten
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024, buckets=10000)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
 def _ready(f: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ready(spark)
@@ -83,7 +91,7 @@ def _ready(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op1_suffix_dedup, op2_url_filters, op3_byte_bpe, op4_html_extraction, op5_mixing, op6_language_id, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records, op11_importance_resampling)}
+QUERIES = {f.__name__: _ready(f) for f in (op1_suffix_dedup, op2_url_filters, op3_byte_bpe, op4_html_extraction, op5_mixing, op6_language_id, op7_topk_search, op8_quality_rules, op9_minhash_near_dedup, op10_token_records, op11_importance_resampling, op12_embedding_whitening, op13_decontamination)}
 
 _PATTERNS = ", ".join(f"('{r.name}', '{r.pattern}', {str(r.block).lower()})" for r in urlrules.DEFAULT_PATTERNS)
 
@@ -170,4 +178,18 @@ ORACLE_SQL: dict[str, str] = {
             from numbered left join weighed using (own) where raw = 1),
         placed as (select own, row_number() over (order by score desc, doc_id nulls last, n_features) as place, count(*) over () as n from scored where n_features >= 20)
         select doc_id, n_features, weight, score, case when place <= n * 10 // 100 then place end as rank from scored left join placed using (own)""",
+    "op13_decontamination": r"""
+        with texts as (
+            select 'doc' as kind, doc_id as id, row_number() over () as own, text from documents
+            union all select 'item', item_id, null, text from benchmark),
+        words as materialized (select kind, id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+        items as (select coalesce(id::varchar, '') as item, w, least(len(w), 10) as n from words where kind = 'item' and len(w) > 0),
+        windows as materialized (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') as s from (select item, w, n, unnest(range(1, len(w) - n + 2)) as i from items)),
+        lengths as (select distinct n from windows),
+        places as (select own, w, n, unnest(range(1, len(w) - n + 2)) as i from words, lengths where kind = 'doc' and len(w) >= n),
+        hits as materialized (select own, n, i, item from (select own, n, i, array_to_string(w[i:i + n - 1], ' ') as s from places) join windows using (n, s)),
+        hit_words as (select own, count(*) as n_hit from (select distinct own, unnest(range(i, i + n)) as p from (select distinct own, i, n from hits)) group by own),
+        lists as (select own, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as digest from (select distinct own, item from hits) group by own)
+        select id as doc_id, len(w) as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(digest, sha256('')) as items_sha256, n_hit is not null as contaminated
+        from words left join hit_words using (own) left join lists using (own) where kind = 'doc'""",
 }

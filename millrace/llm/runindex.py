@@ -17,7 +17,7 @@ half, and so on, up to the window itself; so no task ever holds an unbounded gro
 
 Defined results: null texts have no bytes. Matches never cross rows; repeated rows repeat each other, so
 rows of at least the wanted length that occur twice are removed whole. Rows with a null id are judged
-too. An empty table gives no rows. Columns of the input other than doc_id and text are not looked at,
+too. Rows of equal id and text are read once for their contexts, and share one list of spans. An empty table gives no rows. Columns of the input other than doc_id and text are not looked at,
 unless kept by name.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, mixed, powers, prefix_sums, row_blocks, stored, text_bytes
+from .common import BLOCK_BYTES, mixed, powers, prefix_sums, row_blocks, span_hashes, stored, text_bytes
 
 LENGTH, ANCHOR = 200, 64
 #: Contexts of one group that one index takes.
@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: in
     first = np.flatnonzero(new & inside)
     last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
     ends = last + length
-    context = mixed((sums[ends] - sums[first]) * inverse[first])
+    context = span_hashes(data, first, ends)
     return row[first], first - offs[row[first]], last - first + 1, hashes[owner[first]], context
 
 
@@ -314,12 +314,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: i
     places = stored(found.join(twice, "anchor"), "places")
     entries = stored(places.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min("windows").alias("windows"), F.min(F.struct("doc_id", "text_key", "start")).alias("at")), "entries")
     several = stored(entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "several")
-    wanted = entries.join(several, "anchor").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_key").alias("w_key")).agg(F.collect_list(F.struct("anchor", "context", F.col("at.start").alias("start"), "windows")).alias("wanted"))
-    fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("text", "wanted").mapInArrow(lambda it: _cut_out(it, length), "anchor bigint, context bigint, body binary")
+    # Keys that are never null: rows of equal id and text are made one by the exchange of this join.
+    row = lambda key, text_key: {"id_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "nameless": F.col(key).isNull(), "key": F.col(text_key)}
+    wanted = entries.join(several, "anchor").withColumns(row("at.doc_id", "at.text_key")).groupBy("id_key", "nameless", "key").agg(F.collect_list(F.struct("anchor", "context", F.col("at.start").alias("start"), "windows")).alias("wanted"))
+    met = texts.withColumns(row("doc_id", "text_key")).join(wanted.hint("merge"), ["id_key", "nameless", "key"]).dropDuplicates(["id_key", "nameless", "key"])
+    fetched = met.select("text", "wanted").mapInArrow(lambda it: _cut_out(it, length), "anchor bigint, context bigint, body binary")
     contexts = stored(fetched, "contexts")
     marks = _resolve(contexts, length, anchor, most).unionByName(_copied(entries))
     spans = places.join(marks, ["anchor", "context"]).select("doc_id", "text_key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("span"))
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

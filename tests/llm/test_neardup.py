@@ -90,6 +90,38 @@ def test_exact_mode_agrees(docs, words):
     assert got[0] == got[1] and {x[0]: (x[1], x[2]) for x in got[1]} == brute(rows)
 
 
+def replaced(text, similarity, r):
+    """A copy with a run of words replaced, so that the sets have about the wanted similarity: (n - m) / (n + m) of n shingles."""
+    w = text.split()
+    m = int(len(w) * (1 - similarity) / (1 + similarity)) - 5
+    at = r.randrange(0, len(w) - m)
+    return " ".join(w[:at] + [f"n{r.randrange(10**9)}" for _ in range(m)] + w[at + m :])
+
+
+def test_recall_of_long_near_copies(docs, words):
+    """Sets of 300 to 5,000 shingles with copies of similarity 0.75 to 0.80: every link of the brute force is there."""
+    r = random.Random(12)
+    rows, linked = [], 0
+    for k in range(48):
+        base = words(r.choice([300, 700, 1500, 5000]), 3000 + k)
+        rows.append((10 * k, base))
+        # Two copies that differ from the first in other places: the group has more than a star of its least id.
+        rows += [(10 * k + j, replaced(base, r.uniform(0.755, 0.80), r)) for j in (1, 2)]
+    want = brute(rows)
+    linked = sum(1 for i, (_, c) in want.items() if c != i)
+    assert linked > 90
+    out = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(docs(rows)).collect()}
+    assert out == want
+
+
+def test_large_sets_are_never_judged_by_a_part_of_them():
+    """Whatever the sketches hold, a pair with a set beyond SKETCH goes on to the full sets."""
+    p = np.arange(10, dtype=np.uint64)
+    none = np.zeros(0, np.uint64)
+    assert neardup._may_link(none, p, (900, 10), 75) and neardup._may_link(none, none, (900, 900), 75)
+    assert neardup._may_link(p, p, (10, 10), 75) and not neardup._may_link(p, p + np.uint64(5), (10, 10), 75)
+
+
 def test_one_id_with_different_texts(spark, docs, words):
     a, b, c = (words(60, k) for k in (1, 2, 3))
     rows = [(1, a), (1, b), (3, b + " more"), (7, c), (7, a), (2, c), (9, c.upper()), (4, words(60, 4))]
