@@ -31,8 +31,7 @@ def count_word(text: Column, word: str) -> Column:
 
 def count_words(text: Column, words: Sequence[str]) -> Column:
     """Counts of the given words as one array, from one split of the text."""
-    found = split_words(F.coalesce(text, F.lit("")))
-    return F.transform(F.lit(list(words)), lambda w: F.size(F.filter(found, lambda x: x == w)))
+    return vectorised(split_words(F.coalesce(text, F.lit(""))), words)
 
 
 def tokens(text: Column, lowercase: bool = True, min_length: int = 1) -> Column:
@@ -74,6 +73,11 @@ def term_ids(bag: DataFrame) -> DataFrame:
     return value_rank(bag.select("term").distinct(), ["term"], "term_id")
 
 
+def inverted(ids: DataFrame) -> DataFrame:
+    """The inverse map of term_ids as a table (term_id, term), whatever its size."""
+    return ids.select("term_id", "term")
+
+
 def term_of(ids: DataFrame) -> dict[int, str]:
     """The inverse map, for a vocabulary that fits on the driver."""
     return {r["term_id"]: r["term"] for r in ids.collect()}
@@ -144,8 +148,12 @@ def common_terms(bag: DataFrame, doc_id: str, first, second, value: str = "tf")
 
 
 def vectorised(words: Column, vocab: Sequence[str]) -> Column:
-    """Counts of a fixed vocabulary in an array of words, in the vocabulary's order; other words are passed over."""
-    return F.transform(F.lit(list(vocab)), lambda w: F.size(F.filter(words, lambda x: x == w)))
+    """Counts of a fixed vocabulary in an array of words, in the vocabulary's order; other words are passed over.
+
+    The words are bound by a lambda variable: an expression inside a lambda would be made again for every vocabulary word.
+    """
+    counted = lambda own: F.transform(F.lit(list(vocab)), lambda w: F.size(F.filter(own, lambda x: x == w)))
+    return F.element_at(F.transform(F.array(words), counted), 1)
 
 
 def sparse_row(terms: Column, vocab: Sequence[str]) -> Column:

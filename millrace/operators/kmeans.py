@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.distance import squared
-from ..session import few_tasks
+from ..session import discard, stored
+from .reduce import collected, task_number, tasks_of
 from .splits import shuffle_key
 
 Vectors = Sequence[Sequence[float]]
@@ -95,16 +96,20 @@ def _partial(batches: Iterator[pa.RecordBatch], runs: list[np.ndarray]) -> Itera
                     h[r, c] += hashes[mine].sum()
                 d[r, c] += least[mine].sum()
                 s[r, c] += x[mine].sum(0)
-    r, c = np.nonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(n[r, c]), pa.array(h[r, c]), pa.array(d[r, c]), pa.array(list(s[r, c]), pa.list_(pa.float64()))], ["run", "cluster", "n", "h", "d", "s"])
+    yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), pa.array([np.concatenate((n.ravel(), h.ravel()))], pa.list_(pa.int64())), pa.array([np.concatenate((d.ravel(), s.ravel()))], pa.list_(pa.float64()))], ["part", "counts", "sums"])
 
 
-def _sums_of(data: DataFrame, runs: list[np.ndarray]) -> list[dict[int, tuple[int, float, int, np.ndarray]]]:
+def _sums_of(data: DataFrame, runs: list[np.ndarray], tasks: int | None = None) -> list[dict[int, tuple[int, float, int, np.ndarray]]]:
     """Rows, squared distance, hash of the members and vector sum of each cluster, for several runs in one pass over prepared rows (x, h)."""
+    made = data.mapInArrow(lambda it: _partial(it, runs), "part int, counts array<bigint>, sums array<double>")
+    found = collected(made, (), ("counts", "sums"), tasks_of(data) if tasks is None else tasks)
+    k, width = max(map(len, runs)), runs[0].shape[1]
     out: list[dict] = [{} for _ in runs]
-    for r in few_tasks(data).mapInArrow(lambda it: _partial(it, runs), "run int, cluster int, n bigint, h bigint, d double, s array<double>").collect():
-        n, d, h, s = out[r["run"]].get(r["cluster"], (0, 0.0, 0, 0.0))
-        out[r["run"]][r["cluster"]] = (n + r["n"], d + r["d"], (h + r["h"]) % (1 << 64), s + np.array(r["s"]))
+    for counts, sums in found.values():
+        n, h = counts.reshape(2, len(runs), k)
+        d, s = sums[: len(runs) * k].reshape(len(runs), k), sums[len(runs) * k :].reshape(len(runs), k, width)
+        for r, c in zip(*np.nonzero(n), strict=True):
+            out[r][int(c)] = int(n[r, c]), float(d[r, c]), int(h[r, c]) % (1 << 64), s[r, c]
     return out
 
 
@@ -116,12 +121,13 @@ def lloyd_runs(df: DataFrame, vector: str, starts: Sequence[Vectors], max_iter:
     if not starts:
         return []
     data = _prepared(df, vector).persist()
+    tasks = tasks_of(data)
     out = [Clustering(np.array(s, float), 0.0) for s in starts]
     before: list[dict | None] = [None] * len(out)
     left = list(range(len(out)))
     for _ in range(max_iter):
         going = []
-        for i, sums in zip(left, _sums_of(data, [out[i].centroids for i in left]), strict=True):
+        for i, sums in zip(left, _sums_of(data, [out[i].centroids for i in left], tasks), strict=True):
             run = out[i]
             run.history.append(float(sum(s[1] for s in sums.values())))
             run.empty = [c for c in range(len(run.centroids)) if c not in sums]
@@ -133,7 +139,7 @@ def lloyd_runs(df: DataFrame, vector: str, starts: Sequence[Vectors], max_iter:
         left = going
         if not left:
             break
-    for run, sums in zip(out, _sums_of(data, [run.centroids for run in out]), strict=True):
+    for run, sums in zip(out, _sums_of(data, [run.centroids for run in out], tasks), strict=True):
         run.heterogeneity = float(sum(s[1] for s in sums.values()))
     data.unpersist()
     return out
@@ -193,10 +199,9 @@ def careful_starts(df: DataFrame, row_id: str, vector: str, k: int, seeds: Seque
             break
         chances = F.array(*(_uniform("id", seeds[i], step) for i in going)).alias("u")
         held = [centres[i] for i in going]
-        found: dict[int, tuple] = {}
-        for r in few_tasks(usable.select("id", "x", chances)).mapInArrow(lambda it, held=held: _drawn(it, held), "seed int, race double, id bigint, x array<double>").collect():
-            if r["seed"] not in found or (r["race"], r["id"]) < found[r["seed"]][:2]:
-                found[r["seed"]] = r["race"], r["id"], r["x"]
+        # The least of each seed is found on the executors.
+        raced = usable.select("id", "x", chances).mapInArrow(lambda it, held=held: _drawn(it, held), "seed int, race double, id bigint, x array<double>")
+        found = {r["seed"]: (r["m"]["race"], r["m"]["id"], r["m"]["x"]) for r in raced.groupBy("seed").agg(F.min(F.struct("race", "id", "x")).alias("m")).collect()}
         for s, (_, _, x) in found.items():
             centres[going[s]] = np.vstack([centres[going[s]], x])
         going = [going[s] for s in sorted(found)]
@@ -209,6 +214,105 @@ def careful_start(df: DataFrame, row_id: str, vector: str, k: int, seed: int = 0
     return careful_starts(df, row_id, vector, k, [seed])[0]
 
 
+# ---------------------------------------------------------------- seeding for many centres
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the lowest of equals, and its squared distance; a few centres at a time."""
+    best, own = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    for i in range(0, len(centres), 16):
+        far = ((x[:, None, :] - centres[None, i : i + 16]) ** 2).sum(2)
+        at = far.argmin(1)
+        least = far[np.arange(len(x)), at]
+        nearer = least < best
+        best[nearer], own[nearer] = least[nearer], at[nearer] + i
+    return own, best
+
+
+def _raced(batches: Iterator[pa.RecordBatch], centres: np.ndarray, m: int) -> Iterator[pa.RecordBatch]:
+    """The m rows of least -ln(u) / D^2 of each batch: a draw without replacement with chances by D^2."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            d2 = _nearest(x, centres)[1]
+            with np.errstate(divide="ignore"):
+                race = np.where(d2 > 0, -np.log(part.column("u").to_numpy(zero_copy_only=False)) / d2, np.inf)
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            at = np.lexsort((ids, race))[:m]
+            at = at[np.isfinite(race[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(race[at]), pa.array(ids[at]), pa.array(x[at].tolist(), pa.list_(pa.float64()))], ["race", "id", "x"])
+
+
+def _weights(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How many rows of a task are nearest to each centre, and their squared distances added."""
+    n, cost = np.zeros(len(centres)), np.zeros(len(centres))
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            own, d2 = _nearest(part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), centres)
+            n += np.bincount(own, minlength=len(n))
+            cost += np.bincount(own, d2, minlength=len(n))
+    yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), pa.array([np.concatenate((n, cost))], pa.list_(pa.float64()))], ["part", "sums"])
+
+
+def oversampled(df: DataFrame, row_id: str, vector: str, m: int, rounds: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """1 + rounds * m candidate centres, and how many rows are nearest to each: rounds + 2 passes over the rows, whatever m.
+
+    Each round draws m rows at once, with chances by the squared distance to the candidates so far; the draw needs
+    no running total, and each task passes on m rows of a batch at most, of which the executors keep the least m.
+    """
+    usable = df.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("bigint").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("x")).persist()
+    first = usable.agg(F.min(F.struct(shuffle_key("id", seed).alias("k"), "id", "x")).alias("m")).first()["m"]
+    if first is None:
+        usable.unpersist()
+        return np.zeros((0, 0)), np.zeros(0)
+    centres = np.array([first["x"]], float)
+    for step in range(1, rounds + 1):
+        raced = usable.select("id", "x", _uniform("id", seed, step).alias("u")).mapInArrow(lambda it, c=centres: _raced(it, c, m), "race double, id bigint, x array<double>")
+        drawn = raced.orderBy("race", "id").limit(m).collect()
+        if not drawn:
+            break
+        centres = np.vstack([centres, [r["x"] for r in drawn]])
+    (sums,) = collected(usable.mapInArrow(lambda it: _weights(it, centres), "part int, sums array<double>"), (), ("sums",), tasks_of(usable))[()]
+    usable.unpersist()
+    return centres, sums[: len(centres)]
+
+
+def weighted_start(points: np.ndarray, weights: np.ndarray, k: int, seed: int = 0, tries: int = 5, steps: int = 20) -> np.ndarray:
+    """k centres of weighted points: k-means++ by weight times squared distance, then weighted means until nothing moves; the best of some tries."""
+    rng, best, least = np.random.Generator(np.random.PCG64(seed)), points[:k], np.inf
+    for _ in range(tries):
+        own = [int(rng.choice(len(points), p=weights / weights.sum()))]
+        d2 = ((points - points[own[0]]) ** 2).sum(1)
+        while len(own) < k and (weights * d2).sum() > 0:
+            own.append(int(rng.choice(len(points), p=weights * d2 / (weights * d2).sum())))
+            d2 = np.minimum(d2, ((points - points[own[-1]]) ** 2).sum(1))
+        centres = points[own]
+        for _ in range(steps):
+            near, _ = _nearest(points, centres)
+            total = np.bincount(near, weights, minlength=len(centres))
+            means = np.stack([np.bincount(near, weights * column, minlength=len(centres)) for column in points.T], axis=1) if points.shape[1] else centres
+            moved = np.where(total[:, None] > 0, means / np.where(total > 0, total, 1)[:, None], centres)
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
+        cost = float((weights * _nearest(points, centres)[1]).sum())
+        if cost < least:
+            best, least = centres, cost
+    return best
+
+
+def parallel_start(df: DataFrame, row_id: str, vector: str, k: int, seed: int = 0, rounds: int = 5, oversample: float = 2.0) -> np.ndarray:
+    """k centres for large k (k-means||): oversample * k candidates a round, then the weighted candidates are clustered on the driver.
+
+    rounds + 2 passes in all; careful_starts takes one for each centre. The driver holds 1 + rounds * oversample * k vectors.
+    """
+    points, weights = oversampled(df, row_id, vector, max(1, int(oversample * k)), rounds, seed)
+    # A candidate that repeats another has no rows of its own.
+    points, weights = points[weights > 0], weights[weights > 0]
+    return weighted_start(points, weights, k, seed) if len(points) > k else points
+
+
 def restarts(df: DataFrame, row_id: str, vector: str, k: int, seeds: Sequence[int], careful: bool = True, max_iter: int = 500) -> tuple[int, Clustering]:
     """The seed and clustering of least heterogeneity, the first of equals."""
     starts = careful_starts(df, row_id, vector, k, seeds) if careful else [random_start(df, row_id, vector, k, s) for s in seeds]
@@ -230,18 +334,39 @@ def heterogeneity_by_k(df: DataFrame, row_id: str, vector: str, ks: Sequence[int
 
 # ---------------------------------------------------------------- sparse rows
 
-def sparse_assign(bag: DataFrame, doc_id: str, centroids: DataFrame, value: str = "value") -> DataFrame:
+#: Bytes of a centroid table up to which it is broadcast; beyond, it is joined by term as a plain exchange, which Spark splits at common terms.
+BROADCAST_BYTES = 16 << 20
+
+
+def _sent(centroids: DataFrame, limit: int) -> DataFrame:
+    size = centroids.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0
+    return F.broadcast(centroids) if size <= limit else centroids.hint("merge")
+
+
+def sparse_assign(bag: DataFrame, doc_id: str, centroids: DataFrame, value: str = "value", k: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, cluster, squared_distance over a long table (doc_id, term, value) and centroids (cluster, term, value).
 
-    |x|^2 - 2 x.c + |c|^2: only the products of shared terms need a join. The norms of the centroids are
-    k rows; absent terms count as zero.
+    |x|^2 - 2 x.c + |c|^2. Only clusters that share a term with a row are joined with it; of the others, which lie
+    |x|^2 + |c|^2 away, the shortest is the nearest, and the k lengths are on hand in order. With k, clusters
+    without any term take part as zero vectors. Of equals the lowest cluster. Absent terms count as zero.
     """
-    sizes = centroids.groupBy("cluster").agg(F.sum(F.col(value) * F.col(value)).alias("cc"))
+    lengths = {r["cluster"]: r["cc"] for r in centroids.groupBy("cluster").agg(F.sum(F.col(value) * F.col(value)).alias("cc")).collect()}
+    lengths |= {c: 0.0 for c in range(k or 0) if c not in lengths}
+    listed = sorted((float(cc), c) for c, cc in lengths.items())
+    named = centroids.select("term", "cluster", F.col(value).alias("__c"))
+    products = bag.join(_sent(named, broadcast_bytes), "term").groupBy(doc_id, "cluster").agg(F.sum(F.col(value) * F.col("__c")).alias("xc"))
+    shared = products.groupBy(doc_id).agg(F.collect_list(F.struct("cluster", "xc")).alias("__shared"))
     own = bag.groupBy(doc_id).agg(F.sum(F.col(value) * F.col(value)).alias("xx"))
-    products = bag.join(centroids.select("cluster", "term", F.col(value).alias("__c")), "term").groupBy(doc_id, "cluster").agg(F.sum(F.col(value) * F.col("__c")).alias("xc"))
-    every = own.join(F.broadcast(sizes)).join(products, [doc_id, "cluster"], "left")
-    d = F.greatest(F.col("xx") - 2 * F.coalesce("xc", F.lit(0.0)) + F.col("cc"), F.lit(0.0))
-    best = every.groupBy(doc_id).agg(F.min(F.struct(d.alias("squared_distance"), F.col("cluster").alias("cluster"))).alias("b"))
+    # At most k products a row.
+    both = own.join(shared, doc_id, "left").withColumn("__shared", F.coalesce("__shared", F.array().cast(shared.schema["__shared"].dataType)))
+    kind = centroids.schema["cluster"].dataType.simpleString()
+    at = F.map_from_arrays(F.lit([c for _, c in listed]).cast(f"array<{kind}>"), F.lit([cc for cc, _ in listed]).cast("array<double>"))
+    candidate = lambda d, c: F.struct(F.greatest(d, F.lit(0.0)).alias("squared_distance"), c.alias("cluster"))
+    met = F.array_min(F.transform("__shared", lambda s: candidate(F.col("xx") - 2 * s["xc"] + F.element_at(at, s["cluster"]), s["cluster"])))
+    order = F.lit([c for _, c in listed]).cast(f"array<{kind}>")
+    first = F.get(F.filter(order, lambda c: ~F.exists("__shared", lambda s: s["cluster"] == c)), F.lit(0))
+    apart = F.when(first.isNotNull(), candidate(F.col("xx") + F.element_at(at, first), first))
+    best = both.select(doc_id, F.least(met, apart).alias("b"))
     return best.select(doc_id, "b.cluster", "b.squared_distance")
 
 
@@ -252,6 +377,64 @@ def sparse_revise(bag: DataFrame, doc_id: str, assigned: DataFrame, value: str =
     return sums.join(sizes, "cluster").select("cluster", "term", (F.col("s") / F.col("n")).alias(value))
 
 
+def sparse_rows(bag: DataFrame, doc_id: str, ids: Sequence, value: str = "value") -> DataFrame:
+    """The rows of the given ids as centroids (cluster, term, value), numbered in their order."""
+    kind = bag.schema[doc_id].dataType.simpleString()
+    at = F.map_from_arrays(F.lit(list(ids)).cast(f"array<{kind}>"), F.lit(list(range(len(ids)))).cast("array<int>"))
+    return bag.where(F.col(doc_id).isin(list(ids))).select(F.element_at(at, F.col(doc_id)).alias("cluster"), "term", value)
+
+
+def sparse_start(bag: DataFrame, doc_id: str, k: int, seed: int = 0, value: str = "value") -> DataFrame:
+    """k rows of a seeded shuffle as centroids."""
+    picked = bag.select(doc_id).distinct().where(F.col(doc_id).isNotNull()).orderBy(shuffle_key(doc_id, seed), doc_id).limit(k).collect()
+    return sparse_rows(bag, doc_id, [r[0] for r in picked], value)
+
+
+@dataclass
+class SparseClustering:
+    """centroids (cluster, term, value) and assigned (doc_id, cluster, squared_distance) are written tables."""
+
+    centroids: DataFrame
+    assigned: DataFrame
+    #: Sum of squared distances of each round, the last one to the final centroids.
+    history: list[float] = field(default_factory=list)
+    empty: list[int] = field(default_factory=list)
+
+    @property
+    def heterogeneity(self) -> float:
+        return self.history[-1]
+
+
+def sparse_lloyd(bag: DataFrame, doc_id: str, start: DataFrame, k: int, max_iter: int = 500, value: str = "value", broadcast_bytes: int = BROADCAST_BYTES) -> SparseClustering:
+    """Assign and revise long tables from the centroids start (cluster from 0 to k - 1, term, value) until the clusters keep their members, or max_iter times.
+
+    Rows, assignments and centroids stay tables, whatever the vocabulary; a round's centroids are written, so a lost
+    executor costs a round at most, and those of the round before are removed. Members are compared by an
+    order-free hash of each cluster: k rows a round reach the driver. A cluster without rows keeps its centroid.
+    """
+    rows = stored(bag.where(F.col(doc_id).isNotNull() & F.col("term").isNotNull()).select(doc_id, "term", F.col(value).cast("double").alias("value")), "rows")
+    centroids = stored(start.select(F.col("cluster").cast("int").alias("cluster"), "term", F.col(value).cast("double").alias("value")), "centroids")
+    history: list[float] = []
+    before, assigned, members, turn = None, None, {}, 0
+    while True:
+        discard(assigned)
+        assigned = stored(sparse_assign(rows, doc_id, centroids, k=k, broadcast_bytes=broadcast_bytes), "assigned")
+        told = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(doc_id)).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col(doc_id))).alias("b"), F.sum("squared_distance").alias("d")).collect()
+        history.append(float(sum(r["d"] for r in told)))
+        members = {r["cluster"]: (r["n"], r["a"], r["b"]) for r in told}
+        if members == before or turn == max_iter:
+            break
+        before, turn = members, turn + 1
+        means = sparse_revise(rows, doc_id, assigned)
+        kept = [c for c in range(k) if c not in members]
+        if kept:
+            means = means.unionByName(centroids.where(F.col("cluster").isin(kept)))
+        old, centroids = centroids, stored(means, "centroids")
+        discard(old)
+    discard(rows)
+    return SparseClustering(centroids, assigned, history, [c for c in range(k) if c not in members])
+
+
 def top_terms(centroids: DataFrame, k: int = 5, value: str = "value") -> DataFrame:
     """The k terms of the highest mean in each cluster."""
     order = W.partitionBy("cluster").orderBy(F.desc(value), "term")

@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import few_tasks
+from .reduce import collected, task_number, tasks_of
 
 #: Errors that differ by less count as equal.
 _EQUAL = 12
@@ -282,15 +282,16 @@ def _stump_sums(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump]) -> I
             found = np.stack([np.append(v @ x, v.sum()) for v in (up, down)])
             total = found if total is None else total + found
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.list_(pa.float64()))], ["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), *(pa.array([t], pa.list_(pa.float64())) for t in total)], ["part", "up", "down"])
 
 
 def _boosted_counts(data: DataFrame, stumps: Sequence[Stump]) -> dict | None:
     """The sums of a round, named as split_counts names them; None without rows."""
-    found = [r["sums"] for r in few_tasks(data).mapInArrow(lambda it: _stump_sums(it, stumps), "sums array<double>").collect()]
+    made = data.mapInArrow(lambda it: _stump_sums(it, stumps), "part int, up array<double>, down array<double>")
+    found = collected(made, (), ("up", "down"), tasks_of(data))
     if not found:
         return None
-    up, down = sum(np.array(v) for v in found[::2]), sum(np.array(v) for v in found[1::2])
+    up, down = found[()]
     return {"p": up[-1], "n": down[-1]} | {f"p{f}": v for f, v in enumerate(up[:-1])} | {f"n{f}": v for f, v in enumerate(down[:-1])}
 
 

@@ -487,6 +487,28 @@ def kmeans_restarts(spark, sf_dir):
     return spark.createDataFrame([(seed, best.heterogeneity)], "seed int, heterogeneity double").select("seed", rounded("heterogeneity"))
 
 
+def _oversampled_sql(seed: int, m: int, rounds: int) -> str:
+    """Tables o0 (the first candidate) and o1.. (those of each round): place, id and vector v."""
+    out = [f"o0 as materialized (select 0 as place, vec_id, v from e order by md5('{seed}:' || vec_id), vec_id limit 1)"]
+    for r in range(1, rounds + 1):
+        before = " union all ".join(f"select v as c from o{i}" for i in range(r))
+        u = f"((('0x' || substr(md5('{seed}:{r}:' || vec_id), 1, 13))::bigint + 0.5) / 4503599627370496.0::double)"
+        out.append(f"o{r} as materialized (select row_number() over (order by race, vec_id) + {(r - 1) * m} as place, vec_id, v from (select vec_id, v, -ln({u}) / d2 as race from (select vec_id, any_value(v) as v, min(list_distance(v, c)) ** 2 as d2 from e, ({before}) group by vec_id) where d2 > 0) order by place limit {m})")
+    return ", ".join(out)
+
+
+@query(f"""with {_E}, {_oversampled_sql(5, 20, 3)}, o as materialized ({' union all '.join(f'select * from o{r}' for r in range(4))}),
+    near as (select vec_id, arg_min(place, (d, place)) as place from (select e.vec_id, o.place, list_distance(e.v, o.v) as d from e, o) group by vec_id)
+    select o.place::int as place, o.vec_id, coalesce(n, 0)::bigint as size from o left join (select place, count(*) as n from near group by place) using (place)""")
+def kmeans_oversampled(spark, sf_dir):
+    """Candidate centres of three rounds of twenty over all vectors, and how many vectors are nearest to each."""
+    vectors = table(spark, sf_dir, "embeddings")
+    points, sizes = kmeans.oversampled(vectors, "vec_id", "embedding", 20, rounds=3, seed=5)
+    rows = spark.createDataFrame([(i, [float(x) for x in p], int(n)) for i, (p, n) in enumerate(zip(points, sizes, strict=True))], "place int, v array<double>, size bigint")
+    named = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rows.join(named.groupBy("v").agg(F.min("vec_id").alias("vec_id")), "v").select("place", "vec_id", "size")
+
+
 _KS = (2, 3, 5)
 
 

@@ -30,7 +30,7 @@ def _csv(spark, sf_dir) -> str:
 
 @query(f"select {_CSV_ROWS} from part")
 def csv_declared(spark, sf_dir):
-    return io.read_csv(spark, _csv(spark, sf_dir), _CSV_COLUMNS)
+    return io.read_csv(spark, _csv(spark, sf_dir), _CSV_COLUMNS, line_breaks=False)
 
 
 @query(f"select {_CSV_ROWS} from part")
@@ -48,12 +48,12 @@ def json_map(spark, sf_dir):
 @query("select o_orderkey, case when o_custkey % 5 < 3 then 'train' else 'validation' end as part from orders where o_custkey % 5 < 4")
 def index_file_split(spark, sf_dir):
     """Rows named by two JSON lists of customer keys."""
-    keys = [r[0] for r in table(spark, sf_dir, "orders").select("o_custkey").distinct().orderBy("o_custkey").collect()]
     orders, parts = table(spark, sf_dir, "orders"), []
+    keys = orders.select("o_custkey").distinct()
     for name, wanted in (("train", (0, 1, 2)), ("validation", (3,))):
         path = scratch(spark, f"{name}-json")
-        io.write_json(spark, [k for k in keys if k % 5 in wanted], path)
-        inside, _ = splits.index_split(orders, "o_custkey", io.read_json_list(spark, path))
+        io.write_json_lists(keys.where((F.col("o_custkey") % 5).isin(*wanted)), "o_custkey", path)
+        inside, _ = splits.index_split(orders, "o_custkey", io.read_json_list(spark, path, whole=False))
         parts.append(inside.select("o_orderkey", F.lit(name).alias("part")))
     return parts[0].unionByName(parts[1])
 
@@ -278,5 +278,5 @@ def normalised_rows(spark, sf_dir):
 
 @query(f"with {registry.TOKENS}, i as (select term, row_number() over (order by term) - 1 as term_id from (select distinct term from t)) select term_id, term from i where term_id % 10 = 0")
 def inverted_vocabulary(spark, sf_dir):
-    inverse = text.term_of(text.term_ids(registry.bag(spark, sf_dir)))
-    return spark.createDataFrame([(i, w) for i, w in inverse.items() if i % 10 == 0], "term_id bigint, term string")
+    inverse = text.inverted(text.term_ids(registry.bag(spark, sf_dir)))
+    return inverse.where("term_id % 10 = 0").select(F.col("term_id").cast("bigint").alias("term_id"), "term")

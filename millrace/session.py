@@ -58,15 +58,6 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tasks at most that send a partial sum to the driver.
-PARTIAL_SUMS = 4096
-
-
-def few_tasks(df: DataFrame) -> DataFrame:
-    """df in PARTIAL_SUMS partitions at most, without a shuffle: bounds what comes back from a pass that gives one row a task."""
-    return df.coalesce(PARTIAL_SUMS)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -77,11 +68,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, computed once and kept as Parquet in the shared folder: survives lost executors, and goes when the application ends."""
+    """The rows of df, computed once and kept as Parquet in the shared folder: survives lost executors, and goes with discard or when the application ends."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     gone_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of stored tables that nothing reads any more, such as those of a round that is over."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def gone_at_exit(spark: SparkSession, path: str) -> None:

@@ -23,12 +23,13 @@ def declared(columns: Mapping[str, str | type]) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t if isinstance(t, str) else t.__name__]) for n, t in columns.items()])
 
 
-def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str | type] | None = None) -> DataFrame:
-    """CSV with a header. Quoted fields may hold line breaks and doubled quotes. NaN becomes NULL.
+def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str | type] | None = None, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header. Quoted fields may hold doubled quotes and line breaks. NaN becomes NULL.
 
-    Without declared columns types are inferred, which reads the file twice.
+    A file whose fields may hold line breaks cannot be cut, so it is one task; with line_breaks=False large files
+    are read by many. Without declared columns types are inferred, which reads the file twice.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nanValue", "NaN")
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("nanValue", "NaN")
     df = reader.schema(declared(columns)).csv(path) if columns else reader.option("inferSchema", True).csv(path)
     fractions = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fractions}) if fractions else df
@@ -43,9 +44,15 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path)
 
 
-def read_json_list(spark: SparkSession, path: str, kind: str = "bigint", name: str = "value") -> DataFrame:
-    """One row for each element of a file that holds a JSON array."""
-    return _whole(spark, path).select(F.explode(F.from_json("value", f"array<{kind}>")).alias(name))
+def read_json_list(spark: SparkSession, path: str, kind: str = "bigint", name: str = "value", whole: bool = True) -> DataFrame:
+    """One row for each element of a file that holds a JSON array; with whole=False every line holds one, and lines are dealt to many tasks."""
+    rows = _whole(spark, path) if whole else spark.read.text(path)
+    return rows.select(F.explode(F.from_json("value", f"array<{kind}>")).alias(name))
+
+
+def write_json_lists(df: DataFrame, column: str, path: str) -> None:
+    """The values of a column as JSON arrays, one a line, written by all tasks: read again by read_json_list with whole=False."""
+    df.select(F.to_json(F.array(column)).alias("value")).write.text(path)
 
 
 def read_json_map(spark: SparkSession, path: str, kind: str = "bigint", key: str = "term", value: str = "term_id") -> DataFrame:
