@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.splits import value_rank
+
 
 def differs(column: str, value) -> Column:
     """True where the column is not the value, so also where it is null: the rule of data frames whose missing numbers differ from all."""
@@ -110,6 +112,20 @@ def one_hot(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]
     return df.withColumns(made).drop(*columns), list(made)
 
 
+def one_hot_sparse(df: DataFrame, row_id: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """row_id and ids (the numbers of the features that are set, in order) of each row, and the dictionary (feature, feature_id).
+
+    The dictionary is a table, numbered from 0 by one range exchange of the distinct values, so a column may have any number
+    of values and none comes to the driver. An array has as many entries as there are columns at most. row_id names
+    a row: rows that share one are one. Rows without any value have an empty array.
+    """
+    long = one_hot_long(df, row_id, columns).distinct()
+    dictionary = value_rank(long.select("feature").distinct(), ["feature"], "feature_id").withColumn("feature_id", F.col("feature_id").cast("int"))
+    ids = long.join(dictionary, "feature").groupBy(row_id).agg(F.sort_array(F.collect_list("feature_id")).alias("ids"))
+    every = df.select(row_id).distinct().join(ids, row_id, "left")
+    return every.select(row_id, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), dictionary
+
+
 def bin_edges(df: DataFrame, column: str, bins: int = 10) -> list[float]:
     """bins + 1 equal steps from the least to the greatest value."""
     ends = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()

@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,20 +69,21 @@ class Tree:
     def depth(self) -> int:
         return max((self.nodes[i].depth for i in self.reachable()), default=0)
 
-    def node_of(self, x: Column) -> Column:
-        """The node where a row ends, by as many steps as the tree is deep."""
+    def node_of(self, x: Column, sparse: bool = False) -> Column:
+        """The node where a row ends, by as many steps as the tree is deep. sparse: x lists the features that are set."""
         arrays = [F.lit([int(v if v is not None else -1) for v in vs]) for vs in zip(*((n.feature, n.left, n.right) for n in self.nodes), strict=True)]
 
         def step(node: Column, _: Column) -> Column:
             at = node + 1
             feature = F.element_at(arrays[0], at)
-            return F.when(feature < 0, node).when(F.element_at(x, F.greatest(feature + 1, F.lit(1))) == 0, F.element_at(arrays[1], at)).otherwise(F.element_at(arrays[2], at))
+            unset = ~F.array_contains(x, feature) if sparse else F.element_at(x, F.greatest(feature + 1, F.lit(1))) == 0
+            return F.when(feature < 0, node).when(unset, F.element_at(arrays[1], at)).otherwise(F.element_at(arrays[2], at))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(self.depth())), F.lit(0), step)
 
-    def predict(self, x: Column) -> Column:
+    def predict(self, x: Column, sparse: bool = False) -> Column:
         labels = F.lit([int(n.prediction if n.prediction is not None else 0) for n in self.nodes])
-        return F.element_at(labels, self.node_of(x) + 1)
+        return F.element_at(labels, self.node_of(x, sparse) + 1)
 
     def table(self, spark) -> DataFrame:
         paths = self.paths()
@@ -138,53 +139,149 @@ def best_split(counts, features: Sequence[int]) -> int | None:
     return best[1] if best else None
 
 
-def best_weighted_split(counts, features: Sequence[int]) -> int | None:
-    """Least weighted error; None if all features tie, which a single one always does."""
-    whole = counts["p"] + counts["n"]
-    errors = {}
+def _weighted_errors(counts, features: Sequence[int]) -> dict[int, float]:
+    whole, out = counts["p"] + counts["n"], {}
     for f in features:
         p1, n1 = counts[f"p{f}"], counts[f"n{f}"]
-        errors[f] = round((min(counts["p"] - p1, counts["n"] - n1) + min(p1, n1)) / whole if whole else 0.0, _EQUAL)
-    if len(set(errors.values())) < 2:
-        return None
-    return min(features, key=lambda f: errors[f])
+        out[f] = round((min(counts["p"] - p1, counts["n"] - n1) + min(p1, n1)) / whole if whole else 0.0, _EQUAL)
+    return out
+
+
+def best_weighted_split(counts, features: Sequence[int]) -> int | None:
+    """Least weighted error; None if all features tie, which a single one always does."""
+    errors = _weighted_errors(counts, features)
+    return None if len(set(errors.values())) < 2 else min(features, key=errors.__getitem__)
 
 
 def _close(node: Node, tie: int) -> None:
     node.prediction = 1 if node.positive > node.negative else -1 if node.positive < node.negative else tie
 
 
-def grow(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: int = 10, weight: Column | None = None, features: Sequence[int] | None = None) -> Tree:
-    """A tree over the feature array x and label y (+1 or -1), one job a level.
+class Counts:
+    """The sums of one node: p and n, and for each feature the weights of its +1 and -1 rows that have it set. Named as split_counts names them."""
+
+    def __init__(self, sums: np.ndarray):
+        self.rows, self.p, self.n = int(sums[0]), float(sums[1]), float(sums[2])
+        self.up, self.down = sums[3:].reshape(2, -1)
+
+    def __getitem__(self, name: str) -> float:
+        if len(name) == 1:
+            return getattr(self, name)
+        return float((self.up if name[0] == "p" else self.down)[int(name[1:])])
+
+    def mistakes(self, features: Sequence[int]) -> np.ndarray:
+        at = np.asarray(features, np.int64)
+        up, down = self.up[at], self.down[at]
+        return np.minimum(self.p - up, self.n - down) + np.minimum(up, down)
+
+
+def _chosen(counts: Counts, features: Sequence[int], weighted: bool) -> int | None:
+    """best_split or best_weighted_split over many features: only those within rounding of the fewest mistakes are compared one by one."""
+    wrong = counts.mistakes(features)
+    near = [features[i] for i in np.flatnonzero(wrong <= wrong.min() + 1e-10 * max(counts.p + counts.n, 1e-300)).tolist()]
+    if not weighted:
+        return best_split(counts, near)
+    # All tie if the least and the greatest do.
+    if best_weighted_split(counts, [features[int(wrong.argmin())], features[int(wrong.argmax())]]) is None:
+        return None
+    return min(near, key=_weighted_errors(counts, near).__getitem__)
 
-    A node becomes a leaf when it is pure (weighted: its relative error is at most 1e-15), when no
-    feature is left on its path, at the greatest depth, and when its best split leaves a side empty.
+
+#: Numbers of one task in a pass over a level: nodes times features. Wider levels take several passes.
+CELLS = 1 << 17
+
+
+def _walk(tree: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, at: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The node where each row stands; at gives, for a feature a row, whether it is set and whether it is null."""
+    feature, left, right = tree
+    node = np.zeros(n, np.int64)
+    while (asked := feature[node] >= 0).any():
+        on, unknown = at(np.maximum(feature[node], 0))
+        node = np.where(asked, np.where(on | unknown, right[node], left[node]), node)
+    return node
+
+
+def _level_sums(batches: Iterator[pa.RecordBatch], tree: tuple[np.ndarray, np.ndarray, np.ndarray], level: np.ndarray, width: int, sparse: bool) -> Iterator[pa.RecordBatch]:
+    """For the nodes of a level, a task's rows, weights of both classes, and those with each feature set."""
+    slots = np.full(len(tree[0]), -1, np.int64)
+    slots[level] = np.arange(len(level))
+    total = np.zeros((len(level), 3 + 2 * width))
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        positive, w = batch.column("y").to_numpy(zero_copy_only=False) == 1, batch.column("w").to_numpy(zero_copy_only=False)
+        lists = batch.column("x")
+        if sparse:
+            ids, row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            none = np.zeros(n, bool)
+            node = _walk(tree, n, lambda f, ids=ids, row=row, n=n, none=none: (np.bincount(row[ids == f[row]], minlength=n) > 0, none))
+        else:
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            on, unknown, every = (x != 0) & ~np.isnan(x), np.isnan(x), np.arange(n)
+            node = _walk(tree, n, lambda f, on=on, unknown=unknown, every=every: (on[every, f], unknown[every, f]))
+        slot = slots[node]
+        up, down = np.where(positive, w, 0.0), np.where(positive, 0.0, w)
+        mine = slot >= 0
+        for i, v in enumerate((np.ones(n), up, down)):
+            total[:, i] += np.bincount(slot[mine], v[mine], len(level))
+        for i, v in enumerate((up, down)):
+            part = total[:, 3 + i * width : 3 + (i + 1) * width]
+            if sparse:
+                own = mine[row]
+                part += np.bincount(slot[row[own]] * width + ids[own], v[row[own]], len(level) * width).reshape(len(level), width)
+            else:
+                for k in np.unique(slot[mine]).tolist():
+                    here = slot == k
+                    part[k] += v[here] @ on[here]
+    used = np.flatnonzero(total[:, 0])
+    yield pa.RecordBatch.from_arrays([pa.array(level[used].astype(np.int32)), pa.array(np.full(len(used), task_number(), np.int32)), pa.array(list(total[used]), pa.list_(pa.float64()))], ["node", "part", "sums"])
+
+
+def level_counts(data: DataFrame, tree: Tree, level: Sequence[int], width: int, sparse: bool, tasks: int) -> dict[int, Counts]:
+    """The sums of each node of a level that has rows, over prepared rows (x, y, w): histograms of all features in every task, added on the executors."""
+    whole = lambda v: -1 if v is None else v
+    arrays = tuple(np.array([whole(getattr(n, c)) for n in tree.nodes], np.int64) for c in ("feature", "left", "right"))
+    out: dict[int, Counts] = {}
+    most = max(1, CELLS // (2 * width + 3))
+    for i in range(0, len(level), most):
+        part = np.array(level[i : i + most], np.int64)
+        made = data.mapInArrow(lambda it, part=part: _level_sums(it, arrays, part, width, sparse), "node int, part int, sums array<double>")
+        out |= {node: Counts(sums) for (node,), (sums,) in collected(made, ("node",), ("sums",), tasks).items()}
+    return out
+
+
+def grow(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: int = 10, weight: Column | None = None, features: Sequence[int] | None = None, sparse: bool = False) -> Tree:
+    """A tree over the feature array x and label y (+1 or -1), one pass a level (several where a level is very wide).
+
+    x holds a 0/1 for each name, or with sparse=True the numbers of the features that are set. A node becomes a leaf when it is
+    pure (weighted: its relative error is at most 1e-15), when no feature is left on its path, at the greatest depth,
+    and when its best split leaves a side empty.
     """
     # Each level reads the feature array again, not what it was made from.
-    df = df.select(F.col(x).alias(x), F.col(y).alias(y), *([weight.alias("__weight")] if weight is not None else [])).persist()
+    kind = "int" if sparse else "double"
+    array = F.transform(x, lambda v: v.cast(kind))
+    data = df.where(F.col(y).isNotNull()).select(array.alias("x"), F.col(y).cast("int").alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w")).persist()
     try:
-        return _grown(df, x, y, names, max_depth, F.col("__weight") if weight is not None else None, features)
+        return _grown(data, names, max_depth, weight is not None, features, sparse)
     finally:
-        df.unpersist()
+        data.unpersist()
 
 
-def _grown(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: int, weight: Column | None, features: Sequence[int] | None) -> Tree:
-    weighted = weight is not None
+def _grown(data: DataFrame, names: Sequence[str], max_depth: int, weighted: bool, features: Sequence[int] | None, sparse: bool) -> Tree:
     tie = WEIGHTED_TIE if weighted else PLAIN_TIE
     tree = Tree(tuple(names), [Node(0)])
     own = {0: list(range(len(names)) if features is None else features)}
-    level = [0]
+    level, tasks = [0], tasks_of(data)
     while level:
-        wanted = sorted({f for i in level for f in own[i]})
-        node = tree.node_of(F.col(x)) if len(tree.nodes) > 1 else F.lit(0)
-        found = {r["node"]: r for r in split_counts(df.where(node.isin(level)) if len(tree.nodes) > 1 else df, x, y, wanted, node, weight)}
+        found = level_counts(data, tree, level, len(names), sparse, tasks)
         following = []
         for i in level:
             n, r = tree.nodes[i], found.get(i)
             n.positive, n.negative = (r["p"], r["n"]) if r else (0.0, 0.0)
             whole = n.positive + n.negative
             pure = min(n.positive, n.negative) <= (1e-15 * whole if weighted else 0)
-            choice = None if r is None or pure or not own[i] or n.depth >= max_depth else (best_weighted_split if weighted else best_split)(r, own[i])
+            choice = None if r is None or pure or not own[i] or n.depth >= max_depth else _chosen(r, own[i], weighted)
             if choice is not None:
                 on = r[f"p{choice}"] + r[f"n{choice}"]
                 if on == 0 or round(whole - on, _EQUAL) == 0:
@@ -198,6 +295,7 @@ def _grown(df: DataFrame, x: str, y: str, names: Sequence[str], max_depth: int,
                 own[len(tree.nodes)] = [f for f in own[i] if f != choice]
                 following.append(len(tree.nodes))
                 tree.nodes.append(Node(n.depth + 1, parent=i))
+            del own[i]
         level = following
     return tree
 
@@ -247,8 +345,8 @@ class Stump:
     coefficient: float
     error: float
 
-    def vote(self, x: Column) -> Column:
-        return F.when(x[self.feature] == 0, self.left).otherwise(self.right)
+    def vote(self, x: Column, sparse: bool = False) -> Column:
+        return F.when(~F.array_contains(x, self.feature) if sparse else x[self.feature] == 0, self.left).otherwise(self.right)
 
 
 def _weights(stumps: Sequence[Stump], x: Column, y: Column) -> Column:
@@ -266,55 +364,80 @@ def _bits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(batch.num_rows, -1) != 0, batch.column("y").to_numpy(zero_copy_only=False) == 1
 
 
-def _said(stumps: Sequence[Stump], x: np.ndarray) -> np.ndarray:
-    """The vote of each stump (a column) on each row."""
-    return np.stack([np.where(x[:, s.feature], s.right, s.left) for s in stumps], axis=1).astype(float) if stumps else np.zeros((len(x), 0))
+class _Voters:
+    """The rows of a batch, whose x holds a 0/1 for each feature or, if sparse, the numbers of those that are set."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int, sparse: bool):
+        self.n, self.width, self.sparse = batch.num_rows, width, sparse
+        if sparse:
+            lists = batch.column("x")
+            self.ids, self.row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
+            self.positive = batch.column("y").to_numpy(zero_copy_only=False) == 1
+        else:
+            self.x, self.positive = _bits(batch)
+
+    def said(self, stumps: Sequence[Stump]) -> np.ndarray:
+        """The vote of each stump (a column) on each row."""
+        if not stumps:
+            return np.zeros((self.n, 0))
+        if not self.sparse:
+            return np.stack([np.where(self.x[:, s.feature], s.right, s.left) for s in stumps], axis=1).astype(float)
+        # Each feature has one stump at most.
+        column = np.full(self.width, -1, np.int64)
+        column[[s.feature for s in stumps]] = np.arange(len(stumps))
+        out = np.tile(np.array([s.left for s in stumps], float), (self.n, 1))
+        own = column[self.ids]
+        out[self.row[own >= 0], own[own >= 0]] = np.array([s.right for s in stumps], float)[own[own >= 0]]
+        return out
+
+    def on(self, v: np.ndarray) -> np.ndarray:
+        """The values v of the rows that have each feature set, added."""
+        return np.bincount(self.ids, v[self.row], self.width) if self.sparse else v @ self.x
 
 
-def _stump_sums(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump]) -> Iterator[pa.RecordBatch]:
-    """Of a task's rows, weighted by the stumps so far: the weights of both classes, and those with each feature set."""
+def _stump_sums(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], width: int, sparse: bool) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows, weighted by the stumps so far: those rows, the weights of both classes, and those with each feature set."""
     total: np.ndarray | None = None
     for batch in batches:
         if batch.num_rows:
-            x, positive = _bits(batch)
-            w = np.exp(-np.where(positive, 1.0, -1.0) * (_said(stumps, x) @ np.array([s.coefficient for s in stumps], float)))
-            up, down = np.where(positive, w, 0.0), np.where(positive, 0.0, w)
-            found = np.stack([np.append(v @ x, v.sum()) for v in (up, down)])
+            rows = _Voters(batch, width, sparse)
+            w = np.exp(-np.where(rows.positive, 1.0, -1.0) * (rows.said(stumps) @ np.array([s.coefficient for s in stumps], float)))
+            up, down = np.where(rows.positive, w, 0.0), np.where(rows.positive, 0.0, w)
+            found = np.concatenate(([rows.n, up.sum(), down.sum()], rows.on(up), rows.on(down)))
             total = found if total is None else total + found
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), *(pa.array([t], pa.list_(pa.float64())) for t in total)], ["part", "up", "down"])
+        yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["part", "sums"])
 
 
-def _boosted_counts(data: DataFrame, stumps: Sequence[Stump]) -> dict | None:
-    """The sums of a round, named as split_counts names them; None without rows."""
-    made = data.mapInArrow(lambda it: _stump_sums(it, stumps), "part int, up array<double>, down array<double>")
-    found = collected(made, (), ("up", "down"), tasks_of(data))
-    if not found:
-        return None
-    up, down = found[()]
-    return {"p": up[-1], "n": down[-1]} | {f"p{f}": v for f, v in enumerate(up[:-1])} | {f"n{f}": v for f, v in enumerate(down[:-1])}
+def _boosted_counts(data: DataFrame, stumps: Sequence[Stump], width: int, sparse: bool, tasks: int) -> Counts | None:
+    """The sums of a round; None without rows."""
+    made = data.mapInArrow(lambda it: _stump_sums(it, stumps, width, sparse), "part int, sums array<double>")
+    found = collected(made, (), ("sums",), tasks)
+    return Counts(found[()][0]) if found else None
 
 
-def _voters(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.where(F.col(y).isNotNull()).select(F.transform(x, lambda b: b.cast("double")).alias("x"), F.col(y).cast("int").alias("y"))
+def _voters(df: DataFrame, x: str, y: str, sparse: bool = False) -> DataFrame:
+    kind = "int" if sparse else "double"
+    return df.where(F.col(y).isNotNull()).select(F.transform(x, lambda b: b.cast(kind)).alias("x"), F.col(y).cast("int").alias("y"))
 
 
-def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, exclude: Sequence[int] = (), least_error: float = 1e-10) -> list[Stump]:
+def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, exclude: Sequence[int] = (), least_error: float = 1e-10, sparse: bool = False) -> list[Stump]:
     """Boosted stumps, each feature used once; one job a round.
 
     Row weights are never stored: a round's are a function of the stumps so far, so nothing grows
     with the rounds and a lost executor loses nothing. The ensemble ends at a round whose stump cannot split.
-    The weighted error is held between least_error and 1 - least_error.
+    The weighted error is held between least_error and 1 - least_error. With sparse=True x holds the numbers of the features
+    that are set.
     """
     stumps: list[Stump] = []
-    data = _voters(df, x, y).persist()
-    left = [f for f in range(len(names)) if f not in set(exclude)]
+    data = _voters(df, x, y, sparse).persist()
+    left, tasks = [f for f in range(len(names)) if f not in set(exclude)], tasks_of(data)
     for _ in range(rounds):
-        r = _boosted_counts(data, tuple(stumps)) if left else None
+        r = _boosted_counts(data, tuple(stumps), len(names), sparse, tasks) if left else None
         if r is None:
             break
         whole = r["p"] + r["n"]
-        choice = None if min(r["p"], r["n"]) <= 1e-15 * whole else best_weighted_split(r, left)
+        choice = None if min(r["p"], r["n"]) <= 1e-15 * whole else _chosen(r, left, True)
         if choice is None:
             break
         p1, n1 = r[f"p{choice}"], r[f"n{choice}"]
@@ -329,27 +452,27 @@ def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, e
     return stumps
 
 
-def ensemble_predict(stumps: Sequence[Stump], x: Column, vote: str = "unweighted") -> Column:
+def ensemble_predict(stumps: Sequence[Stump], x: Column, vote: str = "unweighted", sparse: bool = False) -> Column:
     """+1 if the votes add up above 0, else -1. unweighted counts each stump alike, weighted by its coefficient."""
-    terms = [s.vote(x) * F.lit(s.coefficient if vote == "weighted" else 1.0) for s in stumps]
+    terms = [s.vote(x, sparse) * F.lit(s.coefficient if vote == "weighted" else 1.0) for s in stumps]
     return F.when(sum(terms[1:], terms[0]) > 0, 1).otherwise(-1) if terms else F.lit(-1)
 
 
-def _staged(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], scale: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _staged(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], scale: np.ndarray, width: int, sparse: bool) -> Iterator[pa.RecordBatch]:
     rows, wrong = 0, np.zeros(len(stumps), np.int64)
     for batch in batches:
         if batch.num_rows:
-            x, positive = _bits(batch)
-            wrong += ((np.cumsum(_said(stumps, x) * scale, axis=1) > 0) != positive[:, None]).sum(0)
+            voters = _Voters(batch, width, sparse)
+            wrong += ((np.cumsum(voters.said(stumps) * scale, axis=1) > 0) != voters.positive[:, None]).sum(0)
             rows += batch.num_rows
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(stumps) + 1, dtype=np.int32)), pa.array(wrong), pa.array(np.full(len(stumps), rows))], ["stage", "wrong", "rows"])
 
 
-def staged_error(df: DataFrame, stumps: Sequence[Stump], x: str, y: str, vote: str = "unweighted") -> DataFrame:
-    """stage and error of the first stage stumps, all from one pass: running sums of votes inside each Arrow batch."""
+def staged_error(df: DataFrame, stumps: Sequence[Stump], x: str, y: str, vote: str = "unweighted", sparse: bool = False, width: int = 0) -> DataFrame:
+    """stage and error of the first stage stumps, all from one pass: running sums of votes inside each Arrow batch. Sparse rows need the number of features."""
     scale = np.array([s.coefficient if vote == "weighted" else 1.0 for s in stumps])
-    counts = _voters(df, x, y).mapInArrow(lambda it: _staged(it, stumps, scale), "stage int, wrong bigint, rows bigint")
+    counts = _voters(df, x, y, sparse).mapInArrow(lambda it: _staged(it, stumps, scale, width, sparse), "stage int, wrong bigint, rows bigint")
     return counts.groupBy("stage").agg((F.sum("wrong") / F.sum("rows")).alias("error"))
 
 

@@ -573,4 +573,4 @@ def moving_average_loss(spark, sf_dir):
 
 
 # The other modules of queries register theirs with what stands above.
-from . import models, sparse, tables  # noqa: E402, F401
+from . import models, sparse, tables, wide  # noqa: E402, F401
