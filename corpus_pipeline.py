@@ -1,7 +1,9 @@
 """From raw documents to token ids: the stages of a training corpus, each written as Parquet and read again.
 
 Every stage but the last returns the columns of its input. Rows with a null doc_id pass all stages:
-they are judged where a text is enough, and never taken for near-duplicates of others.
+they are judged where a text is enough, and never taken for near-duplicates of others. Of rows equal in id
+and text one goes on past the near-duplicates, and reruns keep the same. Empty tables give empty tables, null texts
+count as empty, texts are taken whole however long, and columns of any other name pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ def _restored(df: DataFrame, docs: DataFrame, other: dict[str, str], **made) ->
     return df.select(*(made.get(c, F.col(other.get(c, c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
+def _settled(other: dict[str, str]):
+    """An order among rows of equal id and text that reruns repeat: by a hash of their other columns. Rows equal in all columns are interchangeable."""
+    return F.xxhash64(F.to_json(F.struct(*other.values()))) if other else F.lit(1)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those that fail the base rules, and anomalies of the isolation forest."""
     ready(spark)
@@ -42,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = safe.where("doc_id is not null")
     keys = {"__id": F.col("doc_id").cast("bigint"), "__text_key": neardup.text_key(F.col("text").cast("string"))}
     kept = neardup.near_duplicates(named).where("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
-    once = W.partitionBy(*keys).orderBy(F.lit(1))
+    once = W.partitionBy(*keys).orderBy(_settled(other))
     chosen = named.withColumns(keys).join(kept, list(keys)).withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row", *keys)
     return _restored(chosen.unionByName(safe.where("doc_id is null")), docs, other)
 
@@ -69,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source = F.col(other["source"]) if "source" in other else F.lit(None).cast("string")
     planned = mixing.plan(safe.select("doc_id", "text", source.alias("source"), *keys), schedules=mixing.tilted(), keep=tuple(keys))
     copies = planned.select(*keys, "size", F.explode("copies").alias("copy")).where("copy.words > 0 and 2 * copy.words >= size").select(*keys, F.col("copy.position").alias("__position"))
-    once = safe.withColumn("__row", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1)))).where("__row = 1").drop("__row")
+    once = safe.withColumn("__row", F.row_number().over(W.partitionBy(*keys).orderBy(_settled(other)))).where("__row = 1").drop("__row")
     placed = copies.join(once, list(keys))
     ordered = placed.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id")
     return _restored(ordered, docs, other)
@@ -83,7 +90,6 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-
 STAGES = [
     ("quality_rules", quality_rules),
     ("minhash_near_dedup", near_dedup),
