@@ -61,6 +61,18 @@ def test_near_dedup_of_one_id_with_several_texts(spark, docs, words):
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(5, a), (3, b + " end"), (9, d), (7, e), (8, c), (None, a), (None, a), (6, None), (6, "")])
 
 
+def test_which_of_equal_rows_stays_is_settled(spark, docs, words):
+    """Of rows equal in id and text but not in source, reruns and other partitions keep the same one, also with a map beside them."""
+    a, b = words(60, 1), words(60, 2)
+    rows = [(1, a, "en", f"s{i}") for i in range(8)] + [(2, b, "de", f"s{i}") for i in range(8)]
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.mix_sources):
+        kept = []
+        for made in (docs(rows).repartition(1), docs(rows[::-1]).repartition(5)):
+            beside = made.selectExpr("*", "map('k', source) as notes")
+            kept.append(sorted({(r["doc_id"], r["source"], r["notes"]["k"]) for r in stage(spark, beside, "").collect()}))
+        assert kept[0] == kept[1] and len({i for i, *_ in kept[0]}) == len(kept[0])
+
+
 def test_empty_tables(spark, docs, tmp_path):
     docs([]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
