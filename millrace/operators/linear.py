@@ -6,13 +6,16 @@ lasso, cross-validation over folds and penalties, and degree selection each read
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reduce import folded, task_number, tasks_of
+
 
 # ---------------------------------------------------------------- one variable
 
@@ -246,6 +249,74 @@ def select_degree(train: DataFrame, valid: DataFrame, x: str, y: str, degrees: S
     return [(d, b.subset(names(d)).rss(ols(a.subset(names(d))))) for d in degrees]
 
 
+# ---------------------------------------------------------------- least squares without products
+
+@dataclass(frozen=True)
+class Triangle:
+    """R of a QR decomposition of the columns [X y]: what least squares need, without the products that square the condition."""
+
+    names: tuple[str, ...]
+    n: int
+    r: np.ndarray
+
+    def fit(self, first: int | None = None) -> np.ndarray:
+        """Weights of the first columns (all by default): any leading part of the columns is solved from the one R. Of collinear columns the smallest after scaling to unit length."""
+        k = len(self.names) if first is None else first
+        scale = np.linalg.norm(self.r[:, :k], axis=0)
+        scale = np.where(scale > 0, scale, 1.0)
+        return np.linalg.lstsq(self.r[:, :k] / scale, self.r[:, -1], rcond=1e-14)[0] / scale
+
+    def rss(self, w: np.ndarray) -> float:
+        """Of the rows behind R, for weights of its first columns."""
+        return float(np.sum((self.r[:, : len(w)] @ w - self.r[:, -1]) ** 2))
+
+
+#: Rows of one block of a decomposition.
+_BLOCK = 4096
+
+
+def _squared_off(top: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """R of two stacked tables, with as many rows as columns."""
+    r = np.linalg.qr(np.vstack([top, rows]), mode="r")
+    return np.vstack([r, np.zeros((r.shape[1] - len(r), r.shape[1]))]) if len(r) < r.shape[1] else r
+
+
+def _triangles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    r, n = np.zeros((width, width)), 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, _BLOCK):
+            part = batch.slice(i, _BLOCK)
+            r = _squared_off(r, part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width))
+            n += part.num_rows
+    yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), pa.array([np.append(r.ravel(), n)], pa.list_(pa.float64()))], ["part", "r"])
+
+
+def triangle(df: DataFrame, features: Sequence[str] | dict[str, Column], y: str, constant: bool = True, tasks: int | None = None) -> Triangle:
+    """R of all rows in one pass: each task decomposes its rows block by block and keeps one small triangle, and the triangles are
+    stacked and decomposed again in a tree. Rows with a null feature or target take no part.
+
+    No products of columns are made, so what is lost to rounding goes with the condition of X, not with its square: raw powers to degree 15
+    are no trouble. tasks: how many partitions df has, where the caller knows it.
+    """
+    cols, target = _columns(features, constant), F.col(y).cast("double")
+    rows = df.where(_complete(cols, target)).select(F.array(*cols.values(), target).alias("x"))
+    width = len(cols) + 1
+
+    def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.append(_squared_off(a[:-1].reshape(width, width), b[:-1].reshape(width, width)).ravel(), a[-1] + b[-1])
+
+    made = rows.mapInArrow(lambda it: _triangles(it, width), "part int, r array<double>")
+    found = folded(made, "r", fold, tasks_of(rows) if tasks is None else tasks)
+    found = np.zeros(width * width + 1) if found is None else found
+    return Triangle(tuple(cols), int(found[-1]), found[:-1].reshape(width, width))
+
+
+def select_degree_of_powers(train: DataFrame, valid: DataFrame, x: str, y: str, degrees: Sequence[int] = range(1, 16)) -> list[tuple[int, float]]:
+    """Validation RSS of each polynomial degree on raw powers: one pass over each part gives the fits of all degrees."""
+    a, b = (triangle(df, powers(x, max(degrees)), y) for df in (train, valid))
+    return [(d, b.rss(a.fit(d + 1))) for d in degrees]
+
+
 def lasso_by_validation(train: Gram, valid: Gram, penalties: Sequence[float]) -> list[tuple[float, float, int]]:
     """(penalty, validation RSS, non-zero weights with the intercept)."""
     out = []

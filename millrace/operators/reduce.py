@@ -7,7 +7,7 @@ back and the scan keeps all its tasks. Both levels stream over sorted rows and h
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +89,32 @@ def collected(partials: DataFrame, keys: Sequence[str], sums: Sequence[str], tas
                 for t, x in zip(out[name], own, strict=True):
                     t += x
     return out
+
+
+def _folded(batches: Iterator[pa.RecordBatch], column: str, fold: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row for each slot: its arrays folded one after the other."""
+    held, total = None, None
+    told = lambda: pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["slot", column])
+    for batch in batches:
+        for i, slot in enumerate(batch.column("slot").to_pylist()):
+            own = batch.column(column)[i].values.to_numpy(zero_copy_only=False)
+            if slot != held:
+                if held is not None:
+                    yield told()
+                held, total = slot, own.copy()
+            else:
+                total = fold(total, own)
+    if held is not None:
+        yield told()
+
+
+def folded(partials: DataFrame, column: str, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], tasks: int) -> np.ndarray | None:
+    """What a fold that may be grouped at will makes of one array a task (part, column): beyond FAN tasks, groups of them are folded on the executors first."""
+    rows = partials.select(F.col("part").alias("slot"), column)
+    if tasks > FAN:
+        dealt = partials.select("part", F.pmod("part", F.lit(FAN)).cast("int").alias("slot"), column).repartition(FAN, "slot").sortWithinPartitions("slot", "part")
+        rows = dealt.select("slot", column).mapInArrow(lambda it: _folded(it, column, fold), f"slot int, `{column}` array<double>")
+    total = None
+    for _, own in sorted((r["slot"], r[column]) for r in rows.collect()):
+        total = np.array(own) if total is None else fold(total, np.array(own))
+    return total

@@ -226,14 +226,25 @@ def stump_text(spark, sf_dir):
 
 # ---------------------------------------------------------------- selection
 
-@query("""with recursive p as materialized (select p_size::double as x, p_retailprice as y, row_number() over (order by md5('0:' || p_partkey), p_partkey) > ceil(0.3 * count(*) over () - 1e-9) as tr from part),
+_DEGREES = """with recursive p as materialized (select p_size::double as x, p_retailprice as y, row_number() over (order by md5('0:' || p_partkey), p_partkey) > ceil(0.3 * count(*) over () - 1e-9) as tr from part),
     z as materialized (select (2 * x - min(x) over () - max(x) over ()) / (max(x) over () - min(x) over ()) as x, y, tr from p),
     r(d, x, y, tr, a, b, f) as (
         select 0, x, y, tr, 1.0::double, 0.0::double, (select avg(y) from z where tr) from z
         union all
         select d + 1, x, y, tr, nxt, a, f + nxt * sum(y * nxt) filter (tr) over () / sum(nxt * nxt) filter (tr) over ()
         from (select *, (x - sum(x * a * a) filter (tr) over () / sum(a * a) filter (tr) over ()) * a - case when d = 0 then 0.0 else b * sum(a * a) filter (tr) over () / sum(b * b) filter (tr) over () end as nxt from r where d < 15))
-    select d::int as degree, round(sum((y - f) ** 2) filter (not tr) / 1e6, 4) as validation_rss from r where d > 0 group by d""")
+    select d::int as degree, round(sum((y - f) ** 2) filter (not tr) / 1e6, 4) as validation_rss from r where d > 0 group by d"""
+
+
+@query(_DEGREES)
+def polynomial_degrees_of_powers(spark, sf_dir):
+    """The same from raw powers of 1 to 50, up to 50^15, by a decomposition without products."""
+    train, valid = splits.train_test_split(table(spark, sf_dir, "part"), "p_partkey", 0.3)
+    scores = spark.createDataFrame(linear.select_degree_of_powers(train, valid, "p_size", "p_retailprice"), "degree int, validation_rss double")
+    return scores.select("degree", F.round(F.col("validation_rss") / 1e6, 4).alias("validation_rss"))
+
+
+@query(_DEGREES)
 def polynomial_degree_selection(spark, sf_dir):
     train, valid = splits.train_test_split(table(spark, sf_dir, "part"), "p_partkey", 0.3)
     scores = spark.createDataFrame(linear.select_degree(train, valid, "p_size", "p_retailprice"), "degree int, validation_rss double")

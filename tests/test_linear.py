@@ -117,3 +117,48 @@ def test_feature_columns(spark):
     assert norms["v"] == pytest.approx(13**0.5) and norms["zero"] == 0
     assert features.drop_constant(df).columns == ["id", "v"]
     assert df.select(features.matrix("id", "zero").alias("m")).first()["m"] == [1.0, 1.0, 0.0]
+
+
+# ---------------------------------------------------------------- decompositions
+
+def solved_in_long_doubles(x, y):
+    """Least squares by Householder reflections on 80-bit numbers."""
+    a = np.concatenate((x, y[:, None]), axis=1).astype(np.longdouble)
+    k = x.shape[1]
+    for j in range(k):
+        v = a[j:, j].copy()
+        v[0] += np.sign(v[0] or 1) * np.sqrt((v * v).sum())
+        v /= np.sqrt((v * v).sum())
+        a[j:] -= 2 * np.outer(v, v @ a[j:])
+    w = np.zeros(k, np.longdouble)
+    for j in reversed(range(k)):
+        w[j] = (a[j, -1] - a[j, j + 1 : k] @ w[j + 1 :]) / a[j, j]
+    return w
+
+
+@pytest.mark.parametrize("parts", [1, 7, 100])
+def test_raw_powers_to_degree_15(spark, parts):
+    """Condition 1e27 unscaled: fits of every degree agree with an 80-bit solve, from one triangle."""
+    rng = np.random.default_rng(8)
+    x = rng.uniform(1, 50, 3000)
+    y = np.sin(x / 6) * 300 + x * 4 + rng.standard_normal(3000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (2.0, None)], "x double, y double").repartition(parts)
+    t = linear.triangle(df, linear.powers("x", 15), "y")
+    assert t.n == 3000
+    table = x[:, None] ** np.arange(16)
+    for degree in (1, 5, 10, 15):
+        w = solved_in_long_doubles(table[:, : degree + 1], y)
+        fitted = table[:, : degree + 1] @ t.fit(degree + 1)
+        exact = (table[:, : degree + 1].astype(np.longdouble) @ w).astype(float)
+        assert np.abs(fitted - exact).max() < 1e-5
+        assert t.rss(t.fit(degree + 1)) == pytest.approx(float(((y - exact) ** 2).sum()), rel=1e-7)
+
+
+def test_triangle_of_collinear_and_of_no_rows(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, 3.0 * i + 1) for i in range(20)], "a double, b double, y double")
+    t = linear.triangle(df, ["a", "b"], "y")
+    w = t.fit()
+    assert t.rss(w) == pytest.approx(0, abs=1e-16) and w[0] == pytest.approx(1) and w[1] + 2 * w[2] == pytest.approx(3)
+    assert w == pytest.approx(linear.ols(linear.gram(df, ["a", "b"], "y")), abs=1e-6)
+    none = linear.triangle(df.limit(0), ["a", "b"], "y")
+    assert none.n == 0 and none.fit().tolist() == [0, 0, 0]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import features
-from millrace.operators import trees
+from millrace.operators import neighbors, trees
 
 
 def rows_of(n, width, seed, nulls=False):
@@ -140,3 +140,37 @@ def test_one_hot_of_nothing(spark):
     assert dictionary.count() == 0 and [r["ids"] for r in ids.collect()] == [[], []]
     empty = trees.grow(df.limit(0).select(F.array().cast("array<int>").alias("x"), F.lit(1).alias("y")), "x", "y", [], sparse=True)
     assert empty.count_nodes() == 1
+
+
+# ---------------------------------------------------------------- neighbours by pivots
+
+@pytest.mark.parametrize("metric", ["manhattan", "euclidean"])
+@pytest.mark.parametrize("k, skip, rows", [(5, False, 4096), (3, True, 50), (700, False, 64)])
+def test_pivots_find_what_brute_force_finds(spark, monkeypatch, metric, k, skip, rows):
+    """Ties, repeated rows and ids, a hot vector, and more neighbours than there are."""
+    monkeypatch.setattr(neighbors, "CELL_ROWS", rows)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.standard_normal((500, 3)) * 4, 1).tolist() + [[1.0, 1.0, 1.0]] * 150
+    items = spark.createDataFrame([(i % 640, v) for i, v in enumerate(x)] + [(9999, None)], "id bigint, v array<double>")
+    queries = items.where("id % 9 = 0").dropDuplicates(["id"]).unionByName(spark.createDataFrame([(-1, [100.0, 0.0, 0.0])], "id bigint, v array<double>"))
+    args = (queries, "id", "v", items, "id", "v", k, metric, skip)
+    order = lambda df: sorted((r["id"], r["rank"], r["item_id"], r["distance"]) for r in df.collect())
+    assert order(neighbors.pivot_nearest(*args, pivots=16)) == order(neighbors.k_nearest(*args))
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "euclidean"])
+def test_pivots_take_few_distances(spark, metric):
+    rng = np.random.default_rng(7)
+    items = spark.createDataFrame([(i, v) for i, v in enumerate(rng.uniform(0, 100, (6000, 2)).tolist())], "id bigint, v array<double>")
+    queries = items.where("id % 10 = 0")
+    met = neighbors.pivot_met(queries, "id", "v", items, "id", "v", 5, metric)
+    looked = met.agg(F.sum("looked")).first()[0]
+    assert 600 * 5 < looked < 600 * 6000 / 20
+
+
+def test_pivots_without_rows(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, None)], "id bigint, v array<double>")
+    assert neighbors.pivot_nearest(df, "id", "v", df.limit(0), "id", "v", 3).collect() == []
+    assert neighbors.pivot_nearest(df.limit(0), "id", "v", df, "id", "v", 3).collect() == []
+    with pytest.raises(ValueError, match="triangle"):
+        neighbors.pivot_nearest(df, "id", "v", df, "id", "v", 3, metric="cosine")
