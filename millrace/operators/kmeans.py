@@ -338,11 +338,6 @@ def heterogeneity_by_k(df: DataFrame, row_id: str, vector: str, ks: Sequence[int
 BROADCAST_BYTES = 16 << 20
 
 
-def _sent(centroids: DataFrame, limit: int) -> DataFrame:
-    size = centroids.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0
-    return F.broadcast(centroids) if size <= limit else centroids.hint("merge")
-
-
 def sparse_assign(bag: DataFrame, doc_id: str, centroids: DataFrame, value: str = "value", k: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, cluster, squared_distance over a long table (doc_id, term, value) and centroids (cluster, term, value).
 
@@ -350,11 +345,13 @@ def sparse_assign(bag: DataFrame, doc_id: str, centroids: DataFrame, value: str
     |x|^2 + |c|^2 away, the shortest is the nearest, and the k lengths are on hand in order. With k, clusters
     without any term take part as zero vectors. Of equals the lowest cluster. Absent terms count as zero.
     """
-    lengths = {r["cluster"]: r["cc"] for r in centroids.groupBy("cluster").agg(F.sum(F.col(value) * F.col(value)).alias("cc")).collect()}
+    told = centroids.groupBy("cluster").agg(F.sum(F.col(value) * F.col(value)).alias("cc"), F.sum(F.octet_length("term") + 24).alias("bytes")).collect()
+    lengths = {r["cluster"]: r["cc"] for r in told}
     lengths |= {c: 0.0 for c in range(k or 0) if c not in lengths}
     listed = sorted((float(cc), c) for c, cc in lengths.items())
     named = centroids.select("term", "cluster", F.col(value).alias("__c"))
-    products = bag.join(_sent(named, broadcast_bytes), "term").groupBy(doc_id, "cluster").agg(F.sum(F.col(value) * F.col("__c")).alias("xc"))
+    sent = F.broadcast(named) if sum(r["bytes"] or 0 for r in told) <= broadcast_bytes else named.hint("merge")
+    products = bag.join(sent, "term").groupBy(doc_id, "cluster").agg(F.sum(F.col(value) * F.col("__c")).alias("xc"))
     shared = products.groupBy(doc_id).agg(F.collect_list(F.struct("cluster", "xc")).alias("__shared"))
     own = bag.groupBy(doc_id).agg(F.sum(F.col(value) * F.col(value)).alias("xx"))
     # At most k products a row.

@@ -127,6 +127,36 @@ def lasso_coordinate_descent(spark, sf_dir):
     return linear.weights_table(spark, g.names, w / length).select("feature", rounded("weight", 5))
 
 
+@query(_GRAM_SQL + """
+    r(i, w0, w1, w2, slope) as (select 0, 0.0::double, 0.0::double, 0.0::double, 'inf'::double union all
+        select i + 1, w0 - 0.2 / n * s0, w1 - 0.2 / n * s1, w2 - 0.2 / n * s2, sqrt(s0 * s0 + s1 * s1 + s2 * s2) / n
+        from (select r.*, n, -2 * (sy - n * w0 - sa * w1 - sb * w2) as s0, -2 * (ay - sa * w0 - aa * w1 - ab * w2) as s1, -2 * (b_y - sb * w0 - ab * w1 - bb * w2) as s2 from r, g where slope >= 1e-6 and i < 100000)),
+    e as (select * from r order by i desc limit 1)
+    select unnest(['constant', 'quantity', 'discount']) as feature, round(unnest([w0, w1, w2]), 6) as weight, i as steps from e""")
+def gd_least_squares_stopped(spark, sf_dir):
+    """Descent until the gradient, by row, is shorter than a millionth."""
+    g = _scaled_gram(spark, sf_dir)
+    w, steps = linear.gradient_descent(g, [0.0] * 3, 0.2 / g.n, tolerance=1e-6 * g.n)
+    return linear.weights_table(spark, g.names, w).select("feature", rounded("weight"), F.lit(steps).alias("steps"))
+
+
+@query(_GRAM_SQL + """
+    m as (select *, sqrt(n) as n0, sqrt(aa) as n1, sqrt(bb) as n2 from g),
+    k as (select sa / (n0 * n1) as c01, sb / (n0 * n2) as c02, ab / (n1 * n2) as c12, sy / n0 as y0, ay / n1 as y1, b_y / n2 as y2, 0.1 * sqrt(n) as half, n0, n1, n2 from m),
+    r(i, w0, w1, w2, most) as (select 0, 0.0::double, 0.0::double, 0.0::double, 'inf'::double union all
+        select i + 1, v0, v1, v2, greatest(abs(v0 - w0), abs(v1 - w1), abs(v2 - w2)) from (
+            select *, (select case when rho > half then rho - half when rho < -half then rho + half else 0.0 end from (select y2 - c02 * v0 - c12 * v1 as rho)) as v2 from (
+                select *, (select case when rho > half then rho - half when rho < -half then rho + half else 0.0 end from (select y1 - c01 * v0 - c12 * w2 as rho)) as v1
+                from (select r.*, k.*, y0 - c01 * w1 - c02 * w2 as v0 from r, k where most >= 1e-4 and i < 100000)))),
+    e as (select * from r, k order by i desc limit 1)
+    select unnest(['constant', 'quantity', 'discount']) as feature, round(unnest([w0 / n0, w1 / n1, w2 / n2]), 5) as weight, i as rounds from e""")
+def lasso_coordinate_descent_stopped(spark, sf_dir):
+    """Rounds until no weight of the scaled features moves by a ten-thousandth."""
+    g, length = linear.normalised(_scaled_gram(spark, sf_dir))
+    w, rounds = linear.lasso_cyclic(g, [0.0] * 3, penalty=0.2 * np.sqrt(g.n), tolerance=1e-4)
+    return linear.weights_table(spark, g.names, w / length).select("feature", rounded("weight", 5), F.lit(rounds).alias("rounds"))
+
+
 @query(f"select p_partkey, {', '.join(f'round((p_size / 50.0::double) ** {d}, 12) as power_{d}' for d in range(1, 16))} from part")
 def polynomial_columns(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("size"))
