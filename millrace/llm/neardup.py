@@ -17,8 +17,9 @@ and each round only looks at keys whose classes lie in different components so f
 2. a least spanning forest of the signature distances under each key: those links join nearly
    all that belongs together without listing the pairs of a large group;
 3. all pairs that are left between different components, so that no link is lost. Sets of up to SKETCH
-   shingles come along whole, and decide there and then; a pair with a larger set is passed on to be
-   judged by the full sets, whatever its size.
+   shingles come along whole, and decide there and then. Of larger ones the number of shingles in each of
+   CELLS classes of hashes comes along: what two sets share is at most the sum of the lesser numbers, so a pair that
+   falls short by that bound is no link for certain, and all others go on to be judged by the full sets.
 
 Keys of many classes are dealt out in square blocks. Defined results: null and blank texts have an empty
 set and are linked with nothing. Repeated rows (and other rows of equal sets) share a component. Rows of
@@ -48,8 +49,8 @@ SYMBOLS, CHUNK = 80, 4
 TOLERANCE = 2 * (SYMBOLS // CHUNK) - 1
 #: Classes of one key that a task compares with as many others.
 SQUARE = 4096
-#: Sets of up to so many shingles come along to the last round, which compares them inside its tasks.
-SKETCH = 256
+#: Sets of up to so many shingles come along to the last round, which compares them inside its tasks; larger ones as counts of so many classes of hashes.
+SKETCH, CELLS = 256, 2048
 
 #: Shingles signed at once.
 _AT_ONCE = 1 << 12
@@ -144,8 +145,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = text_bytes(batch.column("text"))
         for i, j in row_blocks(offs):
-            made = [s.tobytes() for s in _shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array(made, pa.binary())], ["id", "shingles"])
+            made = list(_shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+            whole, sketches = ([x.tobytes() for x in made], [(s if len(s) <= SKETCH else _cells(s)).tobytes() for s in made])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array(whole, pa.binary()), pa.array(sketches, pa.binary())], ["id", "shingles", "sketch"])
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    """How many hashes of a set lie in each class; 255 stands for that many and more."""
+    return np.minimum(np.bincount((shingles % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -162,7 +169,7 @@ def _wanted_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """id and shingles of the given classes, by the text that stands for each. Always joined by sorting, so the plan is alike at every size."""
     found = _texts(docs).join(classes.select("rep", F.col("least_id").alias("doc_id"), "text_key").hint("merge"), ["doc_id", "text_key"])
     # By the keys of the join, whose exchange serves for this too.
-    return found.dropDuplicates(["doc_id", "text_key"]).select("rep", "text").mapInArrow(_sets, "id bigint, shingles binary")
+    return found.dropDuplicates(["doc_id", "text_key"]).select("rep", "text").mapInArrow(_sets, "id bigint, shingles binary, sketch binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +207,7 @@ def _square(parts: list[pa.RecordBatch], percent: int, forest: bool, exact: bool
     if forest:
         a, b = _forest(rep, label, size, sig, percent)
     else:
-        sketches = None if exact else [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
+        sketches = None if exact else [np.frombuffer(x.as_buffer(), np.uint64 if n <= SKETCH else np.uint8) for x, n in zip(t.column("sketch").combine_chunks(), size.tolist(), strict=True)]
         a, b = _all_pairs(rep, label, size, sig, sketches, percent, number, np.flatnonzero(side == row), np.flatnonzero(side == col), row == col)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
@@ -240,18 +247,32 @@ def _forest(rep: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarra
     return rep[at[:, 0]], rep[at[:, 1]]
 
 
-def _may_link(p: np.ndarray, q: np.ndarray, sizes: tuple[int, int], percent: int) -> bool:
-    """Whether two sets are similar enough, where both are here; else it is left to the full sets."""
-    if len(p) != sizes[0] or len(q) != sizes[1]:
-        return True
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets are similar enough."""
     at = np.searchsorted(p, q)
     common = int((p[np.minimum(at, len(p) - 1)] == q).sum())
     return 100 * common >= percent * (len(p) + len(q) - common)
 
 
+def _may_link(i: int, others: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], cells: np.ndarray | None, percent: int) -> np.ndarray:
+    """Which of the others may be similar enough to i: exact between small sets, else by what they can share at most."""
+    out = np.ones(len(others), bool)
+    large = (size[others] > SKETCH) | (size[i] > SKETCH)
+    for k in np.flatnonzero(~large).tolist():
+        out[k] = _linked(sketches[i], sketches[others[k]], percent)
+    at = np.flatnonzero(large)
+    if len(at):
+        least = np.minimum(cells[others[at]], cells[i])
+        shared = least.sum(1, dtype=np.int64)
+        # A class that is full on both sides says nothing.
+        out[at] = (100 * shared >= percent * (size[others[at]] + size[i] - shared)) | (least == 255).any(1)
+    return out
+
+
 def _all_pairs(rep, label, size, sig, sketches: list[np.ndarray] | None, percent: int, number: int, left: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs between components; a pair belongs to the first of the keys it shares and is passed over elsewhere."""
     a_out, b_out = [], []
+    cells = np.stack([_cells(x) if n <= SKETCH else x for x, n in zip(sketches, size.tolist(), strict=True)]) if sketches is not None and (size > SKETCH).any() else None
     for i in left.tolist():
         others = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if diagonal else True) & _fits(size[right], size[i], percent)]
         if not len(others):
@@ -265,7 +286,7 @@ def _all_pairs(rep, label, size, sig, sketches: list[np.ndarray] | None, percent
         chunks = same.reshape(len(others), -1, CHUNK)
         agree = chunks.sum(2, keepdims=True) - chunks == CHUNK - 1
         own = others[agree.reshape(len(others), -1).argmax(1) == number]
-        own = own[[_may_link(sketches[i], sketches[j], (size[i], size[j]), percent) for j in own.tolist()]] if len(own) and sketches is not None else own
+        own = own[_may_link(i, own, size, sketches, cells, percent)] if len(own) and sketches is not None else own
         a_out.append(np.full(len(own), rep[i]))
         b_out.append(rep[own])
     empty = np.zeros(0, np.int64)
@@ -280,9 +301,7 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: Da
     known = classes.select("rep", "sig", "n_shingles")
     sketched = not forest and not exact
     if sketched:
-        # A set that is too large for it is an empty sketch.
-        whole = sets.where(F.octet_length("shingles") <= 8 * SKETCH).select(F.col("id").alias("rep"), F.col("shingles").alias("sketch"))
-        known = known.join(whole, "rep", "left").withColumn("sketch", F.coalesce("sketch", F.lit(b"")))
+        known = known.join(sets.select(F.col("id").alias("rep"), "sketch"), "rep")
     signed = rows.join(known, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
     signed = signed.select("key", "number", "rep", "label", "side", "n_shingles", "sig", *(["sketch"] if sketched else []), F.least("side", "other").alias("row"), F.greatest("side", "other").alias("col"))
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))

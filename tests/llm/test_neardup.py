@@ -114,12 +114,31 @@ def test_recall_of_long_near_copies(docs, words):
     assert out == want
 
 
-def test_large_sets_are_never_judged_by_a_part_of_them():
-    """Whatever the sketches hold, a pair with a set beyond SKETCH goes on to the full sets."""
-    p = np.arange(10, dtype=np.uint64)
-    none = np.zeros(0, np.uint64)
-    assert neardup._may_link(none, p, (900, 10), 75) and neardup._may_link(none, none, (900, 900), 75)
-    assert neardup._may_link(p, p, (10, 10), 75) and not neardup._may_link(p, p + np.uint64(5), (10, 10), 75)
+def test_bounds_of_large_sets_never_drop_a_link():
+    """Counts of classes rule out what cannot be a link, and nothing else, also between a small and a large set and with full classes."""
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for n in (240, 300, 1200, 6000, 60000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets = [np.unique(base)]
+        for share in (0.95, 0.87, 0.86, 0.855, 0.8, 0.7, 0.6):
+            m = int(n * share)
+            sets.append(np.unique(np.concatenate((base[:m], rng.integers(0, 1 << 63, n - m + n // 50).astype(np.uint64)))))
+        sets.append(np.arange(n, dtype=np.uint64) * np.uint64(neardup.CELLS))
+        sets.append(np.arange(n + n // 10, dtype=np.uint64) * np.uint64(neardup.CELLS))
+        size = np.array([len(s) for s in sets])
+        sketches = [s if len(s) <= neardup.SKETCH else neardup._cells(s) for s in sets]
+        cells = np.stack([neardup._cells(s) for s in sets])
+        for i in range(len(sets)):
+            others = np.array([j for j in range(len(sets)) if j != i])
+            may = neardup._may_link(i, others, size, sketches, cells, 75)
+            for j, ok in zip(others.tolist(), may.tolist(), strict=True):
+                linked = neardup._linked(sets[i], sets[j], 75)
+                assert ok or not linked
+                ruled_out += not ok
+                if n < 256 * 0.9:
+                    assert ok == linked
+    assert ruled_out > 150
 
 
 def test_one_id_with_different_texts(spark, docs, words):
