@@ -111,6 +111,28 @@ def test_words(spark):
     assert text.map_terms(text.as_maps(bag, "doc_id", "tf"), "doc_id").count() == 4 and text.within_vocabulary(bag, bag.where("term = 'c'")).count() == 1
 
 
+def test_bags_of_repeated_ids_nulls_and_many_rows(spark):
+    df = spark.createDataFrame([(1, "b a b"), (None, "a"), (2, None), (3, ""), (1, "a c"), (None, "a d")], "doc_id int, text string").repartition(4)
+    got = sorted(((r["doc_id"] or 0, r["term"], r["tf"]) for r in text.bag_of_words(df, "doc_id", text.split_words(F.col("text"))).collect()))
+    assert got == [(0, "a", 2), (0, "d", 1), (1, "a", 2), (1, "b", 2), (1, "c", 1)]
+    once = text.bag_of_words(df.where("doc_id > 1 or text = 'a c'"), "doc_id", text.split_words(F.col("text")))
+    assert "Exchange hashpartitioning" not in once._jdf.queryExecution().executedPlan().toString()
+    # Equal words in several documents of one batch stay apart.
+    many = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("x x y z"), F.col("id") % 3).alias("text"))
+    assert text.bag_of_words(many, "doc_id", text.split_words(F.col("text"))).groupBy("tf").count().orderBy("tf").collect() == [(1, 1000), (2, 500)]
+
+
+@pytest.mark.parametrize("room", [1 << 20, 60, 0])
+def test_only_rows_of_rare_terms_are_exchanged(spark, room):
+    """The vocabulary may exceed what is broadcast: its commonest terms still are."""
+    bag = spark.createDataFrame([(d, t, 1 + d % 2) for d in range(32) for t in ("all", f"pair{d // 2}", f"own{d}")], "doc_id int, term string, tf bigint")
+    got = {(r["doc_id"], r["term"]): r["value"] for r in text.tf_idf(bag, "doc_id", broadcast_bytes=room).collect()}
+    df = {"all": 32, "pair": 2, "own": 1}
+    assert len(got) == 96 and all(v == pytest.approx((1 + d % 2) * math.log(32 / df[t.rstrip("0123456789")])) for (d, t), v in got.items())
+    plan = text.with_df(session.stored(bag, "bag"), session.stored(text.vocabulary(bag).select("term", "df"), "vocabulary"), room)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("rightHint=(strategy=merge)" in plan, "LeftAnti" in plan) == ((False, False) if room > 60 else (True, True))
+
+
 def test_encodings(spark):
     df = spark.createDataFrame([(1, "x", 0.0), (2, "y", 5.0), (3, None, 10.0)], "id int, c string, v double")
     wide, names = features.one_hot(df, ["c"])
