@@ -93,6 +93,25 @@ def test_nearest_of_odd_rows(spark):
         assert sparse.sparse_nearest(q, "id", i, "id", 3).collect() == []
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_in_small_blocks(spark, monkeypatch, metric):
+    """Several turns, blocks and pieces of products; no exchange holds pairs of queries and items."""
+    for name, size in (("BLOCK_TERMS", 40), ("BLOCK_QUERIES", 5), ("BLOCK_ITEMS", 7), ("DENSE_TERMS", 2), ("_AT_ONCE", 9)):
+        monkeypatch.setattr(sparse, name, size)
+    items = made(120, 40, 9)
+    queries = {i: x for i, x in items.items() if i % 3 == 0}
+    got, want = found(sparse.sparse_nearest(table(spark, queries), "id", table(spark, items), "id", 4, metric)), brute(queries, items, 4, metric)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_tasks_pass_on_k_rows_a_query(spark):
+    """All pairs share a term and tie; the table of pairs has 90,000 rows."""
+    items = table(spark, {i: {"the": 1.0, f"a{i % 2}": 1.0} for i in range(300)})
+    made_of = sparse._block_nearest(items, "id", items, "id", 2, "cosine", "value", True)
+    assert [r["item"] for r in made_of.where("q = 4").orderBy("rank").collect()] == [0, 2]
+    assert " Join " not in made_of._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
 # ---------------------------------------------------------------- hashing
 
 def code_of(row, bits, seed):
