@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Partial vectors of one key that are added by one task, or that the driver takes without help.
 FAN = 64
+#: Numbers of all keys of a task up to which the driver takes up to FAN tasks without help.
+FEW = 1 << 12
 
 
 def task_number() -> int:
@@ -55,14 +57,15 @@ def _added(batches: Iterator[pa.RecordBatch], keys: Sequence[str], sums: Sequenc
         yield told()
 
 
-def added(partials: DataFrame, keys: Sequence[str], sums: Sequence[str], tasks: int) -> DataFrame:
+def added(partials: DataFrame, keys: Sequence[str], sums: Sequence[str], tasks: int, width: int = 0) -> DataFrame:
     """One row for each value of the keys, with the arrays named by sums added element by element.
 
     partials has the keys, `part` (the number of the task) and the arrays. With up to FAN tasks it comes back as
-    it is, without part, and the caller adds the few rows of a key. The order of addition is fixed, so reruns agree.
+    it is, without part, and the caller adds the few rows of a key. Where a task sends more than FEW numbers (width),
+    two tasks are enough to be added here. The order of addition is fixed, so reruns agree.
     """
     keys, sums = list(keys), list(sums)
-    if tasks <= FAN:
+    if tasks <= (FAN if width <= FEW else 1):
         return partials.select(*keys, *sums)
     fields = {f.name: f.dataType.simpleString() for f in partials.schema.fields}
     schema = lambda names: ", ".join(f"`{c}` {fields[c]}" for c in names)
@@ -74,10 +77,10 @@ def added(partials: DataFrame, keys: Sequence[str], sums: Sequence[str], tasks:
     return last.select(*keys, *sums).mapInArrow(lambda it: _added(it, keys, sums), schema([*keys, *sums]))
 
 
-def collected(partials: DataFrame, keys: Sequence[str], sums: Sequence[str], tasks: int) -> dict[tuple, list[np.ndarray]]:
+def collected(partials: DataFrame, keys: Sequence[str], sums: Sequence[str], tasks: int, width: int = 0) -> dict[tuple, list[np.ndarray]]:
     """The sums of every key on the driver, in the order of sums."""
     out: dict[tuple, list[np.ndarray]] = {}
-    rows = added(partials, keys, sums, tasks).toArrow()
+    rows = added(partials, keys, sums, tasks, width).toArrow()
     names = list(zip(*(rows.column(c).to_pylist() for c in keys), strict=True)) if keys else [()] * rows.num_rows
     columns = [rows.column(c) for c in sums]
     for i, name in enumerate(names):

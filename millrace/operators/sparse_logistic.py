@@ -99,7 +99,7 @@ class Objective:
         self.passes += 1
         sent = self.rows.sparkSession.sparkContext.broadcast(w)
         made = self.rows.mapInArrow(lambda it: _losses(it, sent.value), "piece int, part int, sums array<double>")
-        found = collected(made, ("piece",), ("sums",), self.tasks)
+        found = collected(made, ("piece",), ("sums",), self.tasks, self.size)
         sent.destroy()
         loss = found.pop((-1,), [np.zeros(2)])[0][0]
         grad = np.concatenate([found[k][0] for k in sorted(found)]) if found else np.zeros(self.size)

@@ -319,6 +319,14 @@ def test_ten_thousand_partitions_send_one_row_a_model(spark):
         assert r["sums"] == [float(sum(own)), float(len(own))] and r["whole"] == [sum(own)]
 
 
+def test_long_sums_of_few_tasks_are_added_on_the_executors(spark):
+    """Seven tasks of 5,000 numbers: one row of the sum comes back, not seven."""
+    parts = spark.range(7).select(F.lit(0).alias("piece"), F.col("id").cast("int").alias("part"), F.sequence(F.lit(1), F.lit(5000)).cast("array<double>").alias("sums"))
+    long, short = (reduce.added(parts, ["piece"], ["sums"], 7, width) for width in (5000, 10))
+    assert (long.count(), short.count()) == (1, 7)
+    assert reduce.collected(parts, ("piece",), ("sums",), 7, 5000)[0,][0].tolist() == [7.0 * i for i in range(1, 5001)]
+
+
 def test_sums_are_the_same_in_one_level_and_two(spark):
     rng = np.random.default_rng(2)
     rows = [(int(m), p, rng.random(3).tolist()) for m in range(3) for p in range(200)]
