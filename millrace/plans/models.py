@@ -425,18 +425,22 @@ def likelihood_forms(spark, sf_dir):
     return spark.createDataFrame([tuple(found)], ", ".join(f"{k} double" for k in forms)).select(*(rounded(k, d) for k, (_, _, d) in forms.items()))
 
 
+#: All files that are there make one micro-batch.
+_ALL_FILES = (1 << 31) - 1
+
+
 @query(f"""with {registry.LABELLED}, one as (select 0.5 * avg(e) as w0, 0.5 * avg(e * a) as w1, 0.5 * avg(e * b) as w2 from (select a, b, (y = 1)::int - 0.5 as e from d where doc_id % 2 = 0)),
     two as (select any_value(w0) + 0.5 * avg(e) as w0, any_value(w1) + 0.5 * (avg(e * a) - 0.02 * any_value(w1)) as w1, any_value(w2) + 0.5 * (avg(e * b) - 0.02 * any_value(w2)) as w2 from (select w0, w1, w2, a, b, (y = 1)::int - {_P} as e from d, one where doc_id % 2 = 1))
     select feature, round(w, 9) as weight from (select unnest(['constant', 'length', 'marks']) as feature, unnest([w0, w1, w2]) as w from two)""".replace("- 0.02 * any_value(w1))", "- 0.02 * any_value(w1) / (select count(*) from d where doc_id % 2 = 1))").replace("- 0.02 * any_value(w2))", "- 0.02 * any_value(w2) / (select count(*) from d where doc_id % 2 = 1))"))
 def online_logistic(spark, sf_dir):
-    """A stream of two files, replayed one a micro-batch, each a step of the trainer."""
+    """A stream of two halves, replayed one a micro-batch, each a step of the trainer. A half is as many files as its tasks write."""
     rows, path = registry.labelled(spark, sf_dir), scratch(spark, "replay")
     trainer = online.OnlineLogistic(spark, features.matrix("a", "b"), "y", 3, step=0.5, penalty=0.01, store=scratch(spark, "trainer"))
     checkpoint = scratch(spark, "replay-state")
     for turn in (0, 1):
         # The stream goes on from its checkpoint, and the trainer from its weights.
-        rows.where(F.col("doc_id") % 2 == turn).coalesce(1).write.mode("append").parquet(path)
-        trainer.run(online.replay(spark, path, "doc_id bigint, y int, a double, b double"), checkpoint)
+        rows.where(F.col("doc_id") % 2 == turn).write.mode("append").parquet(path)
+        trainer.run(online.replay(spark, path, "doc_id bigint, y int, a double, b double", files_per_batch=_ALL_FILES), checkpoint)
     return linear.weights_table(spark, ["constant", "length", "marks"], trainer.weights).select("feature", rounded("weight", 9))
 
 
