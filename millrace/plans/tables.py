@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features, text
 from ..operators import linear, metrics, splits, trees
-from ..session import scratch, table
+from ..session import scratch, stored, table
 from ..sources import io
 from . import registry
 from .registry import query, rounded
@@ -257,7 +257,8 @@ def fixed_vocabulary_counts(spark, sf_dir):
 @query(f"with {registry.TOKENS}, b as (select doc_id, term, count(*) as tf from t group by all) select doc_id, count(*)::int as n_terms, sum(tf)::bigint as total, coalesce(max(tf) filter (term = 'the'), 0)::double as the, coalesce(max(tf) filter (term = 'und'), 0)::double as und from b group by doc_id")
 def row_maps(spark, sf_dir):
     """A row's terms as a map, taken apart again, and as a sparse row of two given terms."""
-    maps = text.as_maps(registry.bag(spark, sf_dir), "doc_id", "tf")
+    # Written once: the maps are taken apart, and looked up.
+    maps = stored(text.as_maps(registry.bag(spark, sf_dir), "doc_id", "tf"), "maps")
     values = text.sparse_row(F.col("terms"), ["the", "und"])
     lines = text.map_terms(maps, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_terms"), F.sum("value").alias("total"))
     return lines.join(maps.select("doc_id", values[0].alias("the"), values[1].alias("und")), "doc_id")
