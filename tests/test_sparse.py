@@ -369,3 +369,23 @@ def test_bins_of_sparse_codes(spark):
     rows = made(80, 30, 2)
     got = {r["code"]: r["size"] for r in neighbors.bins(sparse.sparse_codes(table(spark, rows), "id", 4), "id").collect()}
     assert sum(got.values()) == len(rows)
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 12])
+def test_sparse_lloyd_joins_no_rows_in_its_rounds(spark, monkeypatch, cells):
+    """Rows are packed once, and a round is one pass; terms beyond the dense ones, zeros and emptied clusters count like others."""
+    monkeypatch.setattr(kmeans, "DENSE_CELLS", cells)
+    monkeypatch.setattr(kmeans, "sparse_assign", lambda *a, **b: pytest.fail("rows were joined"))
+    rows = made(120, 25, 9)
+    for i in rows:
+        rows[i]["zero"] = 0.0
+    starts = [dict(rows[i]) for i in (0, 1, 2, 1)] + [{"nobody": 900.0}]
+    start = spark.createDataFrame([(k, t, v) for k, c in enumerate(starts) for t, v in c.items()], "cluster int, term string, value double")
+    got = kmeans.sparse_lloyd(table(spark, rows), "id", start, 5)
+    centres, own, history = lloyd(rows, [dict(c) for c in starts])
+    assert {r["id"]: r["cluster"] for r in got.assigned.collect()} == {i: k for i, (_, k) in own.items()}
+    made_of = defaultdict(dict)
+    for r in got.centroids.collect():
+        made_of[r["cluster"]][r["term"]] = r["value"]
+    assert {k: pytest.approx(c) for k, c in enumerate(centres)} == dict(made_of)
+    assert got.history == pytest.approx(history) and set(got.empty) == set(range(5)) - {k for _, k in own.values()}
