@@ -365,10 +365,11 @@ def _bits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Voters:
-    """The rows of a batch, whose x holds a 0/1 for each feature or, if sparse, the numbers of those that are set."""
+    """Some kinds of rows: x, which holds a 0/1 for each feature or, if sparse, the numbers of those that are set, the label, and how many rows are alike."""
 
     def __init__(self, batch: pa.RecordBatch, width: int, sparse: bool):
         self.n, self.width, self.sparse = batch.num_rows, width, sparse
+        self.alike = batch.column("alike").to_numpy(zero_copy_only=False)
         if sparse:
             lists = batch.column("x")
             self.ids, self.row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
@@ -390,6 +391,14 @@ class _Voters:
         out[self.row[own >= 0], own[own >= 0]] = np.array([s.right for s in stumps], float)[own[own >= 0]]
         return out
 
+    def score(self, stumps: Sequence[Stump]) -> np.ndarray:
+        """The weighted votes of all stumps on each row: what every row would have with no feature set, and what each of its features changes."""
+        turns, unset = np.zeros(self.width if self.sparse else self.x.shape[1]), 0.0
+        for s in stumps:
+            unset += s.coefficient * s.left
+            turns[s.feature] += s.coefficient * (s.right - s.left)
+        return unset + (np.bincount(self.row, turns[self.ids], self.n) if self.sparse else self.x @ turns)
+
     def on(self, v: np.ndarray) -> np.ndarray:
         """The values v of the rows that have each feature set, added."""
         return np.bincount(self.ids, v[self.row], self.width) if self.sparse else v @ self.x
@@ -401,9 +410,9 @@ def _stump_sums(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], widt
     for batch in batches:
         if batch.num_rows:
             rows = _Voters(batch, width, sparse)
-            w = np.exp(-np.where(rows.positive, 1.0, -1.0) * (rows.said(stumps) @ np.array([s.coefficient for s in stumps], float)))
+            w = rows.alike * np.exp(-np.where(rows.positive, 1.0, -1.0) * rows.score(stumps))
             up, down = np.where(rows.positive, w, 0.0), np.where(rows.positive, 0.0, w)
-            found = np.concatenate(([rows.n, up.sum(), down.sum()], rows.on(up), rows.on(down)))
+            found = np.concatenate(([rows.alike.sum(), up.sum(), down.sum()], rows.on(up), rows.on(down)))
             total = found if total is None else total + found
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["part", "sums"])
@@ -417,15 +426,17 @@ def _boosted_counts(data: DataFrame, stumps: Sequence[Stump], width: int, sparse
 
 
 def _voters(df: DataFrame, x: str, y: str, sparse: bool = False) -> DataFrame:
+    """x and y of each kind of rows, and how many rows are alike: they have the same weight and votes in every round."""
     kind = "int" if sparse else "double"
-    return df.where(F.col(y).isNotNull()).select(F.transform(x, lambda b: b.cast(kind)).alias("x"), F.col(y).cast("int").alias("y"))
+    rows = df.where(F.col(y).isNotNull()).select(F.transform(x, lambda b: b.cast(kind)).alias("x"), F.col(y).cast("int").alias("y"))
+    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("alike"))
 
 
 def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, exclude: Sequence[int] = (), least_error: float = 1e-10, sparse: bool = False) -> list[Stump]:
     """Boosted stumps, each feature used once; one job a round.
 
-    Row weights are never stored: a round's are a function of the stumps so far, so nothing grows
-    with the rounds and a lost executor loses nothing. The ensemble ends at a round whose stump cannot split.
+    Rows that are alike are counted once, and a round reads each kind of rows. Row weights are never stored: a round's are a
+    function of the stumps so far, so nothing grows with the rounds and a lost executor loses nothing. The ensemble ends at a round whose stump cannot split.
     The weighted error is held between least_error and 1 - least_error. With sparse=True x holds the numbers of the features
     that are set.
     """
@@ -463,8 +474,8 @@ def _staged(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], scale: n
     for batch in batches:
         if batch.num_rows:
             voters = _Voters(batch, width, sparse)
-            wrong += ((np.cumsum(voters.said(stumps) * scale, axis=1) > 0) != voters.positive[:, None]).sum(0)
-            rows += batch.num_rows
+            wrong += voters.alike @ ((np.cumsum(voters.said(stumps) * scale, axis=1) > 0) != voters.positive[:, None])
+            rows += int(voters.alike.sum())
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(stumps) + 1, dtype=np.int32)), pa.array(wrong), pa.array(np.full(len(stumps), rows))], ["stage", "wrong", "rows"])
 

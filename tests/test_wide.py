@@ -117,6 +117,23 @@ def test_long_ensembles(spark):
         assert [said[i] for i in range(500)] == np.where(votes[rounds - 1] > 0, 1, -1).tolist()
 
 
+def test_boosting_counts_rows_that_are_alike_once(spark, monkeypatch):
+    """3,000 rows of 40 kinds: the rounds and the stages read kinds, and agree with loops over all rows."""
+    x, y = rows_of(20, 6, 5)
+    x, y = np.tile(np.array(x), (150, 1)), np.where(np.arange(3000) % 7 < 2, -1, 1) * np.tile(np.array(y), 150)
+    want = boosted_by_loops(x.tolist(), y.tolist(), 6)
+    votes = np.cumsum([np.where(x[:, f] != 0, r, l) for f, l, r, _ in want], axis=0)
+    read = []
+    real = trees._voters
+    monkeypatch.setattr(trees, "_voters", lambda *a: read.append(made := real(*a)) or made)
+    for df, sparse in zip(tables(spark, x.tolist(), y.tolist()), (False, True), strict=True):
+        stumps = trees.adaboost(df, "x", "y", list("abcdef"), 6, sparse=sparse)
+        assert [(s.feature, s.left, s.right) for s in stumps] == [v[:3] for v in want] and want
+        errors = {r["stage"]: r["error"] for r in trees.staged_error(df, stumps, "x", "y", sparse=sparse, width=6).collect()}
+        assert [errors[t + 1] for t in range(len(want))] == pytest.approx([(np.where(v > 0, 1, -1) != y).mean() for v in votes])
+    assert len(read) == 4 and all(made.count() <= 40 for made in read)
+
+
 def test_one_hot_of_many_values(spark, monkeypatch):
     """A column of 100,000 values: numbered without a value on the driver."""
     df = spark.range(100_000).select("id", F.concat(F.lit("v"), F.col("id")).alias("many"), F.when(F.col("id") % 3 == 1, F.lit("x")).alias("few"))
