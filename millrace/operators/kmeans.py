@@ -10,12 +10,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.distance import squared
-from ..functions.text import with_df
+from ..functions.text import common_terms_of, with_df
 from ..session import discard, stored
 from .reduce import collected, task_number, tasks_of
 from .splits import shuffle_key, value_rank
@@ -582,6 +583,111 @@ def _table_lloyd(rows: DataFrame, doc_id: str, centroids: DataFrame, k: int, max
     return SparseClustering(centroids, assigned, history, [c for c in range(k) if c not in members])
 
 
+# ---------------------------------------------------------------- one step over counts
+
+class _Nearest:
+    """Centroids that are TF-IDF rows of a few documents: their terms, the weights of these, and one row of values a centroid."""
+
+    def __init__(self, terms: pa.Array, weights: np.ndarray, values: np.ndarray):
+        self.terms, self.weights, self.values = terms, weights, values
+        self.lengths = (values * values).sum(1)
+
+    def own(self, m: int, row: np.ndarray, words: pa.DictionaryArray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid c of each of m rows x, the lowest of equals, and |c|^2 - 2 x.c. What |x|^2 adds is the same for all, so rows are placed without it."""
+        at = pc.index_in(words.dictionary, value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)[words.indices.to_numpy(zero_copy_only=False)]
+        met = np.flatnonzero(at >= 0)
+        row, at = row[met], at[met]
+        x = tf[met] * self.weights[at]
+        far = self.lengths - 2 * np.stack([np.bincount(row, x * c[at], m) for c in self.values], axis=1)
+        own = far.argmin(1)
+        return own, far[np.arange(m), own]
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray, np.ndarray]]:
+    """Rows of counts, about HELD entries at a time so that look-ups in a vocabulary are few, and their entries: row, term and number."""
+    held, waiting = [], 0
+
+    def told() -> tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray, np.ndarray]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lists = whole.column("terms")
+        row = np.repeat(np.arange(whole.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        return whole, row, lists.flatten().dictionary_encode(), whole.column("tfs").flatten().to_numpy(zero_copy_only=False)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            waiting += len(batch.column("tfs").flatten())
+        if waiting >= HELD:
+            yield told()
+            held, waiting = [], 0
+    if held:
+        yield told()
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch], centres: _Nearest | None) -> Iterator[pa.RecordBatch]:
+    """How many rows have each term; with centroids, how often the rows of each cluster have it. A term comes back once for about HELD entries."""
+    for batch, row, words, tf in _words(batches):
+        kinds, index = len(words.dictionary), words.indices.to_numpy(zero_copy_only=False)
+        key = index if centres is None else centres.own(batch.num_rows, row, words, tf)[0][row] * kinds + index
+        n = np.bincount(key, None if centres is None else tf).astype(np.int64)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array((met // kinds).astype(np.int32)), words.dictionary.take(pa.array(met % kinds)), pa.array(n[met])], ["cluster", "term", "n"])
+
+
+def _placed_counts(batches: Iterator[pa.RecordBatch], centres: _Nearest, common: tuple[pa.Array, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The cluster of each row of counts, |c|^2 - 2 x.c, the squares of its values of common terms added, and its rarer terms with their numbers."""
+    terms, weights = common
+    weights = np.append(weights, 0.0)  # the last one for terms that are not there
+    for batch, row, words, tf in _words(batches):
+        m, index = batch.num_rows, words.indices.to_numpy(zero_copy_only=False)
+        own, near = centres.own(m, row, words, tf)
+        at = pc.index_in(words.dictionary, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        x = tf * weights[at][index]
+        rare = np.flatnonzero((at < 0)[index])
+        offsets = pa.array(np.searchsorted(row[rare], np.arange(m + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(index[rare]))), pa.ListArray.from_arrays(offsets, pa.array(tf[rare], pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(near), pa.array(np.bincount(row, x * x, m).astype(float)), *lists], [batch.schema.names[0], "cluster", "near", "xx", "terms", "tfs"])
+
+
+def tf_idf_step(counts: DataFrame, doc_id: str, ids: Sequence, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """sparse_assign of the raw TF-IDF rows of written counts (doc_id, terms, tfs) to those of a few documents, in the order of ids, and sparse_revise.
+
+    The TF-IDF rows are never made: a document is placed by the terms it shares with the centroids, and a mean is the weight of a term times
+    its number in the cluster. So three passes read the counts where they are and exchange a row for each term and task; of the documents,
+    only the terms that broadcast_bytes do not hold are exchanged, for the squared lengths. The driver holds the rows of ids and the common terms.
+    """
+    spark = counts.sparkSession
+    n = float(counts.where(F.col(doc_id).isNotNull()).count())
+    passed = lambda centres: counts.select("terms", "tfs").mapInArrow(lambda it: _term_counts(it, centres), "cluster int, term string, n bigint")
+    vocabulary = stored(passed(None).groupBy("term").agg(F.sum("n").alias("df")), "vocabulary")
+    weights = lambda df: np.log(n / df.to_numpy().astype(float))
+    entries = counts.where(F.col(doc_id).isin(list(ids))).select(doc_id, F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select(doc_id, F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
+    table = vocabulary.join(F.broadcast(entries), "term").orderBy("term").toArrow()
+    words = table["term"].combine_chunks().dictionary_encode()
+    w, at = np.zeros(len(words.dictionary)), words.indices.to_numpy(zero_copy_only=False)
+    w[at] = weights(table["df"])
+    values = np.zeros((len(ids), len(w)))
+    of, tf = np.array(table[doc_id].to_pylist(), object), table["tf"].to_numpy()
+    for c, i in enumerate(ids):
+        mine = of == i
+        values[c, at[mine]] = tf[mine] * w[at[mine]]
+    centres = _Nearest(words.dictionary, w, values)
+    common = common_terms_of(vocabulary, broadcast_bytes)
+    sent = spark.sparkContext.broadcast((common["term"].combine_chunks(), weights(common["df"])))
+    kind = counts.schema[doc_id].dataType.simpleString()
+    placed = stored(counts.select(doc_id, "terms", "tfs").mapInArrow(lambda it: _placed_counts(it, centres, sent.value), f"`{doc_id}` {kind}, cluster int, near double, xx double, terms array<string>, tfs array<bigint>"), "placed")
+    sent.destroy()
+    weight = F.log(F.lit(n) / F.col("df"))
+    rare = placed.select(doc_id, F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select(doc_id, F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
+    squares = rare.join(vocabulary.hint("merge"), "term").groupBy(doc_id).agg(F.sum((F.col("tf") * weight) * (F.col("tf") * weight)).alias("__rare"))
+    far = F.greatest(F.col("xx") + F.coalesce("__rare", F.lit(0.0)) + F.col("near"), F.lit(0.0))
+    assigned = stored(placed.drop("terms", "tfs").join(squares, doc_id, "left").select(doc_id, "cluster", far.alias("squared_distance")), "assigned")
+    discard(placed)
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    sums = passed(centres).groupBy("cluster", "term").agg(F.sum("n").alias("n"))
+    return assigned, sums.join(vocabulary, "term").join(F.broadcast(sizes), "cluster").select("cluster", "term", (F.col("n") * weight / F.col("size")).alias("value"))
+
+
 def top_terms(centroids: DataFrame, k: int = 5, value: str = "value") -> DataFrame:
     """The k terms of the highest mean in each cluster."""
     order = W.partitionBy("cluster").orderBy(F.desc(value), "term")

@@ -566,11 +566,10 @@ _TFIDF = f"""{registry.TOKENS}, bag as (select doc_id, term, count(*) as tf from
 
 def _text_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """One assignment of all documents to the first and the last one by TF-IDF, and the clusters' means."""
-    scored = stored(text.tf_idf(registry.bag(spark, sf_dir), "doc_id").select("doc_id", "term", "value"), "scored")
-    ends = scored.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    centroids = scored.where(F.col("doc_id").isin(ends["a"], ends["b"])).select((F.col("doc_id") == ends["b"]).cast("int").alias("cluster"), "term", "value")
-    assigned = stored(kmeans.sparse_assign(scored, "doc_id", centroids), "assigned")
-    return assigned, kmeans.sparse_revise(scored, "doc_id", assigned).withColumn("value", F.round("value", 9))
+    counts = stored(text.letter_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "counts")
+    ends = counts.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    assigned, centroids = kmeans.tf_idf_step(counts, "doc_id", [ends["a"], ends["b"]])
+    return assigned, centroids.withColumn("value", F.round("value", 9))
 
 
 @query(f"with {_TFIDF} select cluster, row_number() over (partition by cluster order by value desc, term)::int as rank, term, round(value, 6) as value from r qualify rank <= 5")
