@@ -65,9 +65,24 @@ def revise(df: DataFrame, vector: str, centroids: Vectors) -> np.ndarray:
     return np.array([sums[i][3] / sums[i][0] if i in sums else np.array(c, float) for i, c in enumerate(centroids)])
 
 
+#: Rows of a block of vectors, which a pass hands to Python as bytes and works on in the cache of a core.
+BLOCK_ROWS = 1024
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, vectors and hashes of the vectors of up to BLOCK_ROWS rows, as bytes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(i, BLOCK_ROWS)
+            x, h = (part.column(0).flatten(), part.column(1))
+            x.to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)  # all of one width
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *(pa.array([v.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for v in (x, h))], ["n", "x", "h"])
+
+
 def _prepared(df: DataFrame, vector: str) -> DataFrame:
-    """x, the vector in doubles, and h, a hash of it."""
-    return df.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.xxhash64(vector).alias("h"))
+    """Blocks of vectors in doubles (x) and of a hash of each (h): a pass copies bytes to Python, not numbers one by one."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.xxhash64(vector).alias("h"))
+    return rows.mapInArrow(_blocks, "n int, x binary, h binary")
 
 
 @dataclass
@@ -78,26 +93,44 @@ class Clustering:
     empty: list[int] = field(default_factory=list)
 
 
+def _own(x: np.ndarray, runs: list[np.ndarray]) -> list[np.ndarray]:
+    """The nearest centroid of each row in each run, the lowest of equals.
+
+    One product with all centroids tells it, but for rows where the second nearest is as near as its rounding; these are looked at plainly.
+    """
+    every = np.concatenate(runs)
+    lengths, xx = (every * every).sum(1), np.einsum("ij,ij->i", x, x)
+    rough, out, i = lengths - 2 * (x @ every.T), [], 0
+    doubt = 8 * np.finfo(float).eps * (x.shape[1] + 2) * (xx + lengths.max())
+    for centroids in runs:
+        far = rough[:, i : i + len(centroids)]
+        i += len(centroids)
+        own = far.argmin(1)
+        # Also rows that are not finite.
+        unclear = np.flatnonzero(~((far > (far[np.arange(len(x)), own] + doubt)[:, None]).sum(1) == len(centroids) - 1))
+        if len(unclear):
+            own[unclear] = np.stack([((x[unclear] - c) ** 2).sum(1) for c in centroids], axis=1).argmin(1)
+        out.append(own)
+    return out
+
+
 def _partial(batches: Iterator[pa.RecordBatch], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows, squared distance, hash of the members and vector sum of each run's clusters, over the rows of a task."""
+    """Rows, squared distance, hash of the members and vector sum of each run's clusters, over the blocks of a task."""
     k, width = max(map(len, runs)), runs[0].shape[1]
     n, h, d, s = np.zeros((len(runs), k), np.int64), np.zeros((len(runs), k), np.int64), np.zeros((len(runs), k)), np.zeros((len(runs), k, width))
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
-        hashes = batch.column("h").to_numpy(zero_copy_only=False)
-        for r, centroids in enumerate(runs):
-            far = np.stack([((x - c) ** 2).sum(1) for c in centroids], axis=1)
-            own = far.argmin(1)
-            least = far[np.arange(len(x)), own]
-            for c in range(len(centroids)):
-                mine = own == c
-                n[r, c] += mine.sum()
+        for rows, vectors, hashed in zip(*(batch.column(c) for c in ("n", "x", "h")), strict=True):
+            x, hashes = np.frombuffer(vectors.as_buffer(), float).reshape(rows.as_py(), width), np.frombuffer(hashed.as_buffer(), np.int64)
+            plain = np.isfinite(x).all()
+            for r, (centroids, own) in enumerate(zip(runs, _own(x, runs), strict=True)):
+                apart = x - centroids[own]
+                n[r] += np.bincount(own, minlength=k)
+                d[r] += np.bincount(own, np.einsum("ij,ij->i", apart, apart), k)
+                mine = own == np.arange(k)[:, None]
+                # A product would spread what is not finite to all clusters.
+                s[r] += mine.astype(float) @ x if plain else np.stack([x[m].sum(0) for m in mine])
                 with np.errstate(over="ignore"):  # a sum modulo 2^64
-                    h[r, c] += hashes[mine].sum()
-                d[r, c] += least[mine].sum()
-                s[r, c] += x[mine].sum(0)
+                    h[r] += np.where(mine, hashes, 0).sum(1)
     yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int32()), pa.array([np.concatenate((n.ravel(), h.ravel()))], pa.list_(pa.int64())), pa.array([np.concatenate((d.ravel(), s.ravel()))], pa.list_(pa.float64()))], ["part", "counts", "sums"])
 
 

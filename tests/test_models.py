@@ -301,6 +301,35 @@ def test_sparse_and_dense_clusters_agree(spark):
     assert kmeans.top_terms(cents, 2).count() == 6
 
 
+@pytest.mark.parametrize("off", [0.0, 1e7, 1e12])
+def test_nearest_by_one_product_is_that_of_differences(off):
+    """Ties, vectors far from zero, and such as are not finite."""
+    rng = np.random.default_rng(8)
+    x = off + np.vstack([rng.integers(-2, 3, (300, 3)), rng.normal(size=(300, 3))])
+    x[5, 1], x[6, 2], x[7, 0] = np.nan, np.inf, 1e200
+    runs = [off + np.array([[-1.0, 0, 0], [1, 0, 0], [1, 0, 0]]), off + rng.normal(size=(2, 3)), x[:1]]
+    with np.errstate(all="ignore"):
+        for centroids, own in zip(runs, kmeans._own(x, runs), strict=True):
+            assert own.tolist() == np.stack([((x - c) ** 2).sum(1) for c in centroids], axis=1).argmin(1).tolist()
+
+
+def test_a_pass_reads_blocks_of_vectors(spark):
+    """Not a row for each vector; one that is not finite spoils the sum of its own cluster only."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 4))
+    x[:, 0] += np.where(np.arange(2500) % 2, 50, -50)
+    x[1, 3] = np.nan
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "v array<double>").coalesce(1)
+    data = kmeans._prepared(df, "v")
+    assert [r["n"] for r in data.select("n").collect()] == [1024, 1024, 452]
+    runs = [np.array([[50.0, 0, 0, 0], [-50, 0, 0, 0]]), np.array([[-50.0, 0, 0, 0], [50, 0, 0, 0], [900, 0, 0, 0]])]
+    two, three = kmeans._sums_of(data, runs)
+    left, right = x[::2], x[1::2]
+    assert sorted(two) == [0, 1] and sorted(three) == [0, 1] and (two[1][0], three[0][0]) == (1250, 1251)
+    assert two[1][1] == pytest.approx(((left - runs[0][1]) ** 2).sum()) and two[1][3] == pytest.approx(left.sum(0))
+    assert np.isnan(two[0][3]).tolist() == [False, False, False, True] and two[0][3][:3] == pytest.approx(right.sum(0)[:3])
+
+
 ODD_TEXTS = ["", None, "ÀB c", "ab", "cd", "12 34", "x", "a-A a\n\u212Aelvin", "é", "İstanbul a", "z" * 5000, " b ", "日本 tea日tea", "the the of"]
 
 
