@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.distance import squared
-from ..functions.text import common_terms_of, with_df
+from ..functions.text import common_terms_of, letter_entries, with_df
 from ..session import discard, stored
 from .reduce import collected, task_number, tasks_of
 from .splits import shuffle_key, value_rank
@@ -616,7 +616,7 @@ def _table_lloyd(rows: DataFrame, doc_id: str, centroids: DataFrame, k: int, max
     return SparseClustering(centroids, assigned, history, [c for c in range(k) if c not in members])
 
 
-# ---------------------------------------------------------------- one step over counts
+# ---------------------------------------------------------------- one step over rows of words
 
 class _Nearest:
     """Centroids that are TF-IDF rows of a few documents: their terms, the weights of these, and one row of values a centroid."""
@@ -636,12 +636,17 @@ class _Nearest:
         return own, far[np.arange(m), own]
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray, np.ndarray]]:
-    """Rows of counts, about HELD entries at a time so that look-ups in a vocabulary are few, and their entries: row, term and number."""
+def _words(batches: Iterator[pa.RecordBatch], tally: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray, np.ndarray]]:
+    """Rows of counts (id, terms, tfs) or lower-cased texts (id, text) and their entries: row, term and number; of texts without tally, an entry for each word.
+
+    About HELD entries at a time (a word of a text counts as 8 bytes), so that look-ups in a vocabulary are few.
+    """
     held, waiting = [], 0
 
     def told() -> tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray, np.ndarray]:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        if whole.num_columns == 2:
+            return whole, *letter_entries(whole.column(1), tally)
         lists = whole.column("terms")
         row = np.repeat(np.arange(whole.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
         return whole, row, lists.flatten().dictionary_encode(), whole.column("tfs").flatten().to_numpy(zero_copy_only=False)
@@ -649,7 +654,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            waiting += len(batch.column("tfs").flatten())
+            waiting += batch.column(1).nbytes // 8 if batch.num_columns == 2 else len(batch.column("tfs").flatten())
         if waiting >= HELD:
             yield told()
             held, waiting = [], 0
@@ -657,18 +662,49 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield told()
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch], centres: _Nearest | None) -> Iterator[pa.RecordBatch]:
-    """How many rows have each term; with centroids, how often the rows of each cluster have it. A term comes back once for about HELD entries."""
+def _kept(batch: pa.RecordBatch, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row has a word, and whether it has an id."""
+    return np.bincount(row, minlength=batch.num_rows) > 0, batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, term, tf."""
+    for batch, row, words, tf in _words(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words.dictionary_decode(), pa.array(tf, pa.int64())], [batch.schema.names[0], "term", "tf"])
+
+
+def _among(batches: Iterator[pa.RecordBatch], terms: pa.Array) -> Iterator[pa.RecordBatch]:
+    """How many of a task's rows have each of some terms, and, at the place after them, how many have a word and an id."""
+    kinds = len(terms)
+    n = np.zeros(kinds + 1, np.int64)
+    for batch, row, words, _ in _words(batches, tally=False):
+        at = pc.index_in(words.dictionary, value_set=terms).fill_null(kinds).to_numpy(zero_copy_only=False)[words.indices.to_numpy(zero_copy_only=False)]
+        met = at < kinds
+        n[:kinds] += np.bincount(np.unique(row[met] * (kinds + 1) + at[met]) % (kinds + 1), minlength=kinds)
+        n[kinds] += np.logical_and(*_kept(batch, row)).sum()
+    met = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(n[met])], ["place", "n"])
+
+
+def _term_sums(batches: Iterator[pa.RecordBatch], centres: _Nearest) -> Iterator[pa.RecordBatch]:
+    """How many rows of each cluster have each term, and how often; the null term has the rows of the clusters. A term comes back once for about HELD entries.
+
+    Rows without an id share no term with a centroid and add nothing to a mean, as in joins by id.
+    """
+    k = len(centres.lengths)
     for batch, row, words, tf in _words(batches):
         kinds, index = len(words.dictionary), words.indices.to_numpy(zero_copy_only=False)
-        key = index if centres is None else centres.own(batch.num_rows, row, words, tf)[0][row] * kinds + index
-        n = np.bincount(key, None if centres is None else tf).astype(np.int64)
-        met = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array((met // kinds).astype(np.int32)), words.dictionary.take(pa.array(met % kinds)), pa.array(n[met])], ["cluster", "term", "n"])
+        worded, named = _kept(batch, row)
+        own = np.where(named, centres.own(batch.num_rows, row, words, tf)[0], centres.lengths.argmin())
+        key = own[row] * kinds + index
+        n, times = np.bincount(key, minlength=k * kinds), np.bincount(key, tf * named[row], k * kinds).astype(np.int64)
+        met, sizes = np.flatnonzero(n), np.bincount(own[worded], minlength=k)
+        columns = [np.append(met // max(1, kinds), np.arange(k)).astype(np.int32), pa.concat_arrays([words.dictionary.take(pa.array(met % max(1, kinds))), pa.nulls(k, pa.string())]), np.append(n[met], sizes), np.append(times[met], sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cluster", "term", "df", "tf"])
 
 
 def _placed_counts(batches: Iterator[pa.RecordBatch], centres: _Nearest, common: tuple[pa.Array, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The cluster of each row of counts, |c|^2 - 2 x.c, the squares of its values of common terms added, and its rarer terms with their numbers."""
+    """The cluster of each row with a word and an id, |c|^2 - 2 x.c, the squares of its values of common terms added, and its rarer terms with their numbers."""
     terms, weights = common
     weights = np.append(weights, 0.0)  # the last one for terms that are not there
     for batch, row, words, tf in _words(batches):
@@ -679,46 +715,66 @@ def _placed_counts(batches: Iterator[pa.RecordBatch], centres: _Nearest, common:
         rare = np.flatnonzero((at < 0)[index])
         offsets = pa.array(np.searchsorted(row[rare], np.arange(m + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(index[rare]))), pa.ListArray.from_arrays(offsets, pa.array(tf[rare], pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(near), pa.array(np.bincount(row, x * x, m).astype(float)), *lists], [batch.schema.names[0], "cluster", "near", "xx", "terms", "tfs"])
-
+        made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(near), pa.array(np.bincount(row, x * x, m).astype(float)), *lists], [batch.schema.names[0], "cluster", "near", "xx", "terms", "tfs"])
+        yield made.filter(pa.array(np.logical_and(*_kept(batch, row))))
 
-def tf_idf_step(counts: DataFrame, doc_id: str, ids: Sequence, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """sparse_assign of the raw TF-IDF rows of written counts (doc_id, terms, tfs) to those of a few documents, in the order of ids, and sparse_revise.
 
-    The TF-IDF rows are never made: a document is placed by the terms it shares with the centroids, and a mean is the weight of a term times
-    its number in the cluster. So three passes read the counts where they are and exchange a row for each term and task; of the documents,
-    only the terms that broadcast_bytes do not hold are exchanged, for the squared lengths. The driver holds the rows of ids and the common terms.
-    """
-    spark = counts.sparkSession
-    n = float(counts.where(F.col(doc_id).isNotNull()).count())
-    passed = lambda centres: counts.select("terms", "tfs").mapInArrow(lambda it: _term_counts(it, centres), "cluster int, term string, n bigint")
-    vocabulary = stored(passed(None).groupBy("term").agg(F.sum("n").alias("df")), "vocabulary")
-    weights = lambda df: np.log(n / df.to_numpy().astype(float))
-    entries = counts.where(F.col(doc_id).isin(list(ids))).select(doc_id, F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select(doc_id, F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
-    table = vocabulary.join(F.broadcast(entries), "term").orderBy("term").toArrow()
+def _tf_idf_sums(rows: DataFrame, doc_id: str, ids: Sequence) -> tuple[_Nearest, float, DataFrame]:
+    """The rows of ids as centroids, the number of rows, and a written table: term, df, and how often the rows of each cluster have the term (tfs); the null term has the clusters' sizes."""
+    kind = rows.schema[doc_id].dataType.simpleString()
+    table = rows.where(F.col(doc_id).isin(list(ids))).mapInArrow(_listed, f"`{doc_id}` {kind}, term string, tf bigint").toArrow().sort_by("term")
     words = table["term"].combine_chunks().dictionary_encode()
-    w, at = np.zeros(len(words.dictionary)), words.indices.to_numpy(zero_copy_only=False)
-    w[at] = weights(table["df"])
+    terms, at = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+    told = rows.mapInArrow(lambda it: _among(it, terms), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1)
+    df[told["place"].to_numpy()] = told["n"].to_numpy()
+    n = float(df[-1])
+    w = np.log(n / df[:-1])
     values = np.zeros((len(ids), len(w)))
     of, tf = np.array(table[doc_id].to_pylist(), object), table["tf"].to_numpy()
     for c, i in enumerate(ids):
         mine = of == i
         values[c, at[mine]] = tf[mine] * w[at[mine]]
-    centres = _Nearest(words.dictionary, w, values)
+    centres = _Nearest(terms, w, values)
+    found = rows.mapInArrow(lambda it: _term_sums(it, centres), "cluster int, term string, df bigint, tf bigint")
+    each = (F.coalesce(F.sum(F.when(F.col("cluster") == c, F.col("tf"))), F.lit(0)) for c in range(len(ids)))
+    return centres, n, stored(found.groupBy("term").agg(F.sum("df").alias("df"), F.array(*each).alias("tfs")), "sums")
+
+
+def _means(sums: DataFrame, n: float) -> DataFrame:
+    sizes = sums.where(F.col("term").isNull()).first()
+    of = F.element_at(F.lit(list(sizes["tfs"]) if sizes else [0]).cast("array<bigint>"), F.col("cluster") + 1)
+    each = sums.where(F.col("term").isNotNull()).select("term", "df", F.posexplode("tfs").alias("cluster", "tf")).where("tf > 0")
+    return each.select("cluster", "term", (F.col("tf") * F.log(F.lit(n) / F.col("df")) / of).alias("value"))
+
+
+def tf_idf_means(rows: DataFrame, doc_id: str, ids: Sequence) -> DataFrame:
+    """The centroids after tf_idf_step alone: two passes over the rows, and one exchange of a row for each term and cluster of a task; no document is exchanged or written."""
+    _, n, sums = _tf_idf_sums(rows, doc_id, ids)
+    return _means(sums, n)
+
+
+def tf_idf_step(rows: DataFrame, doc_id: str, ids: Sequence, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """sparse_assign of the raw TF-IDF rows of written counts (doc_id, terms, tfs) or text.letter_rows to those of a few documents, in the order of ids, and sparse_revise.
+
+    The TF-IDF rows are never made: a document is placed by the terms it shares with the centroids, whose df a first pass counts, and a mean is the
+    weight of a term times its number in the cluster, which a second pass counts together with df. A third pass tells distances; of the documents,
+    only the terms that broadcast_bytes do not hold are exchanged, for the squared lengths. The driver holds the rows of ids and the common terms.
+    """
+    centres, n, sums = _tf_idf_sums(rows, doc_id, ids)
+    vocabulary = sums.where(F.col("term").isNotNull()).select("term", "df")
     common = common_terms_of(vocabulary, broadcast_bytes)
-    sent = spark.sparkContext.broadcast((common["term"].combine_chunks(), weights(common["df"])))
-    kind = counts.schema[doc_id].dataType.simpleString()
-    placed = stored(counts.select(doc_id, "terms", "tfs").mapInArrow(lambda it: _placed_counts(it, centres, sent.value), f"`{doc_id}` {kind}, cluster int, near double, xx double, terms array<string>, tfs array<bigint>"), "placed")
+    sent = rows.sparkSession.sparkContext.broadcast((common["term"].combine_chunks(), np.log(n / common["df"].to_numpy().astype(float))))
+    kind = rows.schema[doc_id].dataType.simpleString()
+    placed = stored(rows.mapInArrow(lambda it: _placed_counts(it, centres, sent.value), f"`{doc_id}` {kind}, cluster int, near double, xx double, terms array<string>, tfs array<bigint>"), "placed")
     sent.destroy()
-    weight = F.log(F.lit(n) / F.col("df"))
+    value = F.col("tf") * F.log(F.lit(n) / F.col("df"))
     rare = placed.select(doc_id, F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select(doc_id, F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
-    squares = rare.join(vocabulary.hint("merge"), "term").groupBy(doc_id).agg(F.sum((F.col("tf") * weight) * (F.col("tf") * weight)).alias("__rare"))
+    squares = rare.join(vocabulary.hint("merge"), "term").groupBy(doc_id).agg(F.sum(value * value).alias("__rare"))
     far = F.greatest(F.col("xx") + F.coalesce("__rare", F.lit(0.0)) + F.col("near"), F.lit(0.0))
     assigned = stored(placed.drop("terms", "tfs").join(squares, doc_id, "left").select(doc_id, "cluster", far.alias("squared_distance")), "assigned")
     discard(placed)
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    sums = passed(centres).groupBy("cluster", "term").agg(F.sum("n").alias("n"))
-    return assigned, sums.join(vocabulary, "term").join(F.broadcast(sizes), "cluster").select("cluster", "term", (F.col("n") * weight / F.col("size")).alias("value"))
+    return assigned, _means(sums, n)
 
 
 def top_terms(centroids: DataFrame, k: int = 5, value: str = "value") -> DataFrame:

@@ -564,17 +564,24 @@ _TFIDF = f"""{registry.TOKENS}, bag as (select doc_id, term, count(*) as tf from
     r as materialized (select cluster, term, round(sum(value) / any_value(n), 9) as value from x join a using (doc_id) join (select cluster, count(*) as n from a group by cluster) using (cluster) group by cluster, term)"""
 
 
+def _text_rows(spark, sf_dir) -> tuple[DataFrame, list]:
+    """All documents for kmeans.tf_idf_step, and the ids of the first and the last one with a word."""
+    documents = table(spark, sf_dir, "documents")
+    ends = documents.where(text.has_letter_words(F.col("text"))).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    return text.letter_rows(documents, "doc_id", F.col("text")), [ends["a"], ends["b"]]
+
+
 def _text_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """One assignment of all documents to the first and the last one by TF-IDF, and the clusters' means."""
-    counts = stored(text.letter_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "counts")
-    ends = counts.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    assigned, centroids = kmeans.tf_idf_step(counts, "doc_id", [ends["a"], ends["b"]])
+    rows, ends = _text_rows(spark, sf_dir)
+    assigned, centroids = kmeans.tf_idf_step(rows, "doc_id", ends)
     return assigned, centroids.withColumn("value", F.round("value", 9))
 
 
 @query(f"with {_TFIDF} select cluster, row_number() over (partition by cluster order by value desc, term)::int as rank, term, round(value, 6) as value from r qualify rank <= 5")
 def cluster_terms(spark, sf_dir):
-    _, centroids = _text_clusters(spark, sf_dir)
+    rows, ends = _text_rows(spark, sf_dir)
+    centroids = kmeans.tf_idf_means(rows, "doc_id", ends).withColumn("value", F.round("value", 9))
     return kmeans.top_terms(centroids, 5).select("cluster", "rank", "term", rounded("value"))
 
 

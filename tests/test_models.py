@@ -380,6 +380,41 @@ def test_text_clusters_of_few_documents(spark, tmp_path, texts):
         assert sorted(map(tuple, got.select(*(d[0] for d in want.description)).collect())) == sorted(want.fetchall())
 
 
+def test_cluster_terms_write_one_row_a_term(spark, monkeypatch):
+    """Neither documents nor their distances are written where only means are asked for."""
+    written = []
+
+    def seen(df, name):
+        written.append((name, df.columns))
+        return stored(df, name)
+
+    for module in (kmeans, models, text):
+        monkeypatch.setattr(module, "stored", seen)
+    registry.QUERIES["cluster_terms"](spark, "/root/testdata/sf0.001").collect()
+    assert written == [("sums", ["term", "df", "tfs"])]
+
+
+@pytest.mark.parametrize("texts", [
+    [(0, "a b b c"), (None, "a c d d"), (1, "b d e"), (2, "12"), (3, "e e a"), (4, None)],
+    [(None, "a c d d"), (0, "a b"), (0, "b c"), (1, "b d e"), (2, ""), (3, "e e"), (3, "a")]])
+def test_cluster_terms_of_odd_ids(spark, tmp_path, texts):
+    """A document without an id has terms and a cluster, but no part in a mean; one id on several rows is one document."""
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("cluster_terms", "described_clusters") if len({i for i, _ in texts}) == len(texts) else ("cluster_terms",):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        want = db.execute(registry.ORACLE_SQL[name])
+        assert sorted(map(tuple, got.select(*(d[0] for d in want.description)).collect())) == sorted(want.fetchall())
+
+
+def test_which_texts_have_words(spark):
+    """By the first characters or by all, in letters that are lower-cased to those of a to z too."""
+    texts = [None, "", "12", "7" * 70 + "A", "7" * 70, "\u212a", "\u0130", "\u0410\u0444", "7" * 64 + "\u212a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.has_letter_words(F.col("t")).alias("has"), (F.size(text.letters_only(F.col("t"))) > 0).alias("want")).collect()
+    assert [r["has"] for r in rows] == [bool(r["want"]) for r in rows] == [False, False, False, True, False, True, True, False, True]
+
+
 def test_online_halves_are_read_by_several_tasks(spark, monkeypatch):
     """Each half is one micro-batch, in whatever number of files it lies."""
     met, files, learn, replay = [], [], models.online.OnlineLogistic.learn, models.online.replay
