@@ -119,9 +119,9 @@ def one_hot_sparse(df: DataFrame, row_id: str, columns: Sequence[str]) -> tuple[
     of values and none comes to the driver. An array has as many entries as there are columns at most. row_id names
     a row: rows that share one are one. Rows without any value have an empty array.
     """
-    long = one_hot_long(df, row_id, columns).distinct()
+    long = one_hot_long(df, row_id, columns)
     dictionary = value_rank(long.select("feature").distinct(), ["feature"], "feature_id").withColumn("feature_id", F.col("feature_id").cast("int"))
-    ids = long.join(dictionary, "feature").groupBy(row_id).agg(F.sort_array(F.collect_list("feature_id")).alias("ids"))
+    ids = long.join(dictionary, "feature").groupBy(row_id).agg(F.sort_array(F.collect_set("feature_id")).alias("ids"))
     every = df.select(row_id).distinct().join(ids, row_id, "left")
     return every.select(row_id, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), dictionary
 

@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, stored
 from .reduce import collected, task_number, tasks_of
 
 #: Errors that differ by less count as equal.
@@ -364,18 +365,45 @@ def _bits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(batch.num_rows, -1) != 0, batch.column("y").to_numpy(zero_copy_only=False) == 1
 
 
+#: Kinds of rows that a task of a round reads at least, if there are as many: smaller tasks would cost more to start than to run.
+TASK_KINDS = 1 << 16
+
+
+def _kind_blocks(batches: Iterator[pa.RecordBatch], sparse: bool) -> Iterator[pa.RecordBatch]:
+    """The kinds of a batch as bytes: x (the numbers of all features that are set, or a byte for each feature), how many of them a kind has, whether its label is +1, and how many rows are alike."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if sparse:
+            lists = batch.column("x")
+            x, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(lists.offsets.to_numpy()).astype(np.int32)
+            positive = batch.column("y").to_numpy(zero_copy_only=False) == 1
+        else:
+            bits, positive = _bits(batch)
+            x, sizes = bits.astype(np.uint8), np.full(batch.num_rows, bits.shape[1], np.int32)
+        alike = batch.column("alike").to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (x, sizes, positive.astype(np.uint8), alike))], ["n", "x", "sizes", "positive", "alike"])
+
+
+def _kinds(df: DataFrame, x: str, y: str, sparse: bool) -> DataFrame:
+    """The kinds of rows as written blocks, read by as many tasks as they are worth, whatever the number of shuffle partitions."""
+    made = stored(_voters(df, x, y, sparse).mapInArrow(lambda it: _kind_blocks(it, sparse), "n int, x binary, sizes binary, positive binary, alike binary"), "kinds")
+    kinds = made.agg(F.sum("n")).first()[0] or 0
+    out = made.coalesce(max(1, -(-kinds // TASK_KINDS)))
+    out._stored_at = made._stored_at
+    return out
+
+
 class _Voters:
     """Some kinds of rows: x, which holds a 0/1 for each feature or, if sparse, the numbers of those that are set, the label, and how many rows are alike."""
 
-    def __init__(self, batch: pa.RecordBatch, width: int, sparse: bool):
-        self.n, self.width, self.sparse = batch.num_rows, width, sparse
-        self.alike = batch.column("alike").to_numpy(zero_copy_only=False)
+    def __init__(self, block: dict, width: int, sparse: bool):
+        self.n, self.width, self.sparse = block["n"], width, sparse
+        self.alike, self.positive = np.frombuffer(block["alike"], np.int64), np.frombuffer(block["positive"], np.uint8) == 1
         if sparse:
-            lists = batch.column("x")
-            self.ids, self.row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
-            self.positive = batch.column("y").to_numpy(zero_copy_only=False) == 1
+            self.ids, self.row = np.frombuffer(block["x"], np.int32), np.repeat(np.arange(self.n), np.frombuffer(block["sizes"], np.int32))
         else:
-            self.x, self.positive = _bits(batch)
+            self.x = np.frombuffer(block["x"], np.uint8).reshape(self.n, -1) != 0
 
     def said(self, stumps: Sequence[Stump]) -> np.ndarray:
         """The vote of each stump (a column) on each row."""
@@ -408,8 +436,8 @@ def _stump_sums(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], widt
     """Of a task's rows, weighted by the stumps so far: those rows, the weights of both classes, and those with each feature set."""
     total: np.ndarray | None = None
     for batch in batches:
-        if batch.num_rows:
-            rows = _Voters(batch, width, sparse)
+        for block in batch.to_pylist():
+            rows = _Voters(block, width, sparse)
             w = rows.alike * np.exp(-np.where(rows.positive, 1.0, -1.0) * rows.score(stumps))
             up, down = np.where(rows.positive, w, 0.0), np.where(rows.positive, 0.0, w)
             found = np.concatenate(([rows.alike.sum(), up.sum(), down.sum()], rows.on(up), rows.on(down)))
@@ -435,13 +463,13 @@ def _voters(df: DataFrame, x: str, y: str, sparse: bool = False) -> DataFrame:
 def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, exclude: Sequence[int] = (), least_error: float = 1e-10, sparse: bool = False) -> list[Stump]:
     """Boosted stumps, each feature used once; one job a round.
 
-    Rows that are alike are counted once, and a round reads each kind of rows. Row weights are never stored: a round's are a
+    Rows that are alike are counted once and written as blocks of bytes, and a round reads each kind of rows. Row weights are never stored: a round's are a
     function of the stumps so far, so nothing grows with the rounds and a lost executor loses nothing. The ensemble ends at a round whose stump cannot split.
     The weighted error is held between least_error and 1 - least_error. With sparse=True x holds the numbers of the features
     that are set.
     """
     stumps: list[Stump] = []
-    data = _voters(df, x, y, sparse).persist()
+    data = _kinds(df, x, y, sparse)
     left, tasks = [f for f in range(len(names)) if f not in set(exclude)], tasks_of(data)
     for _ in range(rounds):
         r = _boosted_counts(data, tuple(stumps), len(names), sparse, tasks) if left else None
@@ -459,7 +487,7 @@ def adaboost(df: DataFrame, x: str, y: str, names: Sequence[str], rounds: int, e
         error = float(min(max((min(p0, n0) + min(p1, n1)) / whole, least_error), 1 - least_error))
         stumps.append(Stump(choice, label(p0, n0), label(p1, n1), 0.5 * math.log((1 - error) / error), error))
         left.remove(choice)
-    data.unpersist()
+    discard(data)
     return stumps
 
 
@@ -471,9 +499,9 @@ def ensemble_predict(stumps: Sequence[Stump], x: Column, vote: str = "unweighted
 
 def _staged(batches: Iterator[pa.RecordBatch], stumps: Sequence[Stump], scale: np.ndarray, width: int, sparse: bool) -> Iterator[pa.RecordBatch]:
     rows, wrong = 0, np.zeros(len(stumps), np.int64)
-    for batch in batches:
-        if batch.num_rows:
-            voters = _Voters(batch, width, sparse)
+    for batch in _kind_blocks(batches, sparse):
+        for block in batch.to_pylist():
+            voters = _Voters(block, width, sparse)
             wrong += voters.alike @ ((np.cumsum(voters.said(stumps) * scale, axis=1) > 0) != voters.positive[:, None])
             rows += int(voters.alike.sum())
     if rows:

@@ -134,6 +134,25 @@ def test_boosting_counts_rows_that_are_alike_once(spark, monkeypatch):
     assert len(read) == 4 and all(made.count() <= 40 for made in read)
 
 
+def test_rounds_of_boosting_take_no_more_tasks_than_the_kinds_are_worth(spark, monkeypatch):
+    """With 200 shuffle partitions a round over a few rows is one task, not 200; rows without a feature take part."""
+    x, y = rows_of(300, 12, 7)
+    x[0] = x[1] = [0] * 12
+    asked = []
+    real = trees._boosted_counts
+    monkeypatch.setattr(trees, "_boosted_counts", lambda *a: asked.append((a[-1], a[0].rdd.getNumPartitions())) or real(*a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            for df, sparse in zip(tables(spark, x, y), (False, True), strict=True):
+                stumps = trees.adaboost(df, "x", "y", [str(i) for i in range(12)], 6, sparse=sparse)
+                assert [(s.feature, s.left, s.right) for s in stumps] == [v[:3] for v in boosted_by_loops(x, y, 6)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(asked) == {(1, 1)}
+
+
 def test_one_hot_of_many_values(spark, monkeypatch):
     """A column of 100,000 values: numbered without a value on the driver."""
     df = spark.range(100_000).select("id", F.concat(F.lit("v"), F.col("id")).alias("many"), F.when(F.col("id") % 3 == 1, F.lit("x")).alias("few"))
