@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, stored
+from ..session import discard, in_tasks, stored
 from .reduce import collected, task_number, tasks_of
 
 #: Errors that differ by less count as equal.
@@ -389,9 +389,7 @@ def _kinds(df: DataFrame, x: str, y: str, sparse: bool) -> DataFrame:
     """The kinds of rows as written blocks, read by as many tasks as they are worth, whatever the number of shuffle partitions."""
     made = stored(_voters(df, x, y, sparse).mapInArrow(lambda it: _kind_blocks(it, sparse), "n int, x binary, sizes binary, positive binary, alike binary"), "kinds")
     kinds = made.agg(F.sum("n")).first()[0] or 0
-    out = made.coalesce(max(1, -(-kinds // TASK_KINDS)))
-    out._stored_at = made._stored_at
-    return out
+    return in_tasks(made, -(-kinds // TASK_KINDS))
 
 
 class _Voters:

@@ -162,6 +162,16 @@ def test_ascent_step_by_step(points):
     assert [h[0] for h in history] == sorted(h[0] for h in history) and history[0][0] == pytest.approx(-80 * math.log(2))
 
 
+def test_an_iteration_takes_no_more_tasks_than_the_rows_are_worth(points, monkeypatch):
+    """Eighty rows over 70 partitions: the data are read by one task, and nothing is exchanged to add its gradient."""
+    df, x, y = points
+    asked = []
+    real = logistic.collected
+    monkeypatch.setattr(logistic, "collected", lambda made, keys, sums, tasks, *a: asked.append((tasks, made.rdd.getNumPartitions())) or real(made, keys, sums, tasks, *a))
+    many, few = (logistic.ascent(logistic.prepared(d, features.matrix("a", "b"), "y"), [0, 0, 0], 0.01, 2)[0] for d in (df.repartition(70), df.coalesce(1)))
+    assert many == pytest.approx(few) and set(asked) == {(1, 1)}
+
+
 def test_newton_is_stationary(points):
     df, x, y = points
     w = logistic.newton(logistic.prepared(df, features.matrix("a", "b"), "y"), 3)
