@@ -1,8 +1,8 @@
 """Sums of the partial vectors of many tasks, on the executors.
 
 A pass over the data leaves one row a task and key. Up to FAN tasks, these rows go to the driver as they are.
-Beyond, they are added in two levels: FAN groups of tasks first, then the groups, so that one row a key comes
-back and the scan keeps all its tasks. Both levels stream over sorted rows and hold one vector a key.
+Long ones of as few tasks are added in one level. Beyond, they are added in two levels: FAN groups of tasks first, then the groups, so that one row a key comes
+back and the scan keeps all its tasks. All levels stream over sorted rows and hold one vector a key.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 FAN = 64
 #: Numbers of all keys of a task up to which the driver takes up to FAN tasks without help.
 FEW = 1 << 12
+#: Numbers of all keys of a task for each task that adds them.
+LONG = 1 << 16
 
 
 def task_number() -> int:
@@ -62,11 +64,15 @@ def added(partials: DataFrame, keys: Sequence[str], sums: Sequence[str], tasks:
 
     partials has the keys, `part` (the number of the task) and the arrays. With up to FAN tasks it comes back as
     it is, without part, and the caller adds the few rows of a key. Where a task sends more than FEW numbers (width),
-    two tasks are enough to be added here. The order of addition is fixed, so reruns agree.
+    two tasks are enough to be added here, up to FAN tasks in one level. The order of addition is fixed, so reruns agree.
     """
     keys, sums = list(keys), list(sums)
     if tasks <= (FAN if width <= FEW else 1):
         return partials.select(*keys, *sums)
+    if tasks <= FAN:
+        met = partials.repartition(min(FAN, 1 + width // LONG), *keys) if keys else partials.repartition(1)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in partials.select(*keys, *sums).schema.fields)
+        return met.sortWithinPartitions(*keys, "part").select(*keys, *sums).mapInArrow(lambda it: _added(it, keys, sums), schema)
     fields = {f.name: f.dataType.simpleString() for f in partials.schema.fields}
     schema = lambda names: ", ".join(f"`{c}` {fields[c]}" for c in names)
     first = partials.withColumn("slot", F.pmod("part", F.lit(FAN)).cast("int")).repartition(FAN, "slot").sortWithinPartitions(*keys, "slot", "part")

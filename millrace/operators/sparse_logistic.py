@@ -1,7 +1,7 @@
 """Logistic regression on sparse text: a learned vocabulary, L-BFGS, and gradients added on the executors.
 
-Terms are numbered by one range exchange, and each row is written once as two arrays, the numbers and the values of its
-terms. A pass sends the weights to the executors (8 bytes a term, checked against a bound), and every task
+Terms are numbered by one range exchange, and rows are written once as blocks of bytes, the numbers and the values of
+their terms. A pass sends the weights to the executors (8 bytes a term, checked against a bound), and every task
 returns its part of the gradient in pieces of PIECE terms, which are added on the executors. L-BFGS keeps
 2 * MEMORY vectors of that size on the driver; nothing there grows with the rows.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import term_ids
-from ..session import stored
+from ..session import in_tasks, stored
 from .reduce import collected, task_number, tasks_of
 
 #: Terms of one piece of a gradient.
@@ -26,6 +26,8 @@ PIECE = 1 << 16
 MOST_TERMS = 1 << 24
 #: Steps that L-BFGS remembers.
 MEMORY = 10
+#: Rows and entries that a task of a pass reads at least, if there are as many.
+TASK_ENTRIES = 1 << 20
 
 
 @dataclass
@@ -65,16 +67,30 @@ def sparse_rows(bag: DataFrame, doc_id: str, labels: DataFrame, label: str, voca
     return both.select("y", F.coalesce("e.i", F.array().cast("array<int>")).alias("ids"), F.coalesce("e.v", F.array().cast("array<double>")).alias("vals"))
 
 
+#: Columns of a block of rows, as bytes: labels, sizes of the rows, and the numbers and values of all their terms.
+_BLOCK = {"y": np.float64, "sizes": np.int32, "ids": np.int32, "vals": np.float64}
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            lists = batch.column("ids")
+            columns = batch.column("y"), lists.value_lengths(), lists.flatten(), batch.column("vals").flatten()
+            made = [v.to_numpy(zero_copy_only=False).astype(t) for v, t in zip(columns, _BLOCK.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows + len(made[2])], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in made)], ["n", *_BLOCK])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows of sparse_rows as written blocks, read by as many tasks as their entries are worth: a pass copies bytes to Python."""
+    made = stored(rows.mapInArrow(_blocks, "n bigint, " + ", ".join(f"{c} binary" for c in _BLOCK)), "rows")
+    return in_tasks(made, -(-(made.agg(F.sum("n")).first()[0] or 0) // TASK_ENTRIES))
+
+
 def _losses(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The gradient and the loss of a task's rows at w, whose last entry is the intercept. The rows' products come from one flat sum over all terms."""
     grad, loss, rows = np.zeros(len(w)), 0.0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
-        lists = batch.column("ids")
-        sizes = np.diff(lists.offsets.to_numpy())
-        ids, vals = lists.flatten().to_numpy(zero_copy_only=False), batch.column("vals").flatten().to_numpy(zero_copy_only=False)
+    for block in (b for batch in batches for b in batch.to_pylist()):
+        y, sizes, ids, vals = (np.frombuffer(block[c], t) for c, t in _BLOCK.items())
         row = np.repeat(np.arange(len(y)), sizes)
         margin = y * (np.bincount(row, vals * w[ids], len(y)) + w[-1])
         loss += float(np.logaddexp(0, -margin).sum())
@@ -88,7 +104,7 @@ def _losses(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.Rec
 
 
 class Objective:
-    """|w|^2 / 2 + strength * sum of log(1 + exp(-y s)), the intercept penalised too: value and gradient by one pass over written rows."""
+    """|w|^2 / 2 + strength * sum of log(1 + exp(-y s)), the intercept penalised too: value and gradient by one pass over packed rows."""
 
     def __init__(self, rows: DataFrame, terms: int, strength: float):
         if terms > MOST_TERMS:
@@ -156,6 +172,6 @@ def fit(bag: DataFrame, doc_id: str, labels: DataFrame, label: str, strength: fl
     vocabulary = stored(vocabulary_of(own, least_rows), "vocabulary")
     # The numbers run from 0 without a gap.
     terms = vocabulary.count()
-    rows = stored(sparse_rows(own, doc_id, labels, label, vocabulary, value), "rows")
+    rows = packed(sparse_rows(own, doc_id, labels, label, vocabulary, value))
     w, history = lbfgs(Objective(rows, terms, strength), np.zeros(terms + 1), max_iter, tolerance)
     return SparseModel(vocabulary, w[:-1], float(w[-1]), history[-1], history)

@@ -327,6 +327,24 @@ def test_long_sums_of_few_tasks_are_added_on_the_executors(spark):
     assert reduce.collected(parts, ("piece",), ("sums",), 7, 5000)[0,][0].tolist() == [7.0 * i for i in range(1, 5001)]
 
 
+def test_long_sums_of_few_tasks_take_few_tasks(spark):
+    """Seven tasks of 5,000 numbers are added by one task, with keys or without; a pass of sparse regression over 60 partitions of few rows is one task, and gives the same."""
+    parts = spark.range(7).select(F.lit(0).alias("piece"), F.col("id").cast("int").alias("part"), F.sequence(F.lit(1), F.lit(5000)).cast("array<double>").alias("sums"))
+    for keys in (["piece"], []):
+        out = reduce.added(parts, keys, ["sums"], 7, 5000)
+        assert out.rdd.getNumPartitions() == 1 and [r["sums"] for r in out.collect()] == [[7.0 * i for i in range(1, 5001)]]
+    rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(-1).alias("y"), F.when(F.col("id") > 4, F.array((F.col("id") % 7).cast("int"), F.lit(8))).otherwise(F.array().cast("array<int>")).alias("ids"), F.when(F.col("id") > 4, F.array(F.lit(1.0), F.col("id") / 300)).otherwise(F.array().cast("array<double>")).alias("vals"))
+    w = np.linspace(-1, 1, 10)
+    packed = sparse_logistic.packed(rows.repartition(60))
+    objective = sparse_logistic.Objective(packed, 9, 2.0)
+    value, slope = objective(w)
+    x, y = np.zeros((300, 10)), np.where(np.arange(300) % 3 == 0, 1, -1)
+    x[:, 9] = 1
+    x[np.arange(5, 300), np.arange(5, 300) % 7], x[5:, 8] = 1, np.arange(5, 300) / 300
+    assert objective.tasks == 1 and value == pytest.approx(w @ w / 2 + 2 * np.logaddexp(0, -y * (x @ w)).sum())
+    assert slope == pytest.approx(w - 2 * x.T @ (y / (1 + np.exp(y * (x @ w)))))
+
+
 def test_sums_are_the_same_in_one_level_and_two(spark):
     rng = np.random.default_rng(2)
     rows = [(int(m), p, rng.random(3).tolist()) for m in range(3) for p in range(200)]
